@@ -78,32 +78,34 @@ def unpivot_values(df: DataFrame, columns: Sequence[str], cast: str = "double",
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
                     names: Sequence[str] | None = None) -> DataFrame:
-    """Exact linear-interpolation quantiles per column: (column_name, q_<p>...).
+    """Exact linear-interpolation quantiles per column: (column_name, <name>...).
 
-    Values are ranked per column with range partitioning, the two rows that
-    bracket each quantile position are kept, and interpolated.  Works at any
-    size: no task holds a whole column.
+    Values are ranked per column with range partitioning (no task holds a
+    column).  A small grid table (columns x probs x 2 rows, a known bound) lists
+    the two positions that bracket each quantile; it is broadcast-joined to the
+    ranked values and the pairs are interpolated.
     """
     names = list(names or [f"q{int(p * 100)}" for p in probs])
     # a row id breaks ties so a heavily repeated value still spreads over range partitions
     long = unpivot_values(df.withColumn("_rid", F.monotonically_increasing_id()), columns,
                           carry=["_rid"])
-    ranked = ordered_positions(long, ["value", "_rid"], by=["column_name"], pos_col="_pos",
-                               count_col="_n")
-    keep = None
-    aggs = []
-    for p, nm in zip(probs, names):
-        h = (F.col("_n") - 1) * F.lit(p)
-        lo, hi = F.floor(h) + 1, F.ceil(h) + 1
-        cond = (F.col("_pos") == lo) | (F.col("_pos") == hi)
-        keep = cond if keep is None else keep | cond
-        aggs += [F.max(F.when(F.col("_pos") == lo, F.col("value"))).alias(f"_lo_{nm}"),
-                 F.max(F.when(F.col("_pos") == hi, F.col("value"))).alias(f"_hi_{nm}"),
-                 F.max(h - F.floor(h)).alias(f"_fr_{nm}")]
-    picked = ranked.filter(keep).groupBy("column_name").agg(*aggs)
-    return picked.select("column_name", *[
-        (F.col(f"_lo_{nm}") + (F.col(f"_hi_{nm}") - F.col(f"_lo_{nm}")) * F.col(f"_fr_{nm}")).alias(nm)
-        for nm in names])
+    ranked, sizes = ordered_positions(long, ["value", "_rid"], by=["column_name"], pos_col="_pos",
+                                      with_sizes=True)
+    grid = sizes.select("column_name", "_size", F.posexplode(
+        F.array(*[F.lit(float(p)) for p in probs])).alias("_i", "_p"))
+    h = (F.col("_size") - 1) * F.col("_p")
+    grid = grid.select("column_name", "_i", (F.floor(h) + 1).alias("_lo"), (F.ceil(h) + 1).alias("_hi"),
+                       (h - F.floor(h)).alias("_fr"))
+    need = (grid.select("column_name", F.col("_lo").alias("_pos"))
+            .unionByName(grid.select("column_name", F.col("_hi").alias("_pos"))).distinct())
+    # bound: len(columns) * len(probs) * 2 rows
+    vals = ranked.join(F.broadcast(need), ["column_name", "_pos"]).select("column_name", "_pos", "value")
+    lo = vals.withColumnRenamed("_pos", "_lo").withColumnRenamed("value", "_vlo")
+    hi = vals.withColumnRenamed("_pos", "_hi").withColumnRenamed("value", "_vhi")
+    q = (grid.join(lo, ["column_name", "_lo"]).join(hi, ["column_name", "_hi"])
+         .select("column_name", "_i", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_fr")).alias("_q")))
+    return q.groupBy("column_name").agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(nm)
+                                          for i, nm in enumerate(names)])
 
 
 def describe_all(df: DataFrame, columns: Sequence[str] | None = None, digits: int = 6) -> DataFrame:

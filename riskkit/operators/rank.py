@@ -73,7 +73,7 @@ def _join_back(ranged: DataFrame, part: DataFrame, by: Sequence[str]) -> DataFra
 
 def ordered_positions(df: DataFrame, order: Sequence[ColLike], by: Sequence[str] = (),
                       pos_col: str = "pos", count_col: str | None = None,
-                      num_partitions: int | None = None) -> DataFrame:
+                      num_partitions: int | None = None, with_sizes: bool = False):
     """Add ``pos_col``: 1-based row number in ``order`` within groups ``by``.
 
     ``count_col`` (optional) receives the group size.  Equivalent to
@@ -95,7 +95,12 @@ def ordered_positions(df: DataFrame, order: Sequence[ColLike], by: Sequence[str]
     out = _join_back(ranged, part, by)
     out = out.withColumn(
         pos_col, (F.col("_local") - F.col("_first") + F.col("_before__cnt") + 1).cast("long"))
-    return out.drop("_pid", "_local", "_cnt", "_first", "_before__cnt")
+    out = out.drop("_pid", "_local", "_cnt", "_first", "_before__cnt")
+    if with_sizes:
+        # group sizes from the small per-partition table (<= partitions + groups rows)
+        sizes = part.groupBy(*by).agg(F.sum("_cnt").cast("long").alias("_size"))
+        return out, sizes
+    return out
 
 
 def running_totals(df: DataFrame, order: Sequence[ColLike], sums: Sequence[str],
