@@ -88,6 +88,17 @@ def lenient_double(c: str | Column) -> Column:
     return F.when(F.isnan(v), F.lit(None).cast("double")).otherwise(v)
 
 
+def numeric_of(df: DataFrame, name: str | None) -> Column:
+    """P8 with the schema at hand: numeric columns are cast (NaN -> NULL) without a
+    text round trip; text columns are parsed leniently; absent -> NULL."""
+    if name is None or name not in df.columns:
+        return F.lit(None).cast("double")
+    if isinstance(df.schema[name].dataType, NUMERIC):
+        v = F.col(name).cast("double")
+        return F.when(F.isnan(v), F.lit(None).cast("double")).otherwise(v)
+    return lenient_double(name)
+
+
 def strict_double(c: str | Column) -> Column:
     """Cast to double; with ANSI on, bad text raises."""
     col = F.col(c) if isinstance(c, str) else c

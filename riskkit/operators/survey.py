@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import rowwise as R
 from ..functions.missing import zero_to_null
-from ..functions.schema import column_or_default, columns_with_prefix, lenient_double, resolve
+from ..functions.schema import (column_or_default, columns_with_prefix, lenient_double, numeric_of,
+                                resolve)
 
 
 def _flag(cond: Column) -> Column:
@@ -40,12 +41,12 @@ def label_four_source(df: DataFrame, key: str = "SEQN",
     g = resolve(df, glucose, ignore_case=True)
     m = resolve(df, medication, ignore_case=True)
     diag_flag = R.code_flag(d, 1) if d else F.lit(0)
-    high_a1c = _flag(lenient_double(a) >= 6.5).cast("int") if a else F.lit(0)
-    high_glu = _flag(lenient_double(g) >= 126).cast("int") if g else F.lit(0)
+    high_a1c = _flag(numeric_of(df, a) >= 6.5).cast("int") if a else F.lit(0)
+    high_glu = _flag(numeric_of(df, g) >= 126).cast("int") if g else F.lit(0)
     if m is None:
         med = F.lit(0)
     elif m.upper() == "RXDUSE":
-        med = R.code_flag(lenient_double(m), 1)
+        med = R.code_flag(numeric_of(df, m), 1)
     else:
         med = R.keyword_flag(m)
     out = df.select(
@@ -158,14 +159,14 @@ def features_a(df: DataFrame, glucose: Sequence[str] = ("LBXGLU", "LBXSGL", "GLU
          if dbp else F.lit(None).cast("double")).alias("DBP_MEAN"),
         num(glucose).alias("GLUCOSE"),
         num(["LBXGH", "GHB"]).alias("A1C"),
-        lenient_double(column_or_default(df, insulin, None, "string")).alias("INSULIN"),
-        lenient_double(column_or_default(df, ["LBXTC"], None, "string")).alias("TCHOL"),
-        lenient_double(column_or_default(df, ["LBDHDD", "LBXHDD", "HDL"], None, "string")).alias("HDL"),
-        lenient_double(column_or_default(df, ["LBXTR", "TRIGLY"], None, "string")).alias("TRIG"),
-        lenient_double(column_or_default(df, ["URXUMA"], None, "string")).alias("_ALB"),
-        lenient_double(column_or_default(df, creatinine, None, "string")).alias("_CRE"),
+        numeric_of(df, resolve(df, insulin)).alias("INSULIN"),
+        numeric_of(df, resolve(df, ["LBXTC"])).alias("TCHOL"),
+        numeric_of(df, resolve(df, ["LBDHDD", "LBXHDD", "HDL"])).alias("HDL"),
+        numeric_of(df, resolve(df, ["LBXTR", "TRIGLY"])).alias("TRIG"),
+        numeric_of(df, resolve(df, ["URXUMA"])).alias("_ALB"),
+        numeric_of(df, resolve(df, creatinine)).alias("_CRE"),
         (R.text_flag(smq) if smq else F.lit(None).cast("int")).alias("SMOKER"),
-        (R.row_sum([lenient_double(c) for c in paq]) if paq else F.lit(None).cast("double"))
+        (R.row_sum([numeric_of(df, c) for c in paq]) if paq else F.lit(None).cast("double"))
         .alias("PA_SCORE"),
         (R.text_flag(diq) if diq else F.lit(None).cast("int")).alias("DIQ_FLAG"),
         (R.text_flag(rx) if rx else F.lit(None).cast("int")).alias("ON_RX"),
@@ -197,7 +198,7 @@ def features_b(df: DataFrame, glucose: Sequence[str] = ("LBXGLU", "LBXSGL"),
     present, else derived from labs (D3).
     """
     def num(name):
-        return lenient_double(name) if name in df.columns else F.lit(None).cast("double")
+        return numeric_of(df, name)
 
     if "CYCLE" in df.columns:
         cycle = F.col("CYCLE").cast("string")
@@ -209,9 +210,9 @@ def features_b(df: DataFrame, glucose: Sequence[str] = ("LBXGLU", "LBXSGL"),
     g = resolve(df, glucose)
     si = resolve(df, glucose_si) if g is None else None
     if g is not None:
-        glu = lenient_double(g)
+        glu = numeric_of(df, g)
     elif si is not None:
-        glu = lenient_double(si) * F.lit(si_factor)
+        glu = numeric_of(df, si) * F.lit(si_factor)
     else:
         glu = F.lit(None).cast("double")
     hdl = resolve(df, ["LBDHDD", "LBXHDD"])
@@ -228,20 +229,20 @@ def features_b(df: DataFrame, glucose: Sequence[str] = ("LBXGLU", "LBXSGL"),
          else F.lit(None).cast("double")).alias("SEX"),
         num("BMXBMI").alias("BMI"),
         R.ratio(num("BMXWAIST"), num("BMXHT")).alias("WAIST_HT_RATIO"),
-        (R.row_mean([lenient_double(c) for c in sbp]) if sbp else F.lit(None).cast("double"))
+        (R.row_mean([numeric_of(df, c) for c in sbp]) if sbp else F.lit(None).cast("double"))
         .alias("SBP_MEAN"),
-        (R.row_mean([lenient_double(c) for c in dbp]) if dbp else F.lit(None).cast("double"))
+        (R.row_mean([numeric_of(df, c) for c in dbp]) if dbp else F.lit(None).cast("double"))
         .alias("DBP_MEAN"),
         glu.alias("GLU_VAL"), num("LBXGH").alias("A1C"), num("LBXIN").alias("INSULIN"),
         num("LBXTC").alias("TCHOL"),
-        (lenient_double(hdl) if hdl else F.lit(None).cast("double")).alias("HDL"),
+        numeric_of(df, hdl).alias("HDL"),
         num("LBXTR").alias("TRIG"),
         R.ratio(num("URXUMA"), num("URXUCR")).alias("ACR"),
         (R.text_flag("SMQ020").cast("double") if "SMQ020" in df.columns
          else F.lit(None).cast("double")).alias("SMOKER"),
-        (R.row_sum([lenient_double(c) for c in paq]) if paq else F.lit(None).cast("double"))
+        (R.row_sum([numeric_of(df, c) for c in paq]) if paq else F.lit(None).cast("double"))
         .alias("PA_SCORE"),
-        *([lenient_double("DIABETES_BIN").alias("_LBL")] if "DIABETES_BIN" in df.columns else []),
+        *([numeric_of(df, "DIABETES_BIN").alias("_LBL")] if "DIABETES_BIN" in df.columns else []),
     )
     label = (F.col("_LBL").cast("int") if "_LBL" in stage.columns else
              (_flag(F.col("GLU_VAL") >= 126) | _flag(F.col("A1C") >= 6.5)).cast("int"))
