@@ -142,20 +142,38 @@ def out_of_fold(estimators: dict, train: DataFrame, key: str, fold_col: str = "f
     return out
 
 
+def base_scores(estimators: dict, train: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """(key, p_<name>...) for ``rows`` from bases fit on all of ``train``."""
+    out = rows.select(key)
+    for n, est in estimators.items():
+        p = positive_probability(est.fit(train).transform(rows)).select(key, F.col("p").alias(f"p_{n}"))
+        out = out.join(p, key)
+    return out
+
+
+def meta_fit(oof: DataFrame, names, label: str = "label"):
+    """Meta logistic regression on base probabilities (C = 1)."""
+    asm = VectorAssembler(inputCols=[f"p_{n}" for n in names], outputCol="meta_x")
+    x = asm.transform(oof)
+    meta = LogisticRegression(featuresCol="meta_x", labelCol=label, maxIter=100,
+                              regParam=1.0 / x.count(), standardization=False).fit(x)
+    return asm, meta
+
+
 def stack(estimators: dict, train: DataFrame, test: DataFrame, key: str, label: str = "label",
-          fold_col: str = "fold") -> tuple[DataFrame, object]:
+          fold_col: str = "fold", oof: DataFrame | None = None,
+          test_bases: DataFrame | None = None) -> tuple[DataFrame, object]:
     """Meta logistic regression on out-of-fold base probabilities; test rows are
-    scored by bases refit on all training rows.  Returns (test scores, meta model)."""
+    scored by bases refit on all training rows.  Returns (test scores, meta model).
+    Precomputed ``oof`` / ``test_bases`` frames may be passed in."""
     names = list(estimators)
-    oof = out_of_fold(estimators, train, key, fold_col).join(train.select(key, label), key)
-    asm = VectorAssembler(inputCols=[f"p_{n}" for n in names], outputCol="meta_x")
-    meta_train = asm.transform(oof)
-    meta = LogisticRegression(featuresCol="meta_x", labelCol=label, maxIter=100,
-                              regParam=1.0 / meta_train.count(), standardization=False).fit(meta_train)
-    scored = test.select(key, label)
-    for n, est in estimators.items():
-        p = positive_probability(est.fit(train).transform(test)).select(key, F.col("p").alias(f"p_{n}"))
-        scored = scored.join(p, key)
+    if oof is None:
+        oof = out_of_fold(estimators, train, key, fold_col)
+    oof = oof.join(train.select(key, label), key)
+    asm, meta = meta_fit(oof, names, label)
+    if test_bases is None:
+        test_bases = base_scores(estimators, train, test, key)
+    scored = test.select(key, label).join(test_bases, key)
     out = positive_probability(meta.transform(asm.transform(scored)))
     return out.drop("probability", "rawPrediction", "prediction"), meta
 

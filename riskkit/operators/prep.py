@@ -347,12 +347,44 @@ def _solve(G, b, ridge: float):
     return list(np.linalg.solve(A, np.array(b, dtype=float)))
 
 
+def _apply_steps(df: DataFrame, steps: list[dict], cols: Sequence[str]) -> DataFrame:
+    """Apply linear refill steps in order inside each Arrow batch.
+
+    Each step refills the originally-missing entries (``_o_<col>`` false) of one
+    column from the current values of the others.  Chained as column
+    expressions, the sequential updates would nest every column inside every
+    other (exponential plan size); per batch in numpy they are a few vector ops.
+    """
+    schema = df.schema
+
+    def run(batches):
+        import numpy as np
+        for pdf in batches:
+            for st in steps:
+                c = st["col"]
+                pred = np.full(len(pdf), st["beta"][0], dtype="float64")
+                for w, f in zip(st["beta"][1:], st["feats"]):
+                    pred += w * pdf[f].to_numpy(dtype="float64")
+                obs = pdf[f"_o_{c}"].to_numpy(dtype=bool)
+                pdf[c] = np.where(obs, pdf[c].to_numpy(dtype="float64"), pred)
+            yield pdf
+
+    return df.mapInPandas(run, schema)
+
+
+def _start(df: DataFrame, cols: Sequence[str], means: dict) -> DataFrame:
+    keep = [c for c in df.columns if c not in cols]
+    return df.select(*keep, *[F.col(c).isNotNull().alias(f"_o_{c}") for c in cols],
+                     *[F.coalesce(F.col(c).cast("double"), F.lit(means[c])).alias(c) for c in cols])
+
+
 class ChainedImputer(Estimator, _Stage):
     """Iterative imputation: start from training means, then repeatedly regress each
     column with gaps on the others (fewest gaps first) and refill its gaps, for at
     most ``maxIter`` rounds or until the largest change is below ``tol`` times the
-    largest value.  Each regression is one aggregate of the Gram matrix (p x p sums)
-    solved on the driver; each round is checkpointed to cut lineage."""
+    largest value.  Each regression is one aggregate of the Gram matrix (p x p
+    sums) solved on the driver; refills run per Arrow batch; every round is
+    checkpointed to the shared checkpoint folder to cut lineage."""
 
     maxIter = Param(Params._dummy(), "maxIter", "rounds", typeConverter=TypeConverters.toInt)
     tol = Param(Params._dummy(), "tol", "relative stop tolerance", typeConverter=TypeConverters.toFloat)
@@ -373,30 +405,29 @@ class ChainedImputer(Estimator, _Stage):
         means = {c: stats[f"m{i}"] or 0.0 for i, c in enumerate(cols)}
         gaps = {c: stats["rows"] - stats[f"n{i}"] for i, c in enumerate(cols)}
         order = sorted([c for c in cols if gaps[c] > 0], key=lambda c: (gaps[c], c))
-        cur = df.select(*[F.col(c).isNotNull().alias(f"_o_{c}") for c in cols],
-                        *[F.coalesce(F.col(c).cast("double"), F.lit(means[c])).alias(c) for c in cols])
-        cur = cur.checkpoint(eager=True)
-        steps = []
+        cur = _start(df.select(*cols), cols, means).checkpoint(eager=True)
+        rounds = []
         for _ in range(self.getOrDefault(self.maxIter)):
-            round_steps = []
+            if not order:
+                break
+            prev = cur
+            steps = []
             for c in order:
                 feats = [f for f in cols if f != c]
                 G, b, _p = _gram(cur, c, feats, f"_o_{c}")
-                beta = _solve(G, b, self.getOrDefault(self.ridge))
-                pred = F.lit(beta[0])
-                for w, f in zip(beta[1:], feats):
-                    pred = pred + F.lit(w) * F.col(f)
-                cur = cur.withColumn(f"_prev_{c}", F.col(c)).withColumn(
-                    c, F.when(F.col(f"_o_{c}"), F.col(c)).otherwise(pred))
-                round_steps.append({"col": c, "feats": feats, "beta": beta})
-            change = cur.agg(F.max(F.greatest(*[F.abs(F.col(c) - F.col(f"_prev_{c}")) for c in order]))
-                             .alias("d"), F.max(F.greatest(*[F.abs(F.col(c)) for c in order])).alias("m")).first() \
-                if order else None
-            cur = cur.drop(*[f"_prev_{c}" for c in order]).checkpoint(eager=True)
-            steps.append(round_steps)
-            if change is None or not change["d"] or change["d"] < self.getOrDefault(self.tol) * (change["m"] or 1):
+                step = {"col": c, "feats": feats, "beta": _solve(G, b, self.getOrDefault(self.ridge))}
+                steps.append(step)
+                cur = _apply_steps(cur, [step], cols)
+            cur = cur.checkpoint(eager=True)
+            rounds.append(steps)
+            a = cur.select(*[F.col(c).alias(f"n_{c}") for c in order], F.monotonically_increasing_id().alias("_r"))
+            b_ = prev.select(*[F.col(c).alias(f"o_{c}") for c in order], F.monotonically_increasing_id().alias("_r"))
+            ch = a.join(b_, "_r").agg(
+                F.max(F.greatest(*[F.abs(F.col(f"n_{c}") - F.col(f"o_{c}")) for c in order])).alias("d"),
+                F.max(F.greatest(*[F.abs(F.col(f"n_{c}")) for c in order])).alias("m")).first()
+            if not ch["d"] or ch["d"] < self.getOrDefault(self.tol) * (ch["m"] or 1.0):
                 break
-        return ChainedImputerModel(inputCols=cols, state=json.dumps({"means": means, "rounds": steps}))
+        return ChainedImputerModel(inputCols=cols, state=json.dumps({"means": means, "rounds": rounds}))
 
 
 class ChainedImputerModel(Model, _Stage, _HasState):
@@ -408,16 +439,8 @@ class ChainedImputerModel(Model, _Stage, _HasState):
     def _transform(self, df: DataFrame) -> DataFrame:
         st = self.get_state()
         cols = self._cols()
-        others = [c for c in df.columns if c not in cols]
-        cur = df.select(*others, *[F.col(c).isNotNull().alias(f"_o_{c}") for c in cols],
-                        *[F.coalesce(F.col(c).cast("double"), F.lit(st["means"][c])).alias(c) for c in cols])
-        for rnd in st["rounds"]:
-            for s in rnd:
-                pred = F.lit(s["beta"][0])
-                for w, f in zip(s["beta"][1:], s["feats"]):
-                    pred = pred + F.lit(w) * F.col(f)
-                cur = cur.withColumn(s["col"], F.when(F.col(f"_o_{s['col']}"), F.col(s["col"])).otherwise(pred))
-        return cur.select(*[c for c in df.columns])
-
-
-
+        cur = _start(df, cols, st["means"])
+        steps = [s for rnd in st["rounds"] for s in rnd]
+        if steps:
+            cur = _apply_steps(cur, steps, cols)
+        return cur.select(*df.columns)

@@ -35,6 +35,7 @@ class Ctx:
     train: DataFrame     # training rows with fold (persisted: iterative learners re-read it)
     test: DataFrame
     n_features: int
+    memo: dict
 
 
 _CTX: dict = {}
@@ -53,7 +54,7 @@ def context(spark, sf) -> Ctx:
     test = data.filter("split = 'test'")
     n_features = len(data.schema["features"].metadata["ml_attr"]["attrs"]["numeric"]) + sum(
         len(v) for k, v in data.schema["features"].metadata["ml_attr"]["attrs"].items() if k != "numeric")
-    ctx = Ctx(pre, data, train, test, n_features)
+    ctx = Ctx(pre, data, train, test, n_features, {})
     _CTX[key] = ctx
     return ctx
 
@@ -120,16 +121,28 @@ def _bases(c):
     return {"log": L.logistic(c.train, weight="weight", max_iter=50), "gbt": L.gbt(rounds=10, step=0.1)}
 
 
+def _oof(c) -> DataFrame:
+    if "oof" not in c.memo:
+        c.memo["oof"] = L.out_of_fold(_bases(c), c.train, "SEQN").persist(StorageLevel.MEMORY_AND_DISK)
+    return c.memo["oof"]
+
+
+def _test_bases(c) -> DataFrame:
+    if "test_bases" not in c.memo:
+        c.memo["test_bases"] = L.base_scores(_bases(c), c.train, c.test, "SEQN") \
+            .persist(StorageLevel.MEMORY_AND_DISK)
+    return c.memo["test_bases"]
+
+
 @register("oof_scores")
 def oof_scores(spark, sf):
-    c = context(spark, sf)
-    return L.out_of_fold(_bases(c), c.train, "SEQN")
+    return _oof(context(spark, sf))
 
 
 @register("stacked")
 def stacked(spark, sf):
     c = context(spark, sf)
-    out, _ = L.stack(_bases(c), c.train, c.test, "SEQN")
+    out, _ = L.stack(_bases(c), c.train, c.test, "SEQN", oof=_oof(c), test_bases=_test_bases(c))
     return out.select("SEQN", "label", F.round("p", 6).alias("p"))
 
 
@@ -137,13 +150,10 @@ def stacked(spark, sf):
 def calibrated(spark, sf):
     from pyspark.ml.feature import VectorAssembler
     c = context(spark, sf)
-    bases = _bases(c)
-    oof = L.out_of_fold(bases, c.train, "SEQN").join(c.train.select("SEQN", "label"), "SEQN")
-    asm = VectorAssembler(inputCols=[f"p_{n}" for n in bases], outputCol="meta_x")
-    test = c.test.select("SEQN", "label")
-    for n, est in bases.items():
-        p = L.positive_probability(est.fit(c.train).transform(c.test)).select("SEQN", F.col("p").alias(f"p_{n}"))
-        test = test.join(p, "SEQN")
+    names = list(_bases(c))
+    oof = _oof(c).join(c.train.select("SEQN", "label"), "SEQN")
+    asm = VectorAssembler(inputCols=[f"p_{n}" for n in names], outputCol="meta_x")
+    test = c.test.select("SEQN", "label").join(_test_bases(c), "SEQN")
     out = L.calibrate_isotonic(asm.transform(oof), asm.transform(test), "meta_x", "SEQN")
     return out.join(test.select("SEQN", "label"), "SEQN").select("SEQN", "label", F.round("p", 6).alias("p"))
 
