@@ -35,7 +35,8 @@ def merge_unique_components(components: Mapping[str, DataFrame], key: str,
     """J1 (one row per key in every component): union by name, then group by key.
 
     ``carry`` columns (e.g. the cycle tag) are shared by all components and kept
-    as grouping columns.  Null keys form one group, as the null-matching merge does.
+    as grouping columns.  Rows with a NULL key are quarantined: they pass through
+    unmerged (one output row each) instead of all meeting in one group/task.
     """
     keys = [key, *carry]
     named = suffix_overlaps(components, keys)
@@ -46,18 +47,34 @@ def merge_unique_components(components: Mapping[str, DataFrame], key: str,
     value_cols = []
     for f in frames:
         value_cols += [c for c in f.columns if c not in keys and c not in value_cols]
-    return merged.groupBy(*keys).agg(*[F.max(c).alias(c) for c in value_cols])
+    grouped = merged.filter(F.col(key).isNotNull()).groupBy(*keys).agg(
+        *[F.max(c).alias(c) for c in value_cols])
+    loose = merged.filter(F.col(key).isNull()).select(*keys, *value_cols)
+    return grouped.unionByName(loose)
 
 
 def join_fanout(base: DataFrame, other: DataFrame, key: str, other_key: str | None = None,
                 how: str = "full") -> DataFrame:
-    """J1 (one-to-many component): null-safe outer join on the key, keys coalesced."""
+    """J1 (one-to-many component): outer equi-join on the key, keys coalesced.
+
+    NULL keys are quarantined rather than matched to each other (matching them
+    would pair every null-key row with every other in one task): for a full or
+    left/right join the null-key rows of the kept side(s) are appended unmatched.
+    """
     ok = other_key or key
     o = other.withColumnRenamed(ok, "_rkey")
-    joined = base.join(o, base[key].eqNullSafe(o["_rkey"]), how)
-    cols = [F.coalesce(base[key], o["_rkey"]).alias(key)] + \
-        [base[c] for c in base.columns if c != key] + [o[c] for c in o.columns if c != "_rkey"]
-    return joined.select(*cols)
+    b_ok, o_ok = base.filter(F.col(key).isNotNull()), o.filter(F.col("_rkey").isNotNull())
+    joined = b_ok.join(o_ok, b_ok[key] == o_ok["_rkey"], how)
+    cols = [F.coalesce(b_ok[key], o_ok["_rkey"]).alias(key)] + \
+        [b_ok[c] for c in base.columns if c != key] + [o_ok[c] for c in o.columns if c != "_rkey"]
+    out = joined.select(*cols)
+    if how in ("full", "outer", "full_outer", "left", "left_outer"):
+        out = out.unionByName(base.filter(F.col(key).isNull()), allowMissingColumns=True)
+    if how in ("full", "outer", "full_outer", "right", "right_outer"):
+        out = out.unionByName(o.filter(F.col("_rkey").isNull()).drop("_rkey")
+                              .withColumn(key, F.lit(None).cast(base.schema[key].dataType)),
+                              allowMissingColumns=True)
+    return out
 
 
 def left_join_labels(features: DataFrame, labels: DataFrame, key: str = "SEQN",

@@ -61,7 +61,10 @@ def _offsets(part: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFra
 
 
 def _join_back(ranged: DataFrame, part: DataFrame, by: Sequence[str]) -> DataFrame:
-    p = part
+    # Without groups the offsets table has one row per partition (a proven bound):
+    # broadcast it.  With groups it is <= partitions + groups rows; AQE broadcasts
+    # it at runtime when its measured size is under the threshold.
+    p = F.broadcast(part) if not by else part
     for c in ["_pid", *by]:
         p = p.withColumnRenamed(c, f"_k_{c}")
     cond = ranged["_pid"] == p["_k__pid"]

@@ -118,3 +118,13 @@ def test_confusion_report_published_counts(spark):
     assert abs(rep["1"].precision - 297 / 867) < 1e-6 and abs(rep["1"].recall - 297 / 337) < 1e-6
     assert rep["0"].support == 1960 and rep["1"].support == 337
     assert round(rep["macro avg"].f1, 2) == 0.66 and round(rep["weighted avg"].recall, 2) == 0.73
+
+
+def test_null_keys_quarantined_in_merge_and_fanout(spark):
+    a = spark.createDataFrame([(1, 1.0), (None, 2.0), (None, 3.0)], "SEQN long, x double")
+    b = spark.createDataFrame([(1, "p"), (None, "q")], "SEQN long, y string")
+    m = J.merge_unique_components({"A": a, "B": b}, "SEQN").collect()
+    assert len(m) == 4  # key 1 merged; three null-key rows kept apart
+    rx = spark.createDataFrame([(1, 10), (1, 11), (None, 12)], "k long, line int")
+    f = J.join_fanout(a, rx, "SEQN", "k").collect()
+    assert len(f) == 2 + 2 + 1  # two lines for key 1, two null-key base rows, one null-key line
