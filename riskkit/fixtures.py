@@ -60,8 +60,18 @@ SR_SQL = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """One driver table, spread over the session's cores when it scans as fewer splits.
+
+    A file with one row group is one scan task, so everything before the first
+    shuffle would run on one core.  When the scan has fewer partitions than the
+    default parallelism, rows are spread round-robin (deterministic on retry);
+    on a cluster-sized input there are more splits than cores and nothing changes.
+    """
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
+    return df
 
 
 def survey_view(spark: SparkSession, sf_dir: str) -> DataFrame:
