@@ -210,6 +210,45 @@ def hot_index(vec_col: str) -> Column:
     return F.when(pos == 0, F.lit(None)).otherwise(pos - 1).cast("int")
 
 
+# --- D7 / V13: quantile bins fitted on training rows -------------------------------------
+
+class QuantileBinner(Estimator, _Stage):
+    """q equal-frequency bins whose edges are exact training quantiles (linear
+    interpolation); applied as right-closed bins (``x <= edge_1`` -> 0, ...), so
+    validation and test rows use the training edges.  NULL stays NULL."""
+
+    q = Param(Params._dummy(), "q", "number of bins", typeConverter=TypeConverters.toInt)
+
+    @keyword_only
+    def __init__(self, *, inputCols=None, q=5):
+        super().__init__()
+        self._setDefault(q=5)
+        self._set(**self._input_kwargs)
+
+    def _fit(self, df: DataFrame) -> "QuantileBinnerModel":
+        k = self.getOrDefault(self.q)
+        probs = [i / k for i in range(1, k)]
+        names = [f"e{i}" for i in range(1, k)]
+        rows = exact_quantiles(df, self._cols(), probs, names).collect()
+        edges = {r["column_name"]: [r[n] for n in names] for r in rows}
+        return QuantileBinnerModel(inputCols=self._cols(), state=json.dumps(edges))
+
+
+class QuantileBinnerModel(Model, _Stage, _HasState):
+    @keyword_only
+    def __init__(self, *, inputCols=None, state=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        edges = self.get_state()
+        out = [F.col(c) for c in df.columns]
+        for c, es in edges.items():
+            b = sum(((F.col(c) > F.lit(e)).cast("int") for e in es), F.lit(0))
+            out.append(F.when(F.col(c).isNull(), F.lit(None).cast("int")).otherwise(b).alias(f"{c}_bin"))
+        return df.select(*out)
+
+
 # --- M14: balanced class weights ----------------------------------------------------------
 
 def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:

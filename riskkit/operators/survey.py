@@ -283,16 +283,20 @@ def interaction_columns(df: DataFrame) -> list[Column]:
     return out
 
 
-def features_interaction(df: DataFrame, key: str = "SEQN", q: int = 5) -> DataFrame:
+def features_interaction(df: DataFrame, key: str = "SEQN", q: int = 5, binner=None) -> DataFrame:
     """Interaction features plus a q-quantile bin of the waist/height ratio.
 
-    The bin ranks the ratio over the whole frame (ties by ``key``), as the
-    per-frame call does; the rank is computed without a single-partition window.
+    Without ``binner`` the bin ranks the ratio over this frame (ties by ``key``),
+    as the per-frame call does, without a single-partition window.  With a
+    fitted ``QuantileBinnerModel`` (fit on training rows) its edges are applied.
     """
     from .rank import quantile_bins
     out = df.select("*", *interaction_columns(df))
     if "WAIST_HT_RATIO" in df.columns:
-        out = quantile_bins(out, "WAIST_HT_RATIO", [key], q=q, bin_col="WHtR_bin")
+        if binner is None:
+            out = quantile_bins(out, "WAIST_HT_RATIO", [key], q=q, bin_col="WHtR_bin")
+        else:
+            out = binner.transform(out).withColumnRenamed("WAIST_HT_RATIO_bin", "WHtR_bin")
     return out
 
 

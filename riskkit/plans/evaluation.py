@@ -119,11 +119,15 @@ def log_loss(spark, sf):
     return E.log_loss(scored(spark, sf), p="score")
 
 
+_AUC_CUM = "CA AS (SELECT pos, neg, sum(neg) OVER (ORDER BY score ROWS UNBOUNDED PRECEDING) AS nc FROM G)"
+_AUC_VAL = "round(sum(pos * (nc - neg + neg / 2.0)) / (sum(pos) * sum(neg)), 6)"
+_AP_VAL = "round(sum(pos * tp / (tp + fp)) / sum(pos), 6)"
+
+
 @register("json_metrics_sink",
-          f"{AUC_SQL.replace('SELECT round(sum(pos * (nc', 'SELECT ' + repr('synthetic') + ' AS model, ' + repr('auc') + ' AS metric, round(sum(pos * (nc').replace(') AS auc FROM C', ') AS value FROM C')} "
-          "UNION ALL " + AP_SQL.replace("WITH SC AS", "(WITH SC AS").replace(
-              "SELECT round(sum(pos * tp", "SELECT 'synthetic' AS model, 'ap' AS metric, round(sum(pos * tp").replace(
-              ") AS ap FROM C", ") AS value FROM C)"))
+          f"{SC}, {G}, {_AUC_CUM}, {CUM_DESC} "
+          f"SELECT 'synthetic' AS model, 'auc' AS metric, {_AUC_VAL} AS value FROM CA "
+          f"UNION ALL SELECT 'synthetic', 'ap', {_AP_VAL} FROM C")
 def json_metrics_sink(spark, sf):
     s = scored(spark, sf)
     rec = E.metric_records("synthetic", E.roc_auc(s), E.average_precision(s))

@@ -47,27 +47,33 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet",
 
 def write_components(df: DataFrame, root: str, groups: dict[str, Sequence[str]], key: str,
                      cycle: str = "cycle", filters: dict[str, str] | None = None) -> None:
-    """Split a wide frame into component tables at ``<root>/cycle=<c>/<PREFIX>.parquet``.
+    """Split a wide frame into component tables ``<root>/<PREFIX>/cycle=<c>/``.
 
-    This is the survey's own layout (one folder per cycle, one file per
-    component).  ``filters`` may give a SQL predicate per prefix so components
-    cover different respondents, as real components do.  The cycle list is a
-    small distinct aggregate.
+    One partitioned write per component.  ``filters`` may give a SQL predicate
+    per prefix so components cover different respondents, as real ones do.
     """
-    cycles = [r[0] for r in df.select(cycle).distinct().collect()]
     for prefix, cols in groups.items():
         part = df.filter(filters[prefix]) if filters and prefix in filters else df
-        for c in cycles:
-            (part.filter(part[cycle] == c).select(key, *cols)
-             .write.mode("overwrite").parquet(f"{root}/{cycle}={c}/{prefix}.parquet"))
+        part.select(key, *cols, cycle).write.mode("overwrite").partitionBy(cycle).parquet(f"{root}/{prefix}")
 
 
 def read_component(spark: SparkSession, root: str, prefix: str) -> DataFrame | None:
-    """All cycles of one component (first-match by upper-cased prefix); None if absent."""
-    try:
-        return spark.read.option("basePath", root).parquet(f"{root}/cycle=*/{prefix.upper()}*")
-    except AnalysisException:
-        return None
+    """All cycles of one component, ``cycle`` from the folder names; None if absent.
+
+    Accepts the survey layout ``<root>/cycle=<c>/<PREFIX>...`` (first match by
+    upper-cased prefix in each cycle folder) and the partitioned layout
+    ``<root>/<PREFIX>/cycle=<c>/``.
+    """
+    p = prefix.upper()
+    for pattern, base in ((f"{root}/cycle=*/{p}*", root), (f"{root}/{p}*", None)):
+        try:
+            r = spark.read
+            if base:
+                r = r.option("basePath", base)
+            return r.parquet(pattern)
+        except AnalysisException:
+            continue
+    return None
 
 
 def load_components(spark: SparkSession, root: str, prefixes: Sequence[str]) -> dict[str, DataFrame]:

@@ -128,3 +128,28 @@ def test_null_keys_quarantined_in_merge_and_fanout(spark):
     rx = spark.createDataFrame([(1, 10), (1, 11), (None, 12)], "k long, line int")
     f = J.join_fanout(a, rx, "SEQN", "k").collect()
     assert len(f) == 2 + 2 + 1  # two lines for key 1, two null-key base rows, one null-key line
+
+
+def test_read_component_both_layouts(spark, tmp_path):
+    from riskkit.sources import io
+    df = spark.createDataFrame([(1, 1.0, "2011_2012"), (2, 2.0, "2013_2014")], "SEQN long, x double, cycle string")
+    survey = str(tmp_path / "survey")
+    for c in ("2011_2012", "2013_2014"):
+        df.filter(df.cycle == c).drop("cycle").write.parquet(f"{survey}/cycle={c}/DEMO_G.parquet")
+    got = io.read_component(spark, survey, "demo")
+    assert sorted((r.SEQN, r.cycle) for r in got.collect()) == [(1, "2011_2012"), (2, "2013_2014")]
+    part = str(tmp_path / "part")
+    io.write_components(df, part, {"DEMO": ["x"]}, "SEQN")
+    got = io.read_component(spark, part, "DEMO")
+    assert sorted((r.SEQN, r.cycle) for r in got.collect()) == [(1, "2011_2012"), (2, "2013_2014")]
+    assert io.read_component(spark, part, "LAB") is None
+
+
+def test_quantile_binner_fitted_edges(spark):
+    from riskkit.operators.prep import QuantileBinner
+    train = spark.createDataFrame([(float(i),) for i in range(1, 11)], "x double")
+    model = QuantileBinner(inputCols=["x"], q=5).fit(train)
+    edges = model.get_state()["x"]
+    assert np.allclose(edges, np.quantile(np.arange(1, 11), [0.2, 0.4, 0.6, 0.8]))
+    new = spark.createDataFrame([(0.0,), (2.8,), (2.9,), (100.0,), (None,)], "x double")
+    assert [r.x_bin for r in model.transform(new).collect()] == [0, 0, 1, 4, None]
