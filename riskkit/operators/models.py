@@ -212,6 +212,3 @@ def importance_table(model, assembler_out: DataFrame, features: str = "features"
     spark = assembler_out.sparkSession
     return spark.createDataFrame(rows, "feature string, importance double") \
         .orderBy(F.col("importance").desc(), F.col("feature")).limit(top)
-
-
-

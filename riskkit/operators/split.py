@@ -93,6 +93,3 @@ def routed_columns(routing: DataFrame) -> tuple[list[str], list[str]]:
     num = [r["column_name"] for r in rows if r["role"] == "numeric"]
     cat = [r["column_name"] for r in rows if r["role"] == "categorical"]
     return num, cat
-
-
-

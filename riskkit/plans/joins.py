@@ -113,12 +113,12 @@ def union_missing_cols(spark, sf):
 
 @register("column_bind",
           "SELECT o.o_orderkey, o.o_totalprice, l.n_lines, l.qty FROM orders o JOIN "
-          "(SELECT l_orderkey, CAST(count(*) AS BIGINT) AS n_lines, sum(l_quantity) AS qty "
+          "(SELECT l_orderkey, CAST(count(*) AS BIGINT) AS n_lines, round(sum(l_quantity), 6) AS qty "
           "FROM lineitem GROUP BY l_orderkey) l ON o.o_orderkey = l.l_orderkey")
 def column_bind(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
     per_order = (table(spark, sf, "lineitem").groupBy("l_orderkey")
-                 .agg(F.count(F.lit(1)).alias("n_lines"), F.sum("l_quantity").alias("qty"))
+                 .agg(F.count(F.lit(1)).alias("n_lines"), F.round(F.sum("l_quantity"), 6).alias("qty"))
                  .withColumnRenamed("l_orderkey", "o_orderkey"))
     return J.bind_columns(orders, per_order, "o_orderkey")
 

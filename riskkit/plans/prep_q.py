@@ -146,9 +146,8 @@ def preprocessor(numeric=NUMERIC_FEATURES, categorical=CATEGORICAL_FEATURES, fla
 
 def model_frame(spark, sf):
     """Features A without leakage columns, with the label and the temporal split."""
-    fa = features_a_frame(spark, sf)
-    lab = fa.select("SEQN", F.col("DIABETES_BIN").alias("label"))
-    x = exclude_leaky(fa).join(lab, "SEQN")
+    fa = features_a_frame(spark, sf).withColumn("label", F.col("DIABETES_BIN"))
+    x = exclude_leaky(fa)
     return temporal_split(x.withColumn("YEAR_START", R.year_start("CYCLE")))
 
 
@@ -157,6 +156,3 @@ def preprocess_pipeline(spark, sf):
     df = model_frame(spark, sf)
     fitted = preprocessor(quantile=True).fit(df.filter("split = 'train'"))
     return fitted.transform(df).select("SEQN", "split", vector_to_array("features").alias("features"))
-
-
-

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from ..fixtures import survey_view, table, with_sr
 from ..functions import rowwise as R
@@ -75,6 +74,3 @@ def feature_routing(spark, sf):
     from .derivations import features_a_frame
     fa = M.exclude_leaky(features_a_frame(spark, sf))
     return M.feature_routing(fa, exclude=["SEQN", "CYCLE"])
-
-
-
