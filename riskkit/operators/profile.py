@@ -77,15 +77,43 @@ def unpivot_values(df: DataFrame, columns: Sequence[str], cast: str = "double",
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                    names: Sequence[str] | None = None) -> DataFrame:
+                    names: Sequence[str] | None = None, max_distinct: int = 100_000) -> DataFrame:
     """Exact linear-interpolation quantiles per column: (column_name, <name>...).
 
-    Values are ranked per column with range partitioning (no task holds a
-    column).  A small grid table (columns x probs x 2 rows, a known bound) lists
-    the two positions that bracket each quantile; it is broadcast-joined to the
-    ranked values and the pairs are interpolated.
+    One HyperLogLog pass sorts columns by cardinality.  Columns with at most
+    ``max_distinct`` distinct values use the exact ``percentile`` aggregate, whose
+    partial buffers are value -> count maps bounded by that cardinality.  Other
+    columns are ranked with range partitioning (no task holds a column).
     """
     names = list(names or [f"q{int(p * 100)}" for p in probs])
+    cols = list(columns)
+    nd = df.agg(*[F.approx_count_distinct(F.col(c)).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+    small = [c for i, c in enumerate(cols) if (nd[f"d{i}"] or 0) <= max_distinct]
+    big = [c for c in cols if c not in small]
+    parts = []
+    if small:
+        pct = F.array(*[F.lit(float(p)) for p in probs])
+        one = df.agg(*[F.percentile(F.col(c).cast("double"), pct).alias(f"p{i}") for i, c in enumerate(small)])
+        stack = ", ".join(f"'{c}', p{i}" for i, c in enumerate(small))
+        long = one.selectExpr(f"stack({len(small)}, {stack}) AS (column_name, qs)")
+        parts.append(long.select("column_name", *[F.col("qs").getItem(j).alias(nm) for j, nm in enumerate(names)]))
+    if big:
+        parts.append(ranked_quantiles(df, big, probs, names))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def ranked_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
+                     names: Sequence[str]) -> DataFrame:
+    """Exact quantiles by rank positions, for columns of any cardinality.
+
+    Values are ranked per column with range partitioning.  A small grid table
+    (columns x probs x 2 rows, a known bound) lists the two positions that
+    bracket each quantile; it is broadcast-joined to the ranked values and the
+    pairs are interpolated.
+    """
     # a row id breaks ties so a heavily repeated value still spreads over range partitions
     long = unpivot_values(df.withColumn("_rid", F.monotonically_increasing_id()), columns,
                           carry=["_rid"])

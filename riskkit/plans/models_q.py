@@ -46,7 +46,10 @@ def context(spark, sf) -> Ctx:
     if key in _CTX:
         return _CTX[key]
     df = model_frame(spark, sf)
-    pre = preprocessor().fit(df.filter("split = 'train'"))
+    # every pipeline stage makes its own pass over the training rows: keep them
+    fit_rows = df.filter("split = 'train'").persist(StorageLevel.MEMORY_AND_DISK)
+    pre = preprocessor().fit(fit_rows)
+    fit_rows.unpersist()
     data = pre.transform(df).select("SEQN", "label", "split", "features", *RAW)
     tr = data.filter("split = 'train'")
     folds = stratified_folds(tr.select("SEQN", "label"), "SEQN", ["label"], k=5).select("SEQN", "fold")

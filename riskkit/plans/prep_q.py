@@ -153,6 +153,9 @@ def model_frame(spark, sf):
 
 @register("preprocess_pipeline")
 def preprocess_pipeline(spark, sf):
+    from pyspark.storagelevel import StorageLevel
     df = model_frame(spark, sf)
-    fitted = preprocessor(quantile=True).fit(df.filter("split = 'train'"))
+    fit_rows = df.filter("split = 'train'").persist(StorageLevel.MEMORY_AND_DISK)  # one pass per stage
+    fitted = preprocessor(quantile=True).fit(fit_rows)
+    fit_rows.unpersist()
     return fitted.transform(df).select("SEQN", "split", vector_to_array("features").alias("features"))

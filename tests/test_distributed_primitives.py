@@ -63,9 +63,14 @@ def test_top_k_per_group_skewed(spark):
             assert got[(g, i + 1)] == r[0]
 
 
-def test_exact_quantiles_match_numpy(spark):
+import pytest
+
+
+@pytest.mark.parametrize("max_distinct", [100_000, 0])  # percentile path, rank path
+def test_exact_quantiles_match_numpy(spark, max_distinct):
     df, rows = _skewed(spark)
-    q = A.exact_quantiles(df, ["v", "id"], [0.0, 0.25, 0.5, 0.9, 1.0], ["a", "b", "c", "d", "e"]).collect()
+    q = A.exact_quantiles(df, ["v", "id"], [0.0, 0.25, 0.5, 0.9, 1.0], ["a", "b", "c", "d", "e"],
+                          max_distinct=max_distinct).collect()
     got = {r.column_name: [r.a, r.b, r.c, r.d, r.e] for r in q}
     for c, idx in (("v", 2), ("id", 0)):
         arr = np.array([float(r[idx]) for r in rows])
