@@ -158,3 +158,10 @@ def test_quantile_binner_fitted_edges(spark):
     assert np.allclose(edges, np.quantile(np.arange(1, 11), [0.2, 0.4, 0.6, 0.8]))
     new = spark.createDataFrame([(0.0,), (2.8,), (2.9,), (100.0,), (None,)], "x double")
     assert [r.x_bin for r in model.transform(new).collect()] == [0, 0, 1, 4, None]
+
+
+def test_write_observed_summary(spark, tmp_path):
+    from riskkit.sources import io
+    df = spark.createDataFrame([(1, None), (2, 3.0)], "k long, v double")
+    summary = io.write_observed(df, str(tmp_path / "t"), counted=["v"])
+    assert summary == {"rows": 2, "non_null_v": 1, "cols": 2}
