@@ -57,24 +57,33 @@ def join_fanout(base: DataFrame, other: DataFrame, key: str, other_key: str | No
                 how: str = "full") -> DataFrame:
     """J1 (one-to-many component): outer equi-join on the key, keys coalesced.
 
-    NULL keys are quarantined rather than matched to each other (matching them
-    would pair every null-key row with every other in one task): for a full or
-    left/right join the null-key rows of the kept side(s) are appended unmatched.
+    A full outer join cannot have a skewed partition split by AQE, so it is
+    computed as inner join + rows of each side whose key is absent from the
+    other.  The inner join is skew-splittable; each anti join probes the
+    other side's *distinct* keys, reduced by partial aggregation before the
+    shuffle, so a key holding a third of the rows never lands whole in one task.
+    NULL keys are quarantined rather than matched to each other: the null-key
+    rows of the kept side(s) are appended unmatched.
     """
     ok = other_key or key
     o = other.withColumnRenamed(ok, "_rkey")
     b_ok, o_ok = base.filter(F.col(key).isNotNull()), o.filter(F.col("_rkey").isNotNull())
-    joined = b_ok.join(o_ok, b_ok[key] == o_ok["_rkey"], how)
-    cols = [F.coalesce(b_ok[key], o_ok["_rkey"]).alias(key)] + \
-        [b_ok[c] for c in base.columns if c != key] + [o_ok[c] for c in o.columns if c != "_rkey"]
-    out = joined.select(*cols)
-    if how in ("full", "outer", "full_outer", "left", "left_outer"):
+    inner = b_ok.join(o_ok, b_ok[key] == o_ok["_rkey"], "inner")
+    out = inner.select(*[b_ok[c] for c in base.columns], *[o_ok[c] for c in o.columns if c != "_rkey"])
+    keep_left = how in ("full", "outer", "full_outer", "left", "left_outer")
+    keep_right = how in ("full", "outer", "full_outer", "right", "right_outer")
+    if keep_left:
+        o_keys = o_ok.select(F.col("_rkey").alias("_k")).distinct()
+        left_only = b_ok.join(o_keys, b_ok[key] == o_keys["_k"], "left_anti")
+        out = out.unionByName(left_only, allowMissingColumns=True)
         out = out.unionByName(base.filter(F.col(key).isNull()), allowMissingColumns=True)
-    if how in ("full", "outer", "full_outer", "right", "right_outer"):
-        out = out.unionByName(o.filter(F.col("_rkey").isNull()).drop("_rkey")
-                              .withColumn(key, F.lit(None).cast(base.schema[key].dataType)),
-                              allowMissingColumns=True)
-    return out
+    if keep_right:
+        b_keys = b_ok.select(F.col(key).alias("_k")).distinct()
+        right_only = o_ok.join(b_keys, o_ok["_rkey"] == b_keys["_k"], "left_anti")
+        right_rows = right_only.unionByName(o.filter(F.col("_rkey").isNull()))
+        out = out.unionByName(right_rows.withColumnRenamed("_rkey", key), allowMissingColumns=True)
+    return out.select(key, *[c for c in base.columns if c != key],
+                      *[c for c in o.columns if c != "_rkey"])
 
 
 def left_join_labels(features: DataFrame, labels: DataFrame, key: str = "SEQN",

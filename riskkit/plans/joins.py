@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..fixtures import SR_NAMES, survey_view, table, with_sr
 from ..operators import combine as J
 from ..operators.survey import label_four_source
-from ..session import scratch_path
+from ..session import checkpoint_root, scratch_path
 from ..sources import io
 from . import sqlbits as Q
 from .catalog import register
@@ -46,7 +46,9 @@ def component_merge(spark, sf):
     """Four one-row-per-respondent components (one shuffle) plus a fan-out component."""
     root = component_root(spark, sf)
     comps = io.load_components(spark, root, list(GROUPS))
-    merged = J.merge_unique_components(comps, "SEQN", carry=["cycle"])
+    checkpoint_root(spark)
+    # the merged table is read three times by the fan-out join: materialise it once
+    merged = J.merge_unique_components(comps, "SEQN", carry=["cycle"]).checkpoint(eager=True)
     rx = table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("SEQN"), F.col("l_linenumber").alias("RX_LINE"),
         F.col("l_quantity").alias("RX_QTY"))
