@@ -23,9 +23,12 @@ LAB_FILTER = "LBXGLU IS NOT NULL OR LBXGH IS NOT NULL"
 
 
 def component_root(spark, sf):
+    from pyspark.storagelevel import StorageLevel
     root = scratch_path(spark, "components")
-    sr = survey_view(spark, sf).withColumnRenamed("CYCLE", "cycle")
+    # four component writes read the same rows: keep them for the duration
+    sr = survey_view(spark, sf).withColumnRenamed("CYCLE", "cycle").persist(StorageLevel.MEMORY_AND_DISK)
     io.write_components(sr, root, GROUPS, "SEQN", filters={"LAB": LAB_FILTER})
+    sr.unpersist()
     return root
 
 
