@@ -52,6 +52,21 @@ def stratified_split(df: DataFrame, key: str, strata: Sequence[str], test_frac:
     return p.withColumn(out, F.when(held, F.lit(names[1])).otherwise(F.lit(names[0]))).drop("_pos", "_n")
 
 
+def stratified_split_multi(df: DataFrame, key: str, strata: Sequence[str],
+                           fractions: Sequence[tuple[str, float]] = (("test", 0.2), ("val", 0.2)),
+                           rest: str = "train", seed: int = 42, out: str = "split") -> DataFrame:
+    """M2, any number of parts: inside each stratum, in hash order, the first
+    ``floor(f1*n)`` rows get the first name, the next ``floor((f1+f2)*n) - floor(f1*n)``
+    the second, and so on; the remainder is ``rest`` (e.g. 60/20/20)."""
+    p = stratified_positions(df, key, strata, seed)
+    expr, cum = None, 0.0
+    for name, frac in fractions:
+        cum += frac
+        cond = F.col("_pos") <= F.floor(F.lit(cum) * F.col("_n"))
+        expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))
+    return p.withColumn(out, expr.otherwise(F.lit(rest))).drop("_pos", "_n")
+
+
 def stratified_folds(df: DataFrame, key: str, strata: Sequence[str], k: int = 5, seed: int = 42,
                      out: str = "fold") -> DataFrame:
     """M3: stratified k-fold ids 0..k-1 (position modulo k inside each stratum)."""

@@ -34,6 +34,14 @@ def stratified_split(spark, sf):
     return M.stratified_split(lab, "doc_id", ["quality"], test_frac=0.2, seed=42)
 
 
+@register("stratified_split_3way",
+          "SELECT doc_id, quality, CASE WHEN pos <= floor(0.2 * n) THEN 'test' WHEN pos <= floor(0.4 * n) "
+          f"THEN 'val' ELSE 'train' END AS split FROM (SELECT doc_id, quality, {_POS} FROM labels) t")
+def stratified_split_3way(spark, sf):
+    lab = table(spark, sf, "labels").select("doc_id", "quality")
+    return M.stratified_split_multi(lab, "doc_id", ["quality"], [("test", 0.2), ("val", 0.2)], seed=42)
+
+
 @register("stratified_folds",
           f"SELECT doc_id, quality, CAST((pos - 1) % 5 AS INTEGER) AS fold FROM (SELECT doc_id, quality, {_POS} "
           "FROM labels) t")

@@ -160,8 +160,8 @@ def test_quantile_binner_fitted_edges(spark):
     assert [r.x_bin for r in model.transform(new).collect()] == [0, 0, 1, 4, None]
 
 
-def test_write_observed_summary(spark, tmp_path):
+def test_write_with_summary(spark, tmp_path):
     from riskkit.sources import io
     df = spark.createDataFrame([(1, None), (2, 3.0)], "k long, v double")
-    summary = io.write_observed(df, str(tmp_path / "t"), counted=["v"])
+    summary = io.write_with_summary(df, str(tmp_path / "t"), counted=["v"])
     assert summary == {"rows": 2, "non_null_v": 1, "cols": 2}
