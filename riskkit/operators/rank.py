@@ -197,9 +197,12 @@ def top_k_per_group(df: DataFrame, by: Sequence[str], order: Sequence[ColLike],
                     salt_key: Sequence[str] | None = None) -> DataFrame:
     """Top ``k`` rows per group, skew-safe.
 
-    Phase 1 keeps the top k inside (group, salt) sub-groups, so a hot group is
-    split over ``salt_buckets`` tasks; phase 2 ranks the <= k*salt survivors.
-    ``order`` must be a total order for a deterministic answer.
+    ``row_number() <= k`` lets Spark place a partial ``WindowGroupLimit`` before
+    each exchange (a map-side top-k per task), so no more than k rows per group
+    leave any map task.  On top, phase 1 keeps the top k inside (group, salt)
+    sub-groups, so a hot group's final sort is split over ``salt_buckets`` tasks;
+    phase 2 ranks the <= k*salt survivors.  ``order`` must be a total order for a
+    deterministic answer.
     """
     keys = salt_key or [c for c in df.columns if c not in by]
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(salt_buckets)))
