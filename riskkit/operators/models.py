@@ -26,6 +26,16 @@ from pyspark.sql import functions as F
 from . import metrics as E
 
 
+def training_partitions(spark, rows: int, rows_per_partition: int = 200_000,
+                        min_rows_per_task: int = 10_000) -> int:
+    """Partitions for a persisted training frame read once per learner iteration:
+    about ``rows_per_partition`` rows each, spread over the cores only when every
+    task still gets ``min_rows_per_task`` rows (per-iteration task overhead)."""
+    import math
+    cores = spark.sparkContext.defaultParallelism
+    return max(1, math.ceil(rows / rows_per_partition), min(cores, rows // min_rows_per_task))
+
+
 def positive_probability(df: DataFrame, prob_col: str = "probability", out: str = "p") -> DataFrame:
     """Positive-class probability from a probability vector."""
     return df.withColumn(out, vector_to_array(prob_col).getItem(1))

@@ -53,7 +53,10 @@ def context(spark, sf) -> Ctx:
     data = pre.transform(df).select("SEQN", "label", "split", "features", *RAW)
     tr = data.filter("split = 'train'")
     folds = stratified_folds(tr.select("SEQN", "label"), "SEQN", ["label"], k=5).select("SEQN", "fold")
-    train = L.with_balanced_weights(tr.join(folds, "SEQN"), "label").persist(StorageLevel.MEMORY_AND_DISK)
+    rows = tr.select("SEQN").count()
+    # iterative learners re-read this frame every iteration: persist it, sized to its rows
+    train = (L.with_balanced_weights(tr.join(folds, "SEQN"), "label")
+             .repartition(L.training_partitions(spark, rows)).persist(StorageLevel.MEMORY_AND_DISK))
     test = data.filter("split = 'test'")
     n_features = len(data.schema["features"].metadata["ml_attr"]["attrs"]["numeric"]) + sum(
         len(v) for k, v in data.schema["features"].metadata["ml_attr"]["attrs"].items() if k != "numeric")
