@@ -295,17 +295,30 @@ def inverse_normal(p: Column) -> Column:
     return F.when(p < lo, low).when(p > 1 - lo, high).otherwise(central)
 
 
+def _count_below(x: Column, grid: Sequence[float], inclusive: bool) -> Column:
+    """Number of sorted ``grid`` points < x (<= x when ``inclusive``), as a balanced
+    CASE tree over literals: depth ~log2(len(grid)), code-generated, no lambdas."""
+    def node(lo: int, hi: int) -> Column:
+        if lo >= hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        g = F.lit(float(grid[mid]))
+        cond = (g <= x) if inclusive else (g < x)
+        return F.when(cond, node(mid + 1, hi)).otherwise(node(lo, mid))
+    return node(0, len(grid))
+
+
 def interpolate(df: DataFrame, col: str, xs: Sequence[float], ys: Sequence[float], out: str) -> DataFrame:
     """Add ``out`` = piecewise-linear y(x) through sorted grid ``xs`` -> ``ys``, clamped.
 
     A value equal to a run of repeated grid points maps to the midpoint of their
-    references.  The grid is a literal array; the two counts (grid points below
-    / up to x) are projected once and reused, so no expression is repeated.
+    references.  The segment is found by binary search over the literal grid;
+    the two counts are projected once and reused.
     """
-    gx = F.array(*[F.lit(float(v)) for v in xs])
     x = F.col(col)
-    staged = df.withColumn(f"_b_{out}", F.size(F.filter(gx, lambda g: g < x))) \
-               .withColumn(f"_u_{out}", F.size(F.filter(gx, lambda g: g <= x)))
+    staged = df.withColumn(f"_b_{out}", _count_below(x, xs, False)) \
+               .withColumn(f"_u_{out}", _count_below(x, xs, True))
+    gx = F.array(*[F.lit(float(v)) for v in xs])
     gy = F.array(*[F.lit(float(v)) for v in ys])
     b, u, k = F.col(f"_b_{out}"), F.col(f"_u_{out}"), len(xs)
     on_grid = (F.element_at(gy, b + 1) + F.element_at(gy, u)) / 2
