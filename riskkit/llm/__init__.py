@@ -5,7 +5,7 @@ the registered query that applies it to the driver's tables.  Nothing outside
 this subpackage imports it.
 """
 
-from . import chat_format, simhash_groups, source_mix, spot_signatures, url_filter  # noqa: F401
+from . import chat_format, language_crf, quality, simhash_groups, source_mix, spot_signatures, url_filter  # noqa: F401
 from .catalog import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
