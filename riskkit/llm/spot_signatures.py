@@ -129,20 +129,20 @@ def edited_texts(docs: DataFrame) -> DataFrame:
     pieces that the previous documents ask for and to receive them.  Where the
     next id has several rows, the least text of them is taken.
     """
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"),
-                       F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    # the key is the id as text, null as "": no column is left out on either side, else the exchange would not be shared
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    rows = docs.select(key("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("sigs", signatures(F.col("text")))
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    asked = (next_ids(docs).select(text("next_id").alias("_id"), text("id").alias("_for")))
-    asked = asked.join(docs.groupBy(text("doc_id").alias("_for")).agg(F.max(F.length("text")).alias("_k")), "_for")
+    asked = next_ids(docs).select(key("next_id").alias("_id"), key("id").alias("_for"))
+    asked = asked.join(docs.groupBy(key("doc_id").alias("_for")).agg(F.max(F.length("text")).alias("_k")), "_for")
     piece = F.expr("substring(text, 1, cast(coalesce(_k, 0) div 3 as int))")
-    sent = (rows.select("_id", "text", "sigs", "doc_id").join(asked, "_id")
-            .select(F.col("_for").alias("_id"), piece.alias("_piece"), F.col("sigs").alias("next_sigs"))
+    sent = (rows.join(asked, "_id").select(F.col("_for").alias("_id"), piece.alias("_piece"), F.col("sigs").alias("next_sigs"))
             .groupBy("_id").agg(F.min(F.struct("_piece", "next_sigs")).alias("_next")))
-    got = rows.select("_id", "text", "sigs", "doc_id").join(sent, "_id")
     edited = F.concat(F.expr("substring(text, 1, cast(length(text) - length(text) div 3 as int))"),
                       F.expr("substring(_next._piece, 1, cast(length(text) div 3 as int))"))
-    return got.select("doc_id", F.length("text").cast("long").alias("n_chars"), "sigs", edited.alias("edited"), F.col("_next.next_sigs").alias("next_sigs"))
+    return rows.join(sent, "_id").select(F.expr("cast(nullif(_id, '') as bigint)").alias("doc_id"),
+                                         F.length("text").cast("long").alias("n_chars"), "sigs", edited.alias("edited"),
+                                         F.col("_next.next_sigs").alias("next_sigs"))
 
 
 @query("op2_spot_signatures")
