@@ -5,7 +5,7 @@ the registered query that applies it to the driver's tables.  Nothing outside
 this subpackage imports it.
 """
 
-from . import (chat_format, language_crf, quality, sentence_pieces, simhash_groups, source_mix,  # noqa: F401
+from . import (chat_format, exact_topk, language_crf, quality, sentence_pieces, simhash_groups, source_mix,  # noqa: F401
                spot_signatures, url_filter)
 from .catalog import ORACLE, QUERIES
 
