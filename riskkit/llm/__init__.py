@@ -6,7 +6,7 @@ this subpackage imports it.
 """
 
 from . import (chat_format, exact_topk, language_crf, quality, sentence_pieces, simhash_groups, source_mix,  # noqa: F401
-               spot_signatures, url_filter)
+               spot_signatures, suffix_dedup, url_filter)
 from .catalog import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
