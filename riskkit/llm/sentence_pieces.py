@@ -230,13 +230,14 @@ def _gather(values: np.ndarray, start: np.ndarray, size: np.ndarray, rows: np.nd
     return values[np.repeat(start[rows] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
 
 
+def coded(docs: DataFrame, model: PieceModel, text: str = "text") -> DataFrame:
+    """``docs`` with ids, n_tokens, the decoded text ``decoded`` and whether it is the text itself (``lossless``)."""
+    out = model.encode_column(docs, text).withColumn("n_tokens", F.size("ids")).withColumn("decoded", model.decode_column(F.col("ids")))
+    return out.withColumn("lossless", F.col("decoded") == F.coalesce(F.col(text), F.lit("")))
+
+
 @query("op1_sentence_pieces")
 def op1_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, and whether they decode to its text."""
-    model = PieceModel.load()
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = model.encode_column(docs)
-    back = model.decode_column(F.col("ids"))
-    return coded.select("doc_id", "ids", F.size("ids").alias("n_tokens"), F.coalesce("text", F.lit("")).alias("text"), back.alias("back")) \
-        .select("doc_id", "ids", "n_tokens", F.sha2(F.col("back").cast("binary"), 256).alias("decoded_sha256"),
-                (F.col("back") == F.col("text")).alias("lossless"))
+    rows = coded(table(spark, sf_dir, "documents").select("doc_id", "text"), PieceModel.load())
+    return rows.select("doc_id", "ids", "n_tokens", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "lossless")

@@ -75,22 +75,24 @@ def majority_bits(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the 64-bit fingerprint ``fp`` of every row."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, "text"):
-            data, bounds = text_bytes(part.column("text"))
-            raw = data.tobytes()
-            hashes, counts = [], np.zeros(part.num_rows, np.int64)
-            for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-                own = shingle_hashes(raw[a:b], shingle)
-                counts[i] = len(own)
-                hashes += own
-            fp = majority_bits(np.array(hashes, np.uint64), counts)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+def fingerprint(text: Column, shingle: int = 3) -> Column:
+    """The 64-bit fingerprint of a text column."""
+    def of_chunk(column: pa.Array) -> np.ndarray:
+        data, bounds = text_bytes(column)
+        raw = data.tobytes()
+        hashes, counts = [], np.zeros(len(column), np.int64)
+        for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+            own = shingle_hashes(raw[a:b], shingle)
+            counts[i] = len(own)
+            hashes += own
+        return majority_bits(np.array(hashes, np.uint64), counts)
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            batch = pa.RecordBatch.from_arrays([column], names=["text"])
+            yield pa.array(np.concatenate([np.zeros(0, np.int64), *[of_chunk(p.column("text")) for p in chunks([batch], "text")]]))
+
+    return F.arrow_udf(run, "long")(text)
 
 
 def bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -216,16 +218,16 @@ def midpoint_links(fps: DataFrame, max_bits: int) -> DataFrame:
 
 
 def near_duplicate_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2, bucket_rows: int = 64) -> DataFrame:
-    """doc_id, ``fp`` and ``component_id`` (the smallest id reachable through links) of every row."""
-    marked = written(fingerprints(docs, shingle), "simhash")
+    """doc_id, ``fp``, ``root`` (its group's key) and ``component_id`` (the smallest id reachable through links) of every row."""
+    marked = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint(F.col("text"), shingle).alias("fp")), "simhash")
     reps = marked.groupBy("fp").agg(F.min("doc_id").alias("_rep"))
     distinct = written(reps, "simhash-distinct")
     roots = components(written(links(distinct.select("fp"), max_bits, bucket_rows), "simhash-links"))
     rooted = (distinct.join(roots.select(F.col("node").alias("fp"), F.col("root").alias("_root")), "fp", "left")
               .withColumn("_root", F.coalesce("_root", "fp")))
     least = rooted.groupBy("_root").agg(F.min("_rep").alias("component_id"))
-    named = rooted.join(least, "_root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(least, "_root").select("fp", F.col("_root").alias("root"), "component_id")
+    return marked.join(named, "fp").select("doc_id", "fp", "root", "component_id")
 
 
 def fingerprint_text(fp: Column) -> Column:

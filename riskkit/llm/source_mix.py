@@ -42,11 +42,11 @@ CELLS = 4096
 SLOT_BLOCK = 4096
 
 
-def sized(docs: DataFrame) -> DataFrame:
+def sized(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """doc_id, source, size and the shuffle order ``h`` (MD5 of the id) of every row."""
-    return docs.select("doc_id", "source",
+    return docs.select(F.col(id_col).alias("doc_id"), "source",
                        F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"),
-                       F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"))
+                       F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("h"))
 
 
 def targets(sizes: DataFrame, max_repeats: int = 3) -> DataFrame:
@@ -124,10 +124,10 @@ def streams(sizes: DataFrame, per: DataFrame) -> DataFrame:
             .select("doc_id", "size", "s", "source_size", "target", (F.col("_before") + F.col("_in")).alias("at")))
 
 
-def mix(docs: DataFrame, block_words: int = 64, max_repeats: int = 3) -> DataFrame:
-    """doc_id, size, source_size, target and the words ``taken`` of every document."""
+def mix(docs: DataFrame, block_words: int = 64, max_repeats: int = 3, id_col: str = "doc_id") -> DataFrame:
+    """doc_id (of ``id_col``), size, source_size, target and the words ``taken`` of every document."""
     spark = docs.sparkSession
-    sizes = written(sized(docs), "mix-sizes")  # one pass over the texts
+    sizes = written(sized(docs, id_col), "mix-sizes")  # one pass over the texts
     per = written(targets(sizes, max_repeats), "mix-targets")
     quota = quotas(per, block_words)
     n_slots = int(per.agg(F.coalesce(F.sum(F.ceil(F.col("target") / block_words)), F.lit(0))).first()[0])

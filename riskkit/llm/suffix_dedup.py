@@ -48,6 +48,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from .buffers import chunks, gram_hashes, prefix_sums, span_hashes, text_bytes
 from .catalog import query, table
@@ -285,8 +286,8 @@ def _tie(text: Column) -> Column:
 
 
 def removed_runs(texts: DataFrame, length: int, variants: int, bucket_rows: int) -> DataFrame:
-    """(ord, tie, runs): the runs of window starts to remove from every text that has any; ``texts``: ord, tie, text."""
-    marks = written(collated(anchored(texts, length), variants), "suffix-marks")
+    """(ord, tie, places): the window starts to remove from every text that has any; ``texts``: ord, tie, text, rest."""
+    marks = written(collated(anchored(texts.select("ord", "tie", "text"), length), variants), "suffix-marks")
     tie = F.col("place").bitwiseAND(F.lit(_TIE)).alias("tie")
     n_open = marks.filter("kind = 1").count()
 
@@ -307,7 +308,8 @@ def removed_runs(texts: DataFrame, length: int, variants: int, bucket_rows: int)
                     [pa.array(h), pa.array(np.repeat(np.array(part.column("ord"), np.int64), size)), pa.array(at),
                      pa.array([raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)], pa.binary())], names=["h", "ord", "place", "bytes"])
 
-        return texts.join(wanted, ["ord", "tie"]).select("ord", "text", "runs").mapInArrow(run, "h long, ord long, place long, bytes binary")
+        # "rest" is not used here, but with it the shuffled texts are the same table as in the last step
+        return texts.join(wanted, ["ord", "tie"]).select("ord", "text", "rest", "runs").mapInArrow(run, "h long, ord long, place long, bytes binary")
 
     buckets = max(1, -(-n_open // bucket_rows))
     bucketed = (cut(1).withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))
@@ -333,16 +335,20 @@ def removed_runs(texts: DataFrame, length: int, variants: int, bucket_rows: int)
     return every.groupBy("ord", tie).agg(F.collect_list("place").alias("places"))
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, variants: int = 512, bucket_rows: int = 4096) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and the bytes ``kept`` of every row of ``docs`` (doc_id, text).
+def remove_repeats(docs: DataFrame, length: int = 100, variants: int = 512, bucket_rows: int = 4096, as_text: bool = False) -> DataFrame:
+    """``docs`` without ``text``, and with n_bytes, n_removed, n_spans and the bytes ``kept`` of every row.
 
+    ``as_text``: ``kept`` is a string instead, without the bytes of characters that a cut has split.
     ``length`` is even and from 32 to 4096.
     """
     if length % 2 or not 32 <= length <= 4096:
         raise ValueError("length must be even, from 32 to 4096")
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("ord"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.withColumn("tie", _tie(F.col("text"))).select("ord", "tie", "text")
+    made = ["n_bytes", "n_removed", "n_spans", "kept"]
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("ord"), F.coalesce("text", F.lit("")).alias("text"),
+                        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("text", *made)]).alias("rest"))
+    texts = texts.withColumn("tie", _tie(F.col("text"))).select("ord", "tie", "text", "rest")
     marked = removed_runs(texts, length, variants, bucket_rows)
+    kind = pa.string() if as_text else pa.binary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "text"):
@@ -354,19 +360,18 @@ def remove_repeats(docs: DataFrame, length: int = 100, variants: int = 512, buck
             step = np.bincount(begin, minlength=len(data) + 1) - np.bincount(begin + (at >> _LEN & 0xFFF) + length, minlength=len(data) + 1)
             gone = np.cumsum(step[:-1]) > 0
             total = np.concatenate(([0], np.cumsum(gone)))[bounds]
-            edge = np.concatenate(([False], gone[:-1]))
-            edge[bounds[:-1][bounds[:-1] < len(data)]] = False
-            starts = np.concatenate(([0], np.cumsum(gone & ~edge)))[bounds]
-            kept = data[~gone].tobytes()
-            ends = (bounds - total).tolist()
+            before = np.concatenate(([False], gone[:-1]))[:len(gone)]
+            before[bounds[:-1][bounds[:-1] < len(data)]] = False
+            starts = np.concatenate(([0], np.cumsum(gone & ~before)))[bounds]
+            left, ends = data[~gone].tobytes(), (bounds - total).tolist()
+            kept = [left[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [part.column("ord"), pa.array(np.diff(bounds)), pa.array(np.diff(total)), pa.array(np.diff(starts)),
-                 pa.array([kept[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())],
-                names=["ord", "n_bytes", "n_removed", "n_spans", "kept"])
+                [part.column("rest"), *map(pa.array, (np.diff(bounds), np.diff(total), np.diff(starts))),
+                 pa.array([k.decode("utf-8", "ignore") for k in kept] if as_text else kept, kind)], names=["rest", *made])
 
-    found = texts.join(marked, ["ord", "tie"], "left").select("ord", "text", "places")
-    out = found.mapInArrow(run, "ord long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return out.select(F.when(F.col("ord") != (1 << 63) - 1, F.col("ord")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
+    found = texts.join(marked, ["ord", "tie"], "left").select("ord", "text", "rest", "places")
+    schema = StructType([texts.schema["rest"], *[StructField(c, LongType()) for c in made[:3]], StructField("kept", StringType() if as_text else BinaryType())])
+    return found.mapInArrow(run, schema).select("rest.*", *made)
 
 
 @query("op4_suffix_dedup")
