@@ -1,22 +1,89 @@
 """The corpus pipeline: quality, near duplicates, repeated passages, source mix, tokens.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is
-written as Parquet and read again as the next stage's documents.
+written as Parquet and read again as the next stage's documents.  All but the
+last return the columns of ``documents`` (and any others that came along).
+
+Rows of a null id or text are documents like others; an empty table gives an
+empty table.  Rows that repeat an id count as one document from the second
+stage on.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from riskkit.llm.folds import in_fold
+from riskkit.llm.quality import HELD_OUT, fit_quality
+from riskkit.llm.sentence_pieces import PieceModel, coded
+from riskkit.llm.simhash_groups import fingerprint, near_duplicate_groups
+from riskkit.llm.source_mix import mix
+from riskkit.llm.storage import written
+from riskkit.llm.suffix_dedup import remove_repeats
+
+LEAST_SCORE = 0.3
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on these documents, scores at 0.3 or more."""
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet").select("doc_id", "quality")
+    model = fit_quality(docs.select("doc_id", "text"), labels.filter(~in_fold(F.col("doc_id"), *HELD_OUT)))
+    return docs.filter(model.score(F.col("text")) >= LEAST_SCORE)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every SimHash group (3-word shingles, 2 bits) the document with the smallest id, or one of those without ids."""
+    groups = written(near_duplicate_groups(docs.select("doc_id", "text"), shingle=3, max_bits=2), "pipeline-groups")
+    first = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    unnamed = groups.filter(F.col("component_id").isNull()).select(F.col("fp").alias("_fp"), F.col("root").alias("_root")).distinct()
+    rest = (docs.filter(F.col("doc_id").isNull()).withColumn("_fp", fingerprint(F.col("text"), 3)).join(unnamed, "_fp")
+            .dropDuplicates(["_root"]).select(*docs.columns))
+    return kept.unionByName(rest)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without their 100-byte repeats, n_chars to match; a document that was nothing but repeats goes."""
+    kept = remove_repeats(docs, length=100, as_text=True)
+    left = kept.filter((F.col("n_removed") == 0) | (F.col("kept") != ""))
+    return left.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long")).select(*docs.columns)
+
+
+def take_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: the words taken over the words held, rounded.
+
+    Rows that repeat an id share alike in what is taken; documents without words are not taken.
+    """
+    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.sha2(F.coalesce("text", F.lit("")), 256))))
+    took = mix(keyed.select("_key", "text", "source"), id_col="_key").groupBy(F.col("doc_id").alias("_key")).agg(
+        F.sum("size").alias("_size"), F.sum("taken").alias("_taken"))
+    times = took.filter("2 * _taken >= _size AND _size > 0").select("_key", F.expr("(2 * _taken + _size) div (2 * _size)").alias("_n"))
+    return keyed.join(times, "_key").withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and whether they decode to its text."""
+    return coded(docs, PieceModel.load()).drop("text", "decoded")
+
 
-STAGES: list = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", keep_quality),
+    ("near_duplicates", keep_one_of_each_group),
+    ("repeated_passages", cut_repeats),
+    ("source_mix", take_mix),
+    ("sentence_pieces", encode),
+]
 
-#: SQL cannot express a trained classifier or a tokenizer; tests/llm holds brute-force versions.
+#: SQL cannot express a trained classifier, XXH64 or a tokenizer; tests/llm holds brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
