@@ -112,7 +112,7 @@ class PieceModel:
         """What turns text into marked text; the dummy prefix is added where a text begins, not here."""
         steps = [normalizers.Precompiled(self.charsmap)] if self.charsmap else []
         if self.squeeze:
-            steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Strip()]
+            steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Replace(Regex(r"\A | \z"), "")]
         return normalizers.Sequence(steps)
 
     def tokenizer(self) -> Tokenizer:
