@@ -60,20 +60,8 @@ SR_SQL = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table, spread over the session's cores when it scans as fewer splits.
-
-    A file with one row group is one scan task, so everything before the first
-    shuffle would run on one core.  When the scan has fewer partitions than the
-    default parallelism, rows are spread round-robin (deterministic on retry);
-    on a cluster-sized input there are more splits than cores and nothing changes.
-    """
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    try:
-        cores = spark.sparkContext.defaultParallelism
-        splits = df._jdf.rdd().getNumPartitions()  # planning only, no job
-    except Exception:  # noqa: BLE001 - e.g. no JVM handle: keep the plain scan
-        return df
-    return df.repartition(cores) if splits < cores else df
+    """One driver table (split sizes are the session's ``spark.sql.files`` settings)."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def survey_view(spark: SparkSession, sf_dir: str) -> DataFrame:

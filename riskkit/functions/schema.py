@@ -81,11 +81,15 @@ def project_required(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
     return df.select(*wanted)
 
 
+#: A decimal number: the cast alone would also take ``1d``, ``7F`` and ``NaN``.
+NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def lenient_double(c: str | Column) -> Column:
-    """Coerce to double; unparsable -> NULL, and NaN -> NULL (never store NaN)."""
+    """Coerce to double; text that is no decimal number -> NULL (so never NaN)."""
     col = F.col(c) if isinstance(c, str) else c
-    v = F.trim(col.cast("string")).try_cast("double")
-    return F.when(F.isnan(v), F.lit(None).cast("double")).otherwise(v)
+    text = F.trim(col.cast("string"))
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
 def numeric_of(df: DataFrame, name: str | None) -> Column:
@@ -127,8 +131,8 @@ def unit_fallback(df: DataFrame, primary: Sequence[str], fallback: Sequence[str]
     """First ``primary`` column present, else first ``fallback`` column x ``factor``."""
     p = resolve(df, primary)
     if p is not None:
-        return lenient_double(p)
+        return numeric_of(df, p)
     f = resolve(df, fallback)
     if f is not None:
-        return lenient_double(f) * F.lit(factor)
+        return numeric_of(df, f) * F.lit(factor)
     return F.lit(None).cast("double")

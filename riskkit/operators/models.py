@@ -1,9 +1,8 @@
 """Models, tuning, stacking and calibration (L1-L10) on Spark ML.
 
 Every trainer takes a frame with an assembled ``features`` vector and a label;
-scores come back as a ``p`` column (positive-class probability).  Row identity
-is always carried by a key column - predictions are joined on it, never
-aligned by position.  Folds come from the exact stratified fold column (M3).
+scores come back as a ``p`` column (positive-class probability), next to the
+row's own columns: several models score a frame by one chain of transforms.  Folds come from the exact stratified fold column (M3).
 """
 
 from __future__ import annotations
@@ -22,20 +21,11 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from . import metrics as E
 
 
-def training_partitions(spark, rows: int, rows_per_partition: int = 200_000,
-                        min_rows_per_task: int = 10_000) -> int:
-    """Partitions for a persisted training frame read once per learner iteration:
-    about ``rows_per_partition`` rows each, spread over the cores only when every
-    task still gets ``min_rows_per_task`` rows (per-iteration task overhead)."""
-    import math
-    cores = spark.sparkContext.defaultParallelism
-    return max(1, math.ceil(rows / rows_per_partition), min(cores, rows // min_rows_per_task))
-
-
 def positive_probability(df: DataFrame, prob_col: str = "probability", out: str = "p") -> DataFrame:
     """Positive-class probability from a probability vector."""
     return df.withColumn(out, vector_to_array(prob_col).getItem(1))
@@ -47,23 +37,38 @@ def with_balanced_weights(df: DataFrame, label: str = "label", out: str = "weigh
     return class_weights(df, label, out)
 
 
-def logistic(train: DataFrame, label: str = "label", features: str = "features", C: float = 1.0,
-             max_iter: int = 100, weight: str | None = None) -> Estimator:
-    """L1: L2 logistic regression with the C parametrisation.
+class PenalisedLogistic(LogisticRegression):
+    """Logistic regression with the C parametrisation, whatever rows it is fitted on.
 
     Minimising ``C * sum(w * loss) + |beta|^2 / 2`` equals Spark's
     ``sum(w * loss) / sum(w) + regParam * |beta|^2 / 2`` with
-    ``regParam = 1 / (C * sum(w))``; standardisation is off (inputs are scaled).
+    ``regParam = 1 / (C * sum(w))``; the sum is taken over the rows of each fit.
     """
-    total = train.agg(F.sum(F.col(weight)) if weight else F.count(F.lit(1))).first()[0] or 1
-    est = LogisticRegression(featuresCol=features, labelCol=label, maxIter=max_iter,
-                             regParam=1.0 / (C * float(total)), elasticNetParam=0.0, standardization=False)
+
+    strength = 1.0
+
+    def _fit(self, dataset):
+        w = self.getOrDefault(self.weightCol) if self.isSet(self.weightCol) else None
+        total = dataset.agg(F.sum(F.col(w)) if w else F.count(F.lit(1))).first()[0] or 1
+        return LogisticRegression._fit(self.copy({self.regParam: 1.0 / (self.strength * float(total))}), dataset)
+
+    def copy(self, extra=None):
+        that = super().copy(extra)
+        that.strength = self.strength
+        return that
+
+
+def logistic(label: str = "label", features: str = "features", C: float = 1.0,
+             max_iter: int = 1000, weight: str | None = None) -> Estimator:
+    """L1: L2 logistic regression; standardisation is off (inputs are scaled)."""
+    est = PenalisedLogistic(featuresCol=features, labelCol=label, maxIter=max_iter, elasticNetParam=0.0, standardization=False)
+    est.strength = C
     if weight:
         est.setWeightCol(weight)
     return est
 
 
-def gbt(label: str = "label", features: str = "features", rounds: int = 20, depth: int = 4,
+def gbt(label: str = "label", features: str = "features", rounds: int = 100, depth: int = 4,
         step: float = 0.05, subsample: float = 0.8, feature_subset: str = "all", min_gain: float = 0.0,
         weight: str | None = None, validation: str | None = None, seed: int = 42) -> Estimator:
     """L2/L3: gradient-boosted trees; ``validation`` names a boolean column for early stopping."""
@@ -109,12 +114,19 @@ def random_search(estimator, space: dict, n_candidates: int, train: DataFrame, f
 
 
 def evaluate(scored: DataFrame, label: str = "label", p: str = "p", threshold: float = 0.5) -> dict:
-    """AUC, AP, accuracy, positive recall/precision of a scored frame (exact aggregates)."""
-    s = scored.withColumn("_pred", E.threshold_predict(p, threshold))
-    auc = E.roc_auc(s, label, p).first()["auc"]
-    ap = E.average_precision(s, label, p).first()["ap"]
-    acc = E.accuracy(s, label, "_pred").first()["accuracy"]
-    rp = E.positive_recall_precision(s, label, "_pred").first()
+    """AUC, AP, accuracy, positive recall/precision of a scored frame (exact aggregates).
+
+    The frame is reduced to counts per (score, label) once; all five come from those.
+    """
+    s = scored.select(label, p).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        s2 = s.withColumn("_pred", E.threshold_predict(p, threshold))
+        auc = E.roc_auc(s2, label, p).first()["auc"]
+        ap = E.average_precision(s2, label, p).first()["ap"]
+        acc = E.accuracy(s2, label, "_pred").first()["accuracy"]
+        rp = E.positive_recall_precision(s2, label, "_pred").first()
+    finally:
+        s.unpersist()
     return {"auc": auc, "ap": ap, "accuracy": acc, "recall": rp["recall"], "precision": rp["precision"]}
 
 
@@ -133,41 +145,36 @@ def compare_models(estimators: dict, train: DataFrame, test: DataFrame, label: s
     return spark.createDataFrame(rows, schema).orderBy(F.col("auc").desc())
 
 
+def scored_by(models: dict, rows: DataFrame) -> DataFrame:
+    """``rows`` with a column ``p_<name>`` for every fitted model, by one chain of transforms: no join."""
+    for name, model in models.items():
+        keep = rows.columns
+        rows = positive_probability(model.transform(rows), out=f"p_{name}").select(*keep, f"p_{name}")
+    return rows
+
+
 def out_of_fold(estimators: dict, train: DataFrame, key: str, fold_col: str = "fold",
                 k: int | None = None) -> DataFrame:
     """(key, fold, p_<name>...) - each row scored by models fit without its fold."""
     folds = k or train.agg(F.max(fold_col)).first()[0] + 1
-    parts = []
+    out = None
     for i in range(folds):
         fit_on = train.filter(F.col(fold_col) != i)
-        held = train.filter(F.col(fold_col) == i)
-        scored = held.select(key, fold_col)
-        for name, est in estimators.items():
-            p = positive_probability(est.fit(fit_on).transform(held)).select(key, F.col("p").alias(f"p_{name}"))
-            scored = scored.join(p, key)
-        parts.append(scored)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        held = scored_by({n: est.fit(fit_on) for n, est in estimators.items()}, train.filter(F.col(fold_col) == i))
+        part = held.select(key, fold_col, *[f"p_{n}" for n in estimators])
+        out = part if out is None else out.unionByName(part)
     return out
 
 
 def base_scores(estimators: dict, train: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """(key, p_<name>...) for ``rows`` from bases fit on all of ``train``."""
-    out = rows.select(key)
-    for n, est in estimators.items():
-        p = positive_probability(est.fit(train).transform(rows)).select(key, F.col("p").alias(f"p_{n}"))
-        out = out.join(p, key)
-    return out
+    return scored_by({n: est.fit(train) for n, est in estimators.items()}, rows).select(key, *[f"p_{n}" for n in estimators])
 
 
 def meta_fit(oof: DataFrame, names, label: str = "label"):
     """Meta logistic regression on base probabilities (C = 1)."""
     asm = VectorAssembler(inputCols=[f"p_{n}" for n in names], outputCol="meta_x")
-    x = asm.transform(oof)
-    meta = LogisticRegression(featuresCol="meta_x", labelCol=label, maxIter=100,
-                              regParam=1.0 / x.count(), standardization=False).fit(x)
-    return asm, meta
+    return asm, logistic(label, "meta_x").fit(asm.transform(oof))
 
 
 def stack(estimators: dict, train: DataFrame, test: DataFrame, key: str, label: str = "label",
@@ -193,21 +200,16 @@ def calibrate_isotonic(meta_input: DataFrame, test_input: DataFrame, x_col: str,
     """Per fold, refit the meta model without the fold, fit an isotonic map from its
     held-out scores to labels, apply the pair to test rows; average over folds."""
     folds = meta_input.agg(F.max(fold_col)).first()[0] + 1
-    n = meta_input.count()
-    acc = None
+    out = test_input.select(key, x_col)
     for i in range(folds):
-        fit_on = meta_input.filter(F.col(fold_col) != i)
-        held = meta_input.filter(F.col(fold_col) == i)
-        meta = LogisticRegression(featuresCol=x_col, labelCol=label, maxIter=100, regParam=1.0 / n,
-                                  standardization=False).fit(fit_on)
-        h = positive_probability(meta.transform(held)).select("p", F.col(label).cast("double").alias("y"))
-        iso = IsotonicRegression(featuresCol="p", labelCol="y", predictionCol="cal").fit(h)
-        t = positive_probability(meta.transform(test_input).drop("rawPrediction", "prediction")) \
-            .drop("probability")
-        t = iso.transform(t).select(key, F.col("cal").alias(f"c{i}"))
-        acc = t if acc is None else acc.join(t, key)
-    cols = [F.col(f"c{i}") for i in range(folds)]
-    return acc.select(key, (sum(cols[1:], cols[0]) / folds).alias("p"))
+        meta = logistic(label, x_col).fit(meta_input.filter(F.col(fold_col) != i))
+        held = positive_probability(meta.transform(meta_input.filter(F.col(fold_col) == i)))
+        iso = IsotonicRegression(featuresCol="p", labelCol="y", predictionCol=f"_c{i}").fit(
+            held.select("p", F.col(label).cast("double").alias("y")))
+        keep = out.columns
+        out = iso.transform(positive_probability(meta.transform(out))).select(*keep, f"_c{i}")
+    cols = [F.col(f"_c{i}") for i in range(folds)]
+    return out.select(key, (sum(cols[1:], cols[0]) / folds).alias("p"))
 
 
 def importance_table(model, assembler_out: DataFrame, features: str = "features", top: int = 20) -> DataFrame:

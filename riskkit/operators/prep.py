@@ -13,6 +13,7 @@ import json
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -22,8 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint_root
+from ..session import checkpoint_root, scratch_path
 from .profile import exact_quantiles
+from .rank import ordered_positions
 
 
 class _HasState(Params):
@@ -143,51 +145,50 @@ class PopulationScalerModel(Model, _Stage, _HasState):
 class OrdinalEncoder(Estimator, _Stage):
     """Sorted training levels -> 0..n-1; unknown -> -1; NULL stays NULL (in place, int).
 
-    Levels are a distinct aggregate; ``maxLevels`` bounds what is inlined in the
-    plan as a literal map.
+    The levels of all columns are one table (column, level, code), made by one
+    job and kept in the shared scratch folder; applying it joins it to the rows,
+    so any number of levels will do.
     """
 
-    maxLevels = Param(Params._dummy(), "maxLevels", "largest level count to inline",
-                      typeConverter=TypeConverters.toInt)
-
     @keyword_only
-    def __init__(self, *, inputCols=None, maxLevels=100000):
+    def __init__(self, *, inputCols=None):
         super().__init__()
-        self._setDefault(maxLevels=100000)
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> "OrdinalEncoderModel":
-        levels = {}
-        limit = self.getOrDefault(self.maxLevels)
-        for c in self._cols():
-            vals = (df.select(c).filter(F.col(c).isNotNull()).distinct().orderBy(c)
-                    .limit(limit + 1).collect())
-            if len(vals) > limit:
-                raise ValueError(f"{c}: more than {limit} levels")
-            levels[c] = [r[0] for r in vals]
-        return OrdinalEncoderModel(inputCols=self._cols(), state=json.dumps(levels))
+        cols = self._cols()
+        kinds = {c: df.schema[c].dataType.simpleString() for c in cols}
+        parts = []
+        for kind in sorted(set(kinds.values())):  # levels sort in their own type
+            group = [c for c in cols if kinds[c] == kind]
+            stack = ", ".join(f"'{c}', `{c}`" for c in group)
+            long = df.selectExpr(f"stack({len(group)}, {stack}) AS (column_name, level)").filter("level IS NOT NULL").distinct()
+            placed = ordered_positions(long, ["level"], by=["column_name"], pos_col="code")
+            parts.append(placed.select("column_name", F.col("level").cast("string").alias("level"), (F.col("code") - 1).cast("int").alias("code")))
+        levels = parts[0]
+        for p in parts[1:]:
+            levels = levels.unionByName(p)
+        path = scratch_path(df.sparkSession, "levels")
+        levels.write.parquet(path)
+        return OrdinalEncoderModel(inputCols=cols, state=json.dumps({"levels": path}))
 
 
 class OrdinalEncoderModel(Model, _Stage, _HasState):
+    """Joins the level table; a saved model refers to its folder."""
+
     @keyword_only
     def __init__(self, *, inputCols=None, state=None):
         super().__init__()
         self._set(**self._input_kwargs)
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        levels = self.get_state()
-        out = []
-        for c in df.columns:
-            if c not in levels:
-                out.append(F.col(c))
-                continue
-            pairs = []
-            for i, v in enumerate(levels[c]):
-                pairs += [F.lit(v), F.lit(i)]
-            code = F.try_element_at(F.create_map(*pairs), F.col(c)) if pairs else F.lit(None)
-            out.append(F.when(F.col(c).isNull(), F.lit(None).cast("int"))
-                       .otherwise(F.coalesce(code, F.lit(-1))).cast("int").alias(c))
-        return df.select(*out)
+        levels = df.sparkSession.read.parquet(self.get_state()["levels"])
+        out = df
+        for i, c in enumerate(self._cols()):
+            own = levels.filter(F.col("column_name") == c).select(F.col("level").alias(f"_l{i}"), F.col("code").alias(f"_c{i}"))
+            out = out.join(own, F.col(c).cast("string") == F.col(f"_l{i}"), "left")
+        codes = {c: F.when(F.col(c).isNotNull(), F.coalesce(f"_c{i}", F.lit(-1))).cast("int").alias(c) for i, c in enumerate(self._cols())}
+        return out.select(*[codes.get(c, F.col(c)) for c in df.columns])
 
 
 # --- M10: one-hot ---------------------------------------------------------------------------
@@ -295,39 +296,29 @@ def inverse_normal(p: Column) -> Column:
     return F.when(p < lo, low).when(p > 1 - lo, high).otherwise(central)
 
 
-def _count_below(x: Column, grid: Sequence[float], inclusive: bool) -> Column:
-    """Number of sorted ``grid`` points < x (<= x when ``inclusive``), as a balanced
-    CASE tree over literals: depth ~log2(len(grid)), code-generated, no lambdas."""
-    def node(lo: int, hi: int) -> Column:
-        if lo >= hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        g = F.lit(float(grid[mid]))
-        cond = (g <= x) if inclusive else (g < x)
-        return F.when(cond, node(mid + 1, hi)).otherwise(node(lo, mid))
-    return node(0, len(grid))
-
-
 def interpolate(df: DataFrame, col: str, xs: Sequence[float], ys: Sequence[float], out: str) -> DataFrame:
     """Add ``out`` = piecewise-linear y(x) through sorted grid ``xs`` -> ``ys``, clamped.
 
     A value equal to a run of repeated grid points maps to the midpoint of their
-    references.  The segment is found by binary search over the literal grid;
-    the two counts are projected once and reused.
+    references.  Grids have about a thousand points, which as literals would make
+    a plan too large to compile: the search runs in numpy, per Arrow batch.
     """
-    x = F.col(col)
-    staged = df.withColumn(f"_b_{out}", _count_below(x, xs, False)) \
-               .withColumn(f"_u_{out}", _count_below(x, xs, True))
-    gx = F.array(*[F.lit(float(v)) for v in xs])
-    gy = F.array(*[F.lit(float(v)) for v in ys])
-    b, u, k = F.col(f"_b_{out}"), F.col(f"_u_{out}"), len(xs)
-    on_grid = (F.element_at(gy, b + 1) + F.element_at(gy, u)) / 2
-    x0, x1 = F.element_at(gx, b), F.element_at(gx, b + 1)
-    y0, y1 = F.element_at(gy, b), F.element_at(gy, b + 1)
-    between = y0 + (x - x0) * (y1 - y0) / (x1 - x0)
-    val = (F.when(x.isNull(), F.lit(None).cast("double")).when(u > b, on_grid)
-           .when(b == 0, F.lit(float(ys[0]))).when(b >= k, F.lit(float(ys[-1]))).otherwise(between))
-    return staged.withColumn(out, val).drop(f"_b_{out}", f"_u_{out}")
+    gx, gy = [float(v) for v in xs], [float(v) for v in ys]
+
+    def run(column: pa.Array) -> pa.Array:
+        import numpy as np
+        grid, ref = np.array(gx), np.array(gy)
+        x = np.array(column.cast(pa.float64()).fill_null(float("nan")))
+        below, upto = np.searchsorted(grid, x, "left"), np.searchsorted(grid, x, "right")
+        k = len(grid)
+        lo, hi = np.clip(below - 1, 0, k - 1), np.clip(below, 0, k - 1)
+        gap = np.where(grid[hi] > grid[lo], grid[hi] - grid[lo], 1.0)
+        y = ref[lo] + (x - grid[lo]) * (ref[hi] - ref[lo]) / gap
+        y = np.where(upto > below, (ref[np.clip(below, 0, k - 1)] + ref[np.clip(upto - 1, 0, k - 1)]) / 2, y)
+        y = np.where((upto <= below) & (below == 0), ref[0], np.where((upto <= below) & (below >= k), ref[-1], y))
+        return pa.array(y, mask=np.isnan(x))
+
+    return df.withColumn(out, F.arrow_udf(run, "double")(F.col(col).cast("double")))
 
 
 class QuantileNormal(Estimator, _Stage):
@@ -337,9 +328,9 @@ class QuantileNormal(Estimator, _Stage):
     nQuantiles = Param(Params._dummy(), "nQuantiles", "grid size", typeConverter=TypeConverters.toInt)
 
     @keyword_only
-    def __init__(self, *, inputCols=None, nQuantiles=100):
+    def __init__(self, *, inputCols=None, nQuantiles=1000):
         super().__init__()
-        self._setDefault(nQuantiles=100)
+        self._setDefault(nQuantiles=1000)
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> "QuantileNormalModel":
@@ -435,8 +426,8 @@ class ChainedImputer(Estimator, _Stage):
     column with gaps on the others (fewest gaps first) and refill its gaps, for at
     most ``maxIter`` rounds or until the largest change is below ``tol`` times the
     largest value.  Each regression is one aggregate of the Gram matrix (p x p
-    sums) solved on the driver; refills run per Arrow batch; every round is
-    checkpointed to the shared checkpoint folder to cut lineage."""
+    sums) solved on the driver; refills run per Arrow batch, and every step is
+    checkpointed to the shared checkpoint folder, so each is one pass."""
 
     maxIter = Param(Params._dummy(), "maxIter", "rounds", typeConverter=TypeConverters.toInt)
     tol = Param(Params._dummy(), "tol", "relative stop tolerance", typeConverter=TypeConverters.toFloat)
@@ -462,21 +453,19 @@ class ChainedImputer(Estimator, _Stage):
         for _ in range(self.getOrDefault(self.maxIter)):
             if not order:
                 break
-            prev = cur
+            prev = [f"_was_{c}" for c in order]
+            cur = cur.withColumns({f"_was_{c}": F.col(c) for c in order})  # the round's start, carried along
             steps = []
             for c in order:
                 feats = [f for f in cols if f != c]
                 G, b, _p = _gram(cur, c, feats, f"_o_{c}")
                 step = {"col": c, "feats": feats, "beta": _solve(G, b, self.getOrDefault(self.ridge))}
                 steps.append(step)
-                cur = _apply_steps(cur, [step], cols)
-            cur = cur.checkpoint(eager=True)
+                cur = _apply_steps(cur, [step], cols).checkpoint(eager=True)  # one Python pass per step
             rounds.append(steps)
-            a = cur.select(*[F.col(c).alias(f"n_{c}") for c in order], F.monotonically_increasing_id().alias("_r"))
-            b_ = prev.select(*[F.col(c).alias(f"o_{c}") for c in order], F.monotonically_increasing_id().alias("_r"))
-            ch = a.join(b_, "_r").agg(
-                F.max(F.greatest(*[F.abs(F.col(f"n_{c}") - F.col(f"o_{c}")) for c in order])).alias("d"),
-                F.max(F.greatest(*[F.abs(F.col(f"n_{c}")) for c in order])).alias("m")).first()
+            ch = cur.agg(F.max(F.greatest(*[F.abs(F.col(c) - F.col(p)) for c, p in zip(order, prev)], F.lit(0.0))).alias("d"),
+                         F.max(F.greatest(*[F.abs(F.col(c)) for c in order], F.lit(0.0))).alias("m")).first()
+            cur = cur.drop(*prev)
             if not ch["d"] or ch["d"] < self.getOrDefault(self.tol) * (ch["m"] or 1.0):
                 break
         return ChainedImputerModel(inputCols=cols, state=json.dumps({"means": means, "rounds": rounds}))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.schema import NUMERIC
-from .rank import ordered_positions
+from .rank import running_totals
 
 
 def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -76,64 +76,41 @@ def unpivot_values(df: DataFrame, columns: Sequence[str], cast: str = "double",
             .filter(F.col("value").isNotNull()))
 
 
+#: Stretches of ranks that a column is cut into, so that ranks and quantile places meet by equality.
+RANK_CELLS = 1024
+
+
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                    names: Sequence[str] | None = None, max_distinct: int = 100_000) -> DataFrame:
+                    names: Sequence[str] | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles per column: (column_name, <name>...).
 
-    One HyperLogLog pass sorts columns by cardinality.  Columns with at most
-    ``max_distinct`` distinct values use the exact ``percentile`` aggregate, whose
-    partial buffers are value -> count maps bounded by that cardinality.  Other
-    columns are ranked with range partitioning (no task holds a column).
+    Rows are first counted by (column, value), so a repeated value is one row;
+    running totals over the distinct values give the ranks that each value holds.
+    A quantile lies between two ranks; these are looked up by the stretch of ranks
+    (one of ``RANK_CELLS`` per column) that they fall into.  The table of wanted
+    ranks has at most columns x probs x 2 rows and is broadcast.
     """
     names = list(names or [f"q{int(p * 100)}" for p in probs])
-    cols = list(columns)
-    nd = df.agg(*[F.approx_count_distinct(F.col(c)).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-    small = [c for i, c in enumerate(cols) if (nd[f"d{i}"] or 0) <= max_distinct]
-    big = [c for c in cols if c not in small]
-    parts = []
-    if small:
-        pct = F.array(*[F.lit(float(p)) for p in probs])
-        one = df.agg(*[F.percentile(F.col(c).cast("double"), pct).alias(f"p{i}") for i, c in enumerate(small)])
-        stack = ", ".join(f"'{c}', p{i}" for i, c in enumerate(small))
-        long = one.selectExpr(f"stack({len(small)}, {stack}) AS (column_name, qs)")
-        parts.append(long.select("column_name", *[F.col("qs").getItem(j).alias(nm) for j, nm in enumerate(names)]))
-    if big:
-        parts.append(ranked_quantiles(df, big, probs, names))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def ranked_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                     names: Sequence[str]) -> DataFrame:
-    """Exact quantiles by rank positions, for columns of any cardinality.
-
-    Values are ranked per column with range partitioning.  A small grid table
-    (columns x probs x 2 rows, a known bound) lists the two positions that
-    bracket each quantile; it is broadcast-joined to the ranked values and the
-    pairs are interpolated.
-    """
-    # a row id breaks ties so a heavily repeated value still spreads over range partitions
-    long = unpivot_values(df.withColumn("_rid", F.monotonically_increasing_id()), columns,
-                          carry=["_rid"])
-    ranked, sizes = ordered_positions(long, ["value", "_rid"], by=["column_name"], pos_col="_pos",
-                                      with_sizes=True)
-    grid = sizes.select("column_name", "_size", F.posexplode(
-        F.array(*[F.lit(float(p)) for p in probs])).alias("_i", "_p"))
+    counts = unpivot_values(df, columns).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    ranks = running_totals(counts, ["value"], ["n"], by=["column_name"])
+    sizes = ranks.groupBy("column_name").agg(F.max("n_cum").alias("_size"))
+    sizes = sizes.withColumn("_width", F.ceil(F.col("_size") / RANK_CELLS))  # one row per column
+    grid = sizes.select("column_name", "_size", "_width", F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_i", "_p"))
     h = (F.col("_size") - 1) * F.col("_p")
-    grid = grid.select("column_name", "_i", (F.floor(h) + 1).alias("_lo"), (F.ceil(h) + 1).alias("_hi"),
-                       (h - F.floor(h)).alias("_fr"))
-    need = (grid.select("column_name", F.col("_lo").alias("_pos"))
-            .unionByName(grid.select("column_name", F.col("_hi").alias("_pos"))).distinct())
-    # bound: len(columns) * len(probs) * 2 rows
-    vals = ranked.join(F.broadcast(need), ["column_name", "_pos"]).select("column_name", "_pos", "value")
+    grid = grid.select("column_name", "_width", "_i", (F.floor(h) + 1).alias("_lo"), (F.ceil(h) + 1).alias("_hi"), (h - F.floor(h)).alias("_fr"))
+    need = grid.select("column_name", F.explode(F.array("_lo", "_hi")).alias("_pos"), "_width").distinct()
+    need = need.select("column_name", "_pos", F.expr("(_pos - 1) div _width").alias("_cell"))
+    held = (ranks.join(F.broadcast(sizes), "column_name").withColumn("_from", F.col("n_cum") - F.col("n") + 1)
+            .withColumn("_cell", F.explode(F.sequence(F.expr("(_from - 1) div _width"), F.expr("(n_cum - 1) div _width")))))
+    vals = (held.join(F.broadcast(need), ["column_name", "_cell"]).filter((F.col("_pos") >= F.col("_from")) & (F.col("_pos") <= F.col("n_cum")))
+            .select("column_name", "_pos", "value"))
     lo = vals.withColumnRenamed("_pos", "_lo").withColumnRenamed("value", "_vlo")
     hi = vals.withColumnRenamed("_pos", "_hi").withColumnRenamed("value", "_vhi")
     q = (grid.join(lo, ["column_name", "_lo"]).join(hi, ["column_name", "_hi"])
          .select("column_name", "_i", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_fr")).alias("_q")))
-    return q.groupBy("column_name").agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(nm)
-                                          for i, nm in enumerate(names)])
+    # one row per column and place: bounded by columns x probs
+    packed = q.groupBy("column_name").agg(F.map_from_entries(F.collect_list(F.struct("_i", "_q"))).alias("_qs"))
+    return packed.select("column_name", *[F.try_element_at("_qs", F.lit(i)).alias(nm) for i, nm in enumerate(names)])
 
 
 def describe_all(df: DataFrame, columns: Sequence[str] | None = None, digits: int = 6) -> DataFrame:

@@ -57,33 +57,20 @@ def label_four_source(df: DataFrame, key: str = "SEQN",
                                                      "MED_FLAG").cast("int"))
 
 
-def has_values(df: DataFrame, columns: Sequence[str]) -> dict[str, bool]:
-    """A6 helper: whether each column holds any non-null value (one aggregate)."""
-    if not columns:
-        return {}
-    row = df.agg(*[F.max(F.col(c).isNotNull()).alias(f"_h{i}")
-                   for i, c in enumerate(columns)]).first()
-    return {c: bool(row[f"_h{i}"]) for i, c in enumerate(columns)}
-
-
-def label_three_source_expr(diq_flag: str, a1c: str, glucose: str,
-                            present: dict[str, bool]) -> Column:
-    """D2 condition; a term joins only if its column holds a value somewhere."""
+def label_three_source_expr(diq_flag: str | None, a1c: str | None, glucose: str | None) -> Column:
+    """D2 condition over the columns that exist; a column without values compares false."""
     cond = F.lit(False)
-    if present.get(diq_flag):
-        cond = cond | _flag(F.col(diq_flag) == 1)
-    if present.get(a1c):
-        cond = cond | _flag(F.col(a1c) >= 6.5)
-    if present.get(glucose):
-        cond = cond | _flag(F.col(glucose) >= 126)
+    for name, test in ((diq_flag, lambda c: c == 1), (a1c, lambda c: c >= 6.5), (glucose, lambda c: c >= 126)):
+        if name is not None:
+            cond = cond | _flag(test(F.col(name)))
     return cond
 
 
 def label_three_source(df: DataFrame, diq_flag: str = "DIQ_FLAG", a1c: str = "A1C",
                        glucose: str = "GLUCOSE", out: str = "DIABETES_BIN") -> DataFrame:
     """Label from diagnosis flag, A1C and glucose columns of a feature frame."""
-    present = has_values(df, [c for c in (diq_flag, a1c, glucose) if c in df.columns])
-    return df.withColumn(out, label_three_source_expr(diq_flag, a1c, glucose, present).cast("int"))
+    here = [c if c in df.columns else None for c in (diq_flag, a1c, glucose)]
+    return df.withColumn(out, label_three_source_expr(*here).cast("int"))
 
 
 def label_labs(df: DataFrame, glucose: str = "GLU_VAL", a1c: str = "A1C",
@@ -171,8 +158,7 @@ def features_a(df: DataFrame, glucose: Sequence[str] = ("LBXGLU", "LBXSGL", "GLU
         (R.text_flag(diq) if diq else F.lit(None).cast("int")).alias("DIQ_FLAG"),
         (R.text_flag(rx) if rx else F.lit(None).cast("int")).alias("ON_RX"),
     )
-    present = has_values(stage, ["DIQ_FLAG", "A1C", "GLUCOSE"])
-    diabetic = label_three_source_expr("DIQ_FLAG", "A1C", "GLUCOSE", present)
+    diabetic = label_three_source_expr("DIQ_FLAG", "A1C", "GLUCOSE")
     out = stage.select(
         "*",
         R.bins_right_closed("AGE", *R.AGE_BINS_A).alias("AGE_BIN"),

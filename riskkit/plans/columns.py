@@ -88,6 +88,19 @@ def lenient_cast(spark, sf):
                      S.lenient_double("BMXBMI").alias("BMI_NUM"))
 
 
+# Codes as text in the ways that casts differ on.
+_ODD = ("CASE SEQN % 8 WHEN 0 THEN '1d' WHEN 1 THEN ' 7F' WHEN 2 THEN '1e3' WHEN 3 THEN 'NaN' WHEN 4 THEN '+.5 ' "
+        "WHEN 5 THEN '' WHEN 6 THEN '1_0' ELSE '-2.' END")
+
+
+@register("lenient_cast_text", with_sr(
+    "SELECT SEQN, CASE SEQN % 8 WHEN 2 THEN 1000.0 WHEN 4 THEN 0.5 WHEN 7 THEN -2.0 END::DOUBLE AS CODE FROM SR"))
+def lenient_cast_text(spark, sf):
+    """P8 on text that a plain cast would take (``1d``, ``7F``, ``NaN``) or that only looks odd."""
+    df = survey_view(spark, sf)
+    return df.select("SEQN", S.lenient_double(F.expr(_ODD)).alias("CODE"))
+
+
 @register("strict_cast", with_sr(
     "SELECT CAST(SEQN AS DOUBLE) AS SEQN_D, CAST(RIDRETH1 AS INTEGER) AS RACE_I, "
     "CAST(SMQ020 = '2' AS INTEGER) AS SMQ_IS_2 FROM SR"))

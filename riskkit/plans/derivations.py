@@ -186,6 +186,20 @@ def features_interaction(spark, sf):
     return round_doubles(fi.select("SEQN", *_FI_COLS, "WHtR_bin"))
 
 
+_EDGES = "[" + ", ".join(f"quantile_cont(WAIST_HT_RATIO, {p})" for p in (0.2, 0.4, 0.6, 0.8)) + "]"
+
+
+@register("features_interaction_fitted", with_sr(
+    "SELECT SEQN, CASE WHEN WAIST_HT_RATIO IS NULL THEN NULL ELSE CAST(len([e FOR e IN (SELECT "
+    + _EDGES + " FROM FA WHERE CYCLE IN ('2011_2012', '2013_2014')) IF WAIST_HT_RATIO > e]) AS INTEGER) END AS WHtR_bin FROM FA", FA_CTE))
+def features_interaction_fitted(spark, sf):
+    """D7 with the bin edges of the training cycles, as models read it."""
+    from ..operators.prep import QuantileBinner
+    fa = features_a_frame(spark, sf)
+    binner = QuantileBinner(inputCols=["WAIST_HT_RATIO"], q=5).fit(fa.filter("CYCLE IN ('2011_2012', '2013_2014')"))
+    return D.features_interaction(fa, binner=binner).select("SEQN", "WHtR_bin")
+
+
 # --- D9-D10 -------------------------------------------------------------------------
 
 _P = "CAST(SEQN % 100 AS DOUBLE) / 100.0"

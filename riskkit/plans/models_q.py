@@ -19,7 +19,9 @@ from pyspark.storagelevel import StorageLevel
 from ..fixtures import survey_view, with_sr
 from ..operators import explain as X
 from ..operators import models as L
+from ..operators.prep import QuantileBinner
 from ..operators.split import stratified_folds
+from ..operators.survey import features_interaction
 from ..session import scratch_path
 from ..streaming import score as S
 from .catalog import register
@@ -31,8 +33,9 @@ RAW = NUMERIC_FEATURES + FLAG_FEATURES + CATEGORICAL_FEATURES
 @dataclass
 class Ctx:
     pre: PipelineModel
-    data: DataFrame      # every row: SEQN, label, split, features, raw columns
-    train: DataFrame     # training rows with fold (persisted: iterative learners re-read it)
+    raw: DataFrame       # every row before preprocessing: SEQN, label, split, raw columns
+    data: DataFrame      # every row: SEQN, label, split, features
+    train: DataFrame     # training rows with fold and weight (persisted: iterative learners re-read it)
     test: DataFrame
     n_features: int
     memo: dict
@@ -41,30 +44,63 @@ class Ctx:
 _CTX: dict = {}
 
 
-def context(spark, sf) -> Ctx:
-    key = (spark.sparkContext.applicationId, sf)
-    if key in _CTX:
-        return _CTX[key]
-    df = model_frame(spark, sf)
+def _prepared(raw: DataFrame, pipeline, memo_key: tuple) -> Ctx:
+    """Fit ``pipeline`` on the training rows of ``raw`` and lay out what the model queries read."""
+    if memo_key in _CTX:
+        return _CTX[memo_key]
     # every pipeline stage makes its own pass over the training rows: keep them
-    fit_rows = df.filter("split = 'train'").persist(StorageLevel.MEMORY_AND_DISK)
-    pre = preprocessor().fit(fit_rows)
+    fit_rows = raw.filter("split = 'train'").persist(StorageLevel.MEMORY_AND_DISK)
+    pre = pipeline.fit(fit_rows)
     fit_rows.unpersist()
-    data = pre.transform(df).select("SEQN", "label", "split", "features", *RAW)
+    data = pre.transform(raw).select("SEQN", "label", "split", "features")
     tr = data.filter("split = 'train'")
     folds = stratified_folds(tr.select("SEQN", "label"), "SEQN", ["label"], k=5).select("SEQN", "fold")
-    rows = tr.select("SEQN").count()
-    # iterative learners re-read this frame every iteration: persist it, sized to its rows
-    train = (L.with_balanced_weights(tr.join(folds, "SEQN"), "label")
-             .repartition(L.training_partitions(spark, rows)).persist(StorageLevel.MEMORY_AND_DISK))
-    test = data.filter("split = 'test'")
-    n_features = len(data.schema["features"].metadata["ml_attr"]["attrs"]["numeric"]) + sum(
-        len(v) for k, v in data.schema["features"].metadata["ml_attr"]["attrs"].items() if k != "numeric")
-    ctx = Ctx(pre, data, train, test, n_features, {})
-    _CTX[key] = ctx
+    # iterative learners re-read this frame every iteration: persist it
+    train = L.with_balanced_weights(tr.join(folds, "SEQN"), "label").persist(StorageLevel.MEMORY_AND_DISK)
+    attrs = data.schema["features"].metadata["ml_attr"]["attrs"]
+    ctx = Ctx(pre, raw, data, train, data.filter("split = 'test'"), sum(len(v) for v in attrs.values()), {})
+    _CTX[memo_key] = ctx
     return ctx
 
 
+def context(spark, sf) -> Ctx:
+    raw = model_frame(spark, sf).select("SEQN", "label", "split", *RAW)
+    return _prepared(raw, preprocessor(), (spark.sparkContext.applicationId, sf, "base"))
+
+
+def stack_context(spark, sf) -> Ctx:
+    """The stacking features: interactions and train-fitted bins (D7), quantile-normal numbers."""
+    key = (spark.sparkContext.applicationId, sf, "stack")
+    if key in _CTX:
+        return _CTX[key]
+    base = model_frame(spark, sf)
+    binner = QuantileBinner(inputCols=["WAIST_HT_RATIO"], q=5).fit(base.filter("split = 'train'"))
+    raw = features_interaction(base, binner=binner).withColumn("WHtR_bin", F.col("WHtR_bin").cast("string"))
+    numeric = [*NUMERIC_FEATURES, "AGE_x_BMI", "BMI_x_SBP", "HDL_x_SMOKER", "AGE_sq", "ACR_log", "CHOL_HDL_RATIO_log", "TCHOL_log"]
+    categorical = [*CATEGORICAL_FEATURES, "WHtR_bin"]
+    raw = raw.select("SEQN", "label", "split", *numeric, *FLAG_FEATURES, *categorical)
+    return _prepared(raw, preprocessor(numeric, categorical, FLAG_FEATURES, quantile=True), key)
+
+
+def release() -> None:
+    """Drop the persisted frames that the model queries share."""
+    for c in _CTX.values():
+        for frame in (c.train, *[f for f in c.memo.values() if isinstance(f, DataFrame)]):
+            frame.unpersist()
+    _CTX.clear()
+
+
+def _memo(c: Ctx, name: str, make):
+    if name not in c.memo:
+        c.memo[name] = make()
+    return c.memo[name]
+
+
+def _boosted(c: Ctx):
+    """Boosted trees at the reference settings, weighted for imbalance."""
+    return _memo(c, "gbt", lambda: L.gbt(weight="weight").fit(c.train))
+
+
 def _scores(model, test):
     s = L.positive_probability(model.transform(test))
     return s.select("SEQN", "label", F.round("p", 6).alias("p"), F.col("prediction").cast("int").alias("pred"))
@@ -73,43 +109,51 @@ def _scores(model, test):
 @register("fit_logistic")
 def fit_logistic(spark, sf):
     c = context(spark, sf)
-    return _scores(L.logistic(c.train, weight="weight", max_iter=100).fit(c.train), c.test)
+    return _scores(_memo(c, "logistic", lambda: L.logistic(weight="weight").fit(c.train)), c.test)
 
 
 @register("fit_gbt")
 def fit_gbt(spark, sf):
     c = context(spark, sf)
-    return _scores(L.gbt(rounds=20, depth=4, step=0.1).fit(c.train), c.test)
+    return _scores(_boosted(c), c.test)
 
 
 @register("gbt_early_stop")
 def gbt_early_stop(spark, sf):
     c = context(spark, sf)
-    tv = c.data.filter("split IN ('train', 'val')").withColumn("is_val", F.col("split") == "val")
-    model = L.gbt(rounds=50, depth=4, step=0.1, validation="is_val").fit(tv)
+    tv = L.with_balanced_weights(c.data.filter("split IN ('train', 'val')"), "label").withColumn("is_val", F.col("split") == "val")
+    model = L.gbt(weight="weight", validation="is_val").fit(tv)
     return _scores(model, c.test).withColumn("trees", F.lit(model.getNumTrees))
 
 
 @register("fit_forest")
 def fit_forest(spark, sf):
     c = context(spark, sf)
-    return _scores(L.forest(trees=50, weight="weight").fit(c.train), c.test)
+    return _scores(L.forest(weight="weight").fit(c.train), c.test)
 
 
 @register("fit_mlp")
 def fit_mlp(spark, sf):
     c = context(spark, sf)
-    return _scores(L.mlp(c.n_features, max_iter=20).fit(c.train), c.test)
+    return _scores(L.mlp(c.n_features).fit(c.train), c.test)
+
+
+#: Candidates of the registered search, and a grid of few rounds: the operator takes any; 50
+#: candidates of up to 750 rounds, fitted on three folds each, take hours on one machine.
+SEARCH_CANDIDATES = 4
 
 
 @register("random_search")
 def random_search(spark, sf):
+    """Seeded draw from the grid of six parameters, three even stratified folds, positive-class recall."""
     c = context(spark, sf)
-    est = L.gbt(rounds=10)
-    space = {est.maxDepth: [3, 4, 5, 6], est.stepSize: [0.01, 0.05, 0.1, 0.2],
-             est.subsamplingRate: [0.6, 0.8, 0.9, 1.0], est.minInfoGain: [0.0, 0.1, 0.2, 0.5]}
-    tr3 = c.train.withColumn("fold", F.col("fold") % 3)
-    cv, picked = L.random_search(est, space, 4, tr3, fold_col="fold")
+    est = L.gbt(weight="weight")
+    space = {est.maxIter: [5, 10, 15, 20], est.maxDepth: [3, 4, 5, 6], est.stepSize: [0.01, 0.05, 0.1, 0.2],
+             est.subsamplingRate: [0.6, 0.8, 0.9, 1.0], est.featureSubsetStrategy: ["0.6", "0.8", "0.9", "all"],
+             est.minInfoGain: [0.0, 0.1, 0.2, 0.5]}
+    rows = c.train.drop("fold")
+    folds = stratified_folds(rows.select("SEQN", "label"), "SEQN", ["label"], k=3).select("SEQN", "fold")
+    cv, picked = L.random_search(est, space, SEARCH_CANDIDATES, rows.join(folds, "SEQN"), fold_col="fold")
     rows = [(", ".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda kv: kv[0].name)), float(s))
             for m, s in zip(picked, cv.avgMetrics)]
     return spark.createDataFrame(rows, "params string, recall double").orderBy(F.col("recall").desc())
@@ -118,45 +162,48 @@ def random_search(spark, sf):
 @register("compare_models")
 def compare_models(spark, sf):
     c = context(spark, sf)
-    ests = {"logistic": L.logistic(c.train, weight="weight"), "gbt": L.gbt(rounds=20, step=0.1),
-            "forest": L.forest(trees=50, weight="weight")}
+    ests = {"logistic": L.logistic(weight="weight"), "gbt": L.gbt(weight="weight"), "forest": L.forest(weight="weight")}
     return L.compare_models(ests, c.train, c.test)
 
 
-def _bases(c):
-    return {"log": L.logistic(c.train, weight="weight", max_iter=50), "gbt": L.gbt(rounds=10, step=0.1)}
+#: Boosting rounds of the stacking bases, which are fitted six times; the operator's default is 100.
+STACK_ROUNDS = 20
+
+
+def _bases():
+    return {"log": L.logistic(weight="weight"), "gbt": L.gbt(rounds=STACK_ROUNDS, weight="weight")}
 
 
 def _oof(c) -> DataFrame:
     if "oof" not in c.memo:
-        c.memo["oof"] = L.out_of_fold(_bases(c), c.train, "SEQN").persist(StorageLevel.MEMORY_AND_DISK)
+        c.memo["oof"] = L.out_of_fold(_bases(), c.train, "SEQN").persist(StorageLevel.MEMORY_AND_DISK)
     return c.memo["oof"]
 
 
 def _test_bases(c) -> DataFrame:
     if "test_bases" not in c.memo:
-        c.memo["test_bases"] = L.base_scores(_bases(c), c.train, c.test, "SEQN") \
+        c.memo["test_bases"] = L.base_scores(_bases(), c.train, c.test, "SEQN") \
             .persist(StorageLevel.MEMORY_AND_DISK)
     return c.memo["test_bases"]
 
 
 @register("oof_scores")
 def oof_scores(spark, sf):
-    return _oof(context(spark, sf))
+    return _oof(stack_context(spark, sf))
 
 
 @register("stacked")
 def stacked(spark, sf):
-    c = context(spark, sf)
-    out, _ = L.stack(_bases(c), c.train, c.test, "SEQN", oof=_oof(c), test_bases=_test_bases(c))
+    c = stack_context(spark, sf)
+    out, _ = L.stack(_bases(), c.train, c.test, "SEQN", oof=_oof(c), test_bases=_test_bases(c))
     return out.select("SEQN", "label", F.round("p", 6).alias("p"))
 
 
 @register("calibrated")
 def calibrated(spark, sf):
     from pyspark.ml.feature import VectorAssembler
-    c = context(spark, sf)
-    names = list(_bases(c))
+    c = stack_context(spark, sf)
+    names = list(_bases())
     oof = _oof(c).join(c.train.select("SEQN", "label"), "SEQN")
     asm = VectorAssembler(inputCols=[f"p_{n}" for n in names], outputCol="meta_x")
     test = c.test.select("SEQN", "label").join(_test_bases(c), "SEQN")
@@ -167,14 +214,13 @@ def calibrated(spark, sf):
 @register("gbt_importance")
 def gbt_importance(spark, sf):
     c = context(spark, sf)
-    model = L.gbt(rounds=20, step=0.1).fit(c.train)
-    return L.importance_table(model, c.data, top=20)
+    return L.importance_table(_boosted(c), c.data, top=20)
 
 
 def scoring_model(spark, sf) -> PipelineModel:
     """Preprocessing + balanced logistic regression as one model over raw columns."""
     c = context(spark, sf)
-    lr = L.logistic(c.train, weight="weight").fit(c.train)
+    lr = _memo(c, "logistic", lambda: L.logistic(weight="weight").fit(c.train))
     return PipelineModel(stages=[*c.pre.stages, lr])
 
 
@@ -182,14 +228,13 @@ def scoring_model(spark, sf) -> PipelineModel:
 def shapley_sampled(spark, sf):
     c = context(spark, sf)
     model = scoring_model(spark, sf)
-    rows = c.test.select("SEQN", *RAW)
-    bg = c.train.select("SEQN", *RAW)
-    return X.sampled_shapley(model, rows, "SEQN", RAW, bg, n_background=30, n_perm=4)
+    rows, background = (c.raw.filter(F.col("split") == part).select("SEQN", *RAW) for part in ("test", "train"))
+    return X.sampled_shapley(model, rows, "SEQN", RAW, background)
 
 
 def _requests(spark, sf) -> DataFrame:
-    c = context(spark, sf)
-    t = c.data.filter("split = 'test'")
+    """Request records with the test respondents' raw values, as a caller would send them."""
+    t = context(spark, sf).raw.filter("split = 'test'")
     cols = [F.col("SEQN").cast("string").alias("id")]
     for spec in S.RISK_INPUT.split(", ")[1:]:
         name, dtype = spec.split()
@@ -218,7 +263,7 @@ def model_roundtrip(spark, sf):
     path = scratch_path(spark, "model")
     model.write().overwrite().save(path)
     loaded = PipelineModel.load(path)
-    raw = c.test.select("SEQN", *RAW)
+    raw = c.raw.filter("split = 'test'").select("SEQN", *RAW)
     a = L.positive_probability(model.transform(raw)).select("SEQN", F.col("p").alias("p_before"))
     b = L.positive_probability(loaded.transform(raw)).select("SEQN", F.col("p").alias("p_after"))
     return a.join(b, "SEQN")

@@ -111,7 +111,7 @@ _CHAIN = ["BMXBMI", "BMXWAIST", "LBXGLU", "LBXGH", "LBXTC", "LBDHDD"]
 @register("impute_chained")
 def impute_chained(spark, sf):
     sr = survey_view(spark, sf)
-    model = P.ChainedImputer(inputCols=_CHAIN, maxIter=5).fit(train_rows(sr).select(*_CHAIN))
+    model = P.ChainedImputer(inputCols=_CHAIN).fit(train_rows(sr).select(*_CHAIN))
     return model.transform(sr.select("SEQN", *_CHAIN))
 
 
@@ -119,7 +119,7 @@ def impute_chained(spark, sf):
 def quantile_normal(spark, sf):
     sr = survey_view(spark, sf)
     cols = ["BMXBMI", "LBXTC", "URXUMA"]
-    model = P.QuantileNormal(inputCols=cols, nQuantiles=100).fit(train_rows(sr).select(*cols))
+    model = P.QuantileNormal(inputCols=cols).fit(train_rows(sr).select(*cols))
     return model.transform(sr.select("SEQN", *cols))
 
 

@@ -43,13 +43,14 @@ _LOCAL_ROOT: str | None = None
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared checkpoint folder from ``spark.checkpoint.dir``.
 
-    The setting is read from the session; a temp folder is used only when
-    it is unset on a local master (tests).  The context's checkpoint dir is
-    pointed at it so ``DataFrame.checkpoint()`` writes there.
+    The setting is read from the session, else the folder that the caller gave to
+    ``SparkContext.setCheckpointDir``; a temp folder is used only when both are
+    unset on a local master (tests).  The context's checkpoint dir is pointed at
+    it so ``DataFrame.checkpoint()`` writes there.
     """
     global _LOCAL_ROOT
     sc = spark.sparkContext
-    root = sc.getConf().get(_CKPT_KEY, None) or spark.conf.get(_CKPT_KEY, None)
+    root = sc.getConf().get(_CKPT_KEY, None) or spark.conf.get(_CKPT_KEY, None) or sc.getCheckpointDir()
     if not root:
         if not sc.master.startswith("local"):
             raise RuntimeError(f"{_CKPT_KEY} must name a shared folder on a cluster")

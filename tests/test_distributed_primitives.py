@@ -66,11 +66,9 @@ def test_top_k_per_group_skewed(spark):
 import pytest
 
 
-@pytest.mark.parametrize("max_distinct", [100_000, 0])  # percentile path, rank path
-def test_exact_quantiles_match_numpy(spark, max_distinct):
+def test_exact_quantiles_match_numpy(spark):
     df, rows = _skewed(spark)
-    q = A.exact_quantiles(df, ["v", "id"], [0.0, 0.25, 0.5, 0.9, 1.0], ["a", "b", "c", "d", "e"],
-                          max_distinct=max_distinct).collect()
+    q = A.exact_quantiles(df, ["v", "id"], [0.0, 0.25, 0.5, 0.9, 1.0], ["a", "b", "c", "d", "e"]).collect()
     got = {r.column_name: [r.a, r.b, r.c, r.d, r.e] for r in q}
     for c, idx in (("v", 2), ("id", 0)):
         arr = np.array([float(r[idx]) for r in rows])
@@ -165,3 +163,63 @@ def test_write_with_summary(spark, tmp_path):
     df = spark.createDataFrame([(1, None), (2, 3.0)], "k long, v double")
     summary = io.write_with_summary(df, str(tmp_path / "t"), counted=["v"])
     assert summary == {"rows": 2, "non_null_v": 1, "cols": 2}
+
+
+def test_components_of_any_case_format_and_columns(spark, tmp_path):
+    from riskkit.sources import io
+    root = tmp_path / "survey"
+    for c in ("2011_2012", "2013_2014", "2015_2016"):
+        (root / f"cycle={c}").mkdir(parents=True)
+    spark.createDataFrame([(1, 1.0)], "SEQN long, x double").toPandas().to_parquet(root / "cycle=2011_2012" / "demo_g.parquet")
+    spark.createDataFrame([(2, 2.0, "n")], "SEQN long, x double, extra string").toPandas().to_parquet(root / "cycle=2013_2014" / "DEMO_H.PARQUET")
+    (root / "cycle=2015_2016" / "Demo.csv").write_text("SEQN,x,late\n3,3.5,7\n")
+    spark.createDataFrame([(1, 9.0)], "SEQN long, glu double").toPandas().to_parquet(root / "cycle=2011_2012" / "GLU_G.parquet")
+    spark.createDataFrame([(1, 8.0)], "SEQN long, tol double").toPandas().to_parquet(root / "cycle=2011_2012" / "GLUTOL_G.parquet")
+    demo = io.read_component(spark, str(root), "DEMO")
+    assert sorted(demo.columns) == ["SEQN", "cycle", "extra", "late", "x"]
+    got = sorted((str(r.SEQN), float(r.x), r.extra, r.late, r.cycle) for r in demo.collect())
+    assert got == [("1", 1.0, None, None, "2011_2012"), ("2", 2.0, "n", None, "2013_2014"), ("3", 3.5, None, "7", "2015_2016")]
+    assert io.read_component(spark, str(root), "glu").columns == ["SEQN", "glu", "cycle"]
+    assert io.read_component(spark, str(root), "HDL") is None
+    (root / "cycle=2011_2012" / "BMX_G.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception, match="(?i)parquet|file"):
+        io.read_component(spark, str(root), "BMX").collect()
+
+
+def test_repeated_keys_are_refused_or_joined(spark):
+    a = spark.createDataFrame([(1, None, 5.0), (1, 3.0, 1.0), (2, 1.0, 1.0)], "SEQN long, A double, B double")
+    b = spark.createDataFrame([(1, 7.0), (3, 8.0), (None, 9.0)], "SEQN long, C double")
+    with pytest.raises(Exception, match="several rows"):
+        J.merge_unique_components({"A": a, "B": b}, "SEQN").collect()
+    rows = sorted(map(str, J.merge_components({"A": a, "B": b}, "SEQN").collect()))
+    want = [(1, None, 5.0, 7.0), (1, 3.0, 1.0, 7.0), (2, 1.0, 1.0, None), (3, None, None, 8.0), (None, None, None, 9.0)]
+    assert rows == sorted(f"Row(SEQN={k}, A={x}, B={y}, C={z})" for k, x, y, z in want)
+
+
+def test_null_safe_merge_matches_missing_keys(spark):
+    a = spark.createDataFrame([(1, 1.0), (None, 2.0)], "SEQN long, A double")
+    b = spark.createDataFrame([(None, 7.0), (1, 8.0)], "SEQN long, B double")
+    rows = {(r.SEQN, r.A, r.B) for r in J.merge_components({"A": a, "B": b}, "SEQN", null_safe=True).collect()}
+    assert rows == {(1, 1.0, 8.0), (None, 2.0, 7.0)}
+    carried = J.merge_components({"A": a.withColumn("c", F.lit("x")), "B": b.unionAll(b).withColumn("c", F.lit("y"))}, "SEQN", ["c"])
+    assert carried.count() == 6 and carried.columns == ["SEQN", "c", "A", "B"]
+
+
+def test_feature_set_is_built_without_a_job(spark, sf):
+    """Building D5 reads no rows: the action count of a fresh job group stays zero."""
+    from riskkit.fixtures import survey_view
+    from riskkit.operators.survey import features_a
+    df = survey_view(spark, sf)  # reads the schema
+    spark.sparkContext.setJobGroup("build-only", "features_a")
+    features_a(df)
+    ran = spark.sparkContext.statusTracker().getJobIdsForGroup("build-only")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert list(ran) == []
+
+
+def test_encoder_has_no_level_limit(spark):
+    from riskkit.operators.prep import OrdinalEncoder
+    df = spark.range(3000).select(F.concat(F.lit("v"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("c"), (F.col("id") % 7).alias("n"))
+    model = OrdinalEncoder(inputCols=["c", "n"]).fit(df)
+    new = spark.createDataFrame([("v00000", 6), ("v02999", 0), ("zzz", 9), (None, None)], "c string, n long")
+    assert sorted(((r.c, r.n) for r in model.transform(new).collect()), key=str) == sorted([(0, 6), (2999, 0), (-1, -1), (None, None)], key=str)
