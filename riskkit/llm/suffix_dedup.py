@@ -28,8 +28,8 @@ round gives the length of the common prefix; blocks that survive all rounds are
 the repeated windows, and all but their earliest start are marked.  No suffix
 of one shard is ever compared with one of another.
 
-An anchor with more than ``variants`` different fragments is not gathered in a
-bucket: its windows are grouped by hash with a partial minimum, which has no
+An anchor with more than ``variants`` different fragments (by default as many as
+a bucket holds) is not gathered in a bucket: its windows are grouped by hash with a partial minimum, which has no
 hot key (and marks the same windows).
 
 Defined results: null and empty texts have nothing to remove; texts shorter than
@@ -335,7 +335,7 @@ def removed_runs(texts: DataFrame, length: int, variants: int, bucket_rows: int)
     return every.groupBy("ord", tie).agg(F.collect_list("place").alias("places"))
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, variants: int = 512, bucket_rows: int = 4096, as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, variants: int = 4096, bucket_rows: int = 4096, as_text: bool = False) -> DataFrame:
     """``docs`` without ``text``, and with n_bytes, n_removed, n_spans and the bytes ``kept`` of every row.
 
     ``as_text``: ``kept`` is a string instead, without the bytes of characters that a cut has split.
