@@ -101,6 +101,7 @@ def label_extract(df: DataFrame, label: str = "DIABETES_BIN", key: str = "SEQN")
 
 # --- feature sets -------------------------------------------------------------
 
+# Output columns of the two feature sets, in order.
 FEATURES_A = ["SEQN", "CYCLE", "AGE", "AGE_BIN", "RIAGENDR", "RIDRETH1", "BMI", "BMI_CLASS",
               "WAIST_HT_RATIO", "SBP_MEAN", "DBP_MEAN", "HYPERTENSION_FLAG", "GLUCOSE", "A1C",
               "INSULIN", "HOMA_IR", "TCHOL", "HDL", "TRIG", "CHOL_HDL_RATIO", "TG_TO_HDL", "ACR",
@@ -250,23 +251,22 @@ CYCLE_CODES = {7: "2011_2012", 8: "2013_2014", 9: "2015_2016", 10: "2017_2018"}
 VALID_CYCLES = ["2011_2012", "2013_2014", "2015_2016", "2017_2018"]
 
 
+# Derived columns: name -> (inputs that must exist, expression).
+INTERACTIONS = {
+    "AGE_x_BMI": (("AGE", "BMI"), lambda: R.product("AGE", "BMI")),
+    "BMI_x_SBP": (("BMI", "SBP_MEAN"), lambda: R.product("BMI", "SBP_MEAN")),
+    "SMOKER_NUM": (("HDL", "SMOKER"), lambda: R.coerce_fill("SMOKER")),
+    "HDL_x_SMOKER": (("HDL", "SMOKER"), lambda: F.col("HDL") * R.coerce_fill("SMOKER")),
+    "AGE_sq": (("AGE",), lambda: R.square("AGE")),
+    "ACR_log": (("ACR",), lambda: R.clipped_log1p("ACR")),
+    "CHOL_HDL_RATIO_log": (("CHOL_HDL_RATIO",), lambda: R.clipped_log1p("CHOL_HDL_RATIO")),
+    "TCHOL_log": (("TCHOL",), lambda: R.clipped_log1p("TCHOL")),
+}
+
+
 def interaction_columns(df: DataFrame) -> list[Column]:
-    """D7 row-wise part: interactions, square and clipped logs (when inputs exist)."""
-    cols = df.columns
-    out = []
-    if "AGE" in cols and "BMI" in cols:
-        out.append(R.product("AGE", "BMI").alias("AGE_x_BMI"))
-    if "BMI" in cols and "SBP_MEAN" in cols:
-        out.append(R.product("BMI", "SBP_MEAN").alias("BMI_x_SBP"))
-    if "HDL" in cols and "SMOKER" in cols:
-        out.append(R.coerce_fill("SMOKER").alias("SMOKER_NUM"))
-        out.append((F.col("HDL") * R.coerce_fill("SMOKER")).alias("HDL_x_SMOKER"))
-    if "AGE" in cols:
-        out.append(R.square("AGE").alias("AGE_sq"))
-    for c in ["ACR", "CHOL_HDL_RATIO", "TCHOL"]:
-        if c in cols:
-            out.append(R.clipped_log1p(c).alias(f"{c}_log"))
-    return out
+    """D7 row-wise part: the derived columns whose inputs exist."""
+    return [make().alias(name) for name, (inputs, make) in INTERACTIONS.items() if set(inputs) <= set(df.columns)]
 
 
 def features_interaction(df: DataFrame, key: str = "SEQN", q: int = 5, binner=None) -> DataFrame:

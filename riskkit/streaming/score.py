@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import rowwise as R
 from ..operators.survey import advice, risk_level
 
+# Fields of a request record.
 RISK_INPUT = (
     "id string, AGE double, AGE_BIN string, SEX int, BMI double, BMI_CLASS string, WAIST_HT_RATIO double, "
     "SBP_MEAN double, DBP_MEAN double, HYPERTENSION_FLAG int, TCHOL double, HDL double, TRIG double, "
