@@ -64,15 +64,20 @@ def gram_hashes(data: np.ndarray, k: int, sums: np.ndarray | None = None) -> np.
     return mix((sums[k:] - sums[:-k]) * _powers(n, _INVERSE))
 
 
+def slices(size: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose sizes add up to about ``limit``; a row is never cut."""
+    group = (np.cumsum(size, dtype=np.int64) - size) // limit
+    edges = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [len(size)]))
+    yield from zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)
+
+
 def chunks(batches: Iterable[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches that hold about ``limit`` bytes of text each; a text is never cut."""
     for batch in batches:
         if not batch.num_rows:
             continue
         size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
-        group = (np.cumsum(size, dtype=np.int64) - size) // limit
-        edges = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [batch.num_rows]))
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        for a, b in slices(size, limit):
             yield batch.slice(a, b - a)
 
 

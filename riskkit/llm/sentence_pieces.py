@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
-from .buffers import chunks, prefix_sums, span_hashes, text_bytes
+from .buffers import chunks, prefix_sums, slices, span_hashes, text_bytes
 from .catalog import query, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -203,12 +203,10 @@ class PieceModel:
 
         def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for column in columns:
-                texts = []
-                for k in range(0, len(column), 256):
-                    part = column.slice(k, 256)
-                    sizes = np.array(pc.fill_null(pc.list_value_length(part), 0), np.int64)
-                    flat = np.array(pc.list_flatten(part), np.int64)
-                    texts += model.decode(flat, np.concatenate(([0], np.cumsum(sizes))))
+                texts, sizes = [], np.array(pc.fill_null(pc.list_value_length(column), 0), np.int64)
+                for a, b in slices(sizes, 1 << 19) if len(column) else ():
+                    flat = np.array(pc.list_flatten(column.slice(a, b - a)), np.int64)
+                    texts += model.decode(flat, np.concatenate(([0], np.cumsum(sizes[a:b]))))
                 yield pa.array(texts, pa.string())
 
         return F.arrow_udf(run, "string")(ids)

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from .buffers import chunks, text_bytes
 from .catalog import query, table
 from .components import components
-from .storage import written
+from .storage import dropped, written
 
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 SEED = 42
@@ -222,7 +222,9 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2,
     marked = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint(F.col("text"), shingle).alias("fp")), "simhash")
     reps = marked.groupBy("fp").agg(F.min("doc_id").alias("_rep"))
     distinct = written(reps, "simhash-distinct")
-    roots = components(written(links(distinct.select("fp"), max_bits, bucket_rows), "simhash-links"))
+    edges = written(links(distinct.select("fp"), max_bits, bucket_rows), "simhash-links")
+    roots = components(edges)
+    dropped(edges)  # the components are checkpointed
     rooted = (distinct.join(roots.select(F.col("node").alias("fp"), F.col("root").alias("_root")), "fp", "left")
               .withColumn("_root", F.coalesce("_root", "fp")))
     least = rooted.groupBy("_root").agg(F.min("_rep").alias("component_id"))

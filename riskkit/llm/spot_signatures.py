@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from ..operators.rank import ordered_positions
 from .catalog import query, table
 from .components import components
-from .storage import written
+from .storage import dropped, written
 
 # Common words of English, German, French and Spanish.
 ANCHORS = tuple("""
@@ -116,7 +116,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, chain: int = 2) ->
     sided = met.join(reps.select(F.col("node").alias("u"), F.col("sigs").alias("su")), "u").join(
         reps.select(F.col("node").alias("v"), F.col("sigs").alias("sv")), "v")
     edges = written(sided.filter(likeness(F.col("su"), F.col("sv"), threshold) >= threshold).select("u", "v"), "spots-links")
-    rooted = (reps.select("node", "_rep").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    roots = components(edges)
+    dropped(edges)  # the components are checkpointed
+    rooted = reps.select("node", "_rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("_rep").alias("class_id"))
     named = rooted.join(least, "root").select("node", "class_id")
     return sets.withColumn("node", F.xxhash64(F.col("sigs"))).join(named, "node").select("doc_id", "class_id")
