@@ -13,7 +13,8 @@ primitives here avoid both:
     checkpoint folder so ids are fixed and survive executor loss.
 
 ``running_totals``
-    the same layout, with local running sums plus offsets.
+    the same layout, with running sums that stream through each sorted partition
+    (one exchange) plus offsets.
 
 Both need ``order`` to be a total order (add a unique tie key) for stable,
 repeatable results.
@@ -23,8 +24,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import checkpoint_root
 
@@ -60,11 +64,14 @@ def _offsets(part: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFra
     return out
 
 
+#: Offsets tables of at most so many rows are broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 100_000
+
+
 def _join_back(ranged: DataFrame, part: DataFrame, by: Sequence[str]) -> DataFrame:
-    # Without groups the offsets table has one row per partition (a proven bound):
-    # broadcast it.  With groups it is <= partitions + groups rows; AQE broadcasts
-    # it at runtime when its measured size is under the threshold.
-    p = F.broadcast(part) if not by else part
+    # The offsets table has at most partitions + groups rows.  It is counted before the join is
+    # planned: its estimate is inherited from the large side, so the first plan would shuffle both.
+    p = F.broadcast(part) if part.count() <= BROADCAST_ROWS else part
     for c in ["_pid", *by]:
         p = p.withColumnRenamed(c, f"_k_{c}")
     cond = ranged["_pid"] == p["_k__pid"]
@@ -95,6 +102,7 @@ def ordered_positions(df: DataFrame, order: Sequence[ColLike], by: Sequence[str]
     part = _offsets(part, by, ["_cnt"])
     if count_col:
         part = part.withColumn(count_col, F.sum("_cnt").over(Window.partitionBy(*by)))
+    part = part.checkpoint(eager=True)
     out = _join_back(ranged, part, by)
     out = out.withColumn(
         pos_col, (F.col("_local") - F.col("_first") + F.col("_before__cnt") + 1).cast("long"))
@@ -106,6 +114,41 @@ def ordered_positions(df: DataFrame, order: Sequence[ColLike], by: Sequence[str]
     return out
 
 
+def _local_sums(ranged: DataFrame, sums: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Add ``_loc_<c>``: running sums within each sorted partition and group, as the rows stream by.
+
+    A window over the partition number would shuffle the ranged rows again; here one
+    exchange is all.  NULL counts as zero; integers add up as long, others as double.
+    """
+    whole = {c: isinstance(ranged.schema[c].dataType, T.IntegralType) for c in sums}
+    group = F.xxhash64(*[F.col(c) for c in by]) if by else F.lit(0).cast("long")
+    rows = ranged.withColumn("_g", group).withColumns(
+        {f"_loc_{c}": F.coalesce(F.col(c).cast("long" if whole[c] else "double"), F.lit(0)) for c in sums})
+
+    def run(batches):
+        last, carry = None, {}
+        for batch in batches:
+            g = np.array(batch.column("_g"))
+            if not len(g):
+                yield batch
+                continue
+            new = np.concatenate(([last is None or g[0] != last], g[1:] != g[:-1]))
+            head = np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))
+            for c in sums:
+                i = batch.schema.get_field_index(f"_loc_{c}")
+                total = np.cumsum(np.array(batch.column(i)))
+                before = np.concatenate((np.zeros(1, total.dtype), total))[head]
+                local = total - before
+                if not new[0]:  # the group goes on from the last batch
+                    local = local + np.where(np.cumsum(new) == 0, carry[c], np.zeros(1, total.dtype))
+                carry[c] = local[-1]
+                batch = batch.set_column(i, f"_loc_{c}", pa.array(local))
+            last = g[-1]
+            yield batch
+
+    return rows.mapInArrow(run, rows.schema).drop("_g")
+
+
 def running_totals(df: DataFrame, order: Sequence[ColLike], sums: Sequence[str],
                    by: Sequence[str] = (), suffix: str = "_cum",
                    num_partitions: int | None = None) -> DataFrame:
@@ -116,14 +159,9 @@ def running_totals(df: DataFrame, order: Sequence[ColLike], sums: Sequence[str],
     """
     checkpoint_root(df.sparkSession)
     by = list(by)
-    ranged = _ranged(df, order, by, num_partitions)
-    wl = (Window.partitionBy("_pid", *by).orderBy(*_names(order))
-          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    for c in sums:
-        ranged = ranged.withColumn(f"_loc_{c}", F.sum(c).over(wl))
-    ranged = ranged.checkpoint(eager=True)
+    ranged = _local_sums(_ranged(df, order, by, num_partitions), sums, by).checkpoint(eager=True)
     part = ranged.groupBy("_pid", *by).agg(*[F.sum(c).alias(f"_tot_{c}") for c in sums])
-    part = _offsets(part, by, [f"_tot_{c}" for c in sums])
+    part = _offsets(part, by, [f"_tot_{c}" for c in sums]).checkpoint(eager=True)
     out = _join_back(ranged, part, by)
     for c in sums:
         out = out.withColumn(f"{c}{suffix}", F.col(f"_loc_{c}") + F.col(f"_before__tot_{c}"))

@@ -48,3 +48,24 @@ def test_component_merge_single_shuffle_for_unique_components(spark, sf):
     merged = J.merge_unique_components(comps, "SEQN", carry=["cycle"])
     plan = _plan(merged)
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_running_totals_shuffle_once(spark):
+    from pyspark.sql import functions as F
+    from riskkit.operators.rank import _local_sums, _ranged
+    df = spark.range(1000).select((F.col("id") % 3).alias("g"), F.col("id").alias("v"), F.lit(1).alias("n"))
+    plan = _plan(_local_sums(_ranged(df, ["v"], ["g"], 4), ["n"], ["g"]))
+    assert plan.count("Exchange") == 1 and "rangepartitioning" in plan and "Window" not in plan
+
+
+def test_offsets_are_broadcast_by_their_counted_size(spark):
+    from pyspark.sql import functions as F
+    from riskkit.operators.rank import ordered_positions
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(5000).select((F.col("id") % 3).alias("g"), F.col("id").alias("v"))
+        plan = _plan(ordered_positions(df, ["v"], by=["g"]))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
