@@ -188,7 +188,8 @@ def strings(data: np.ndarray, begin: np.ndarray, windows: np.ndarray, length: in
     window = phase[string] + step * nth
     at = begin[frag[string]] + window
     _, rank = np.unique(span_hashes(prefix_sums(data), at, at + step), return_inverse=True)
-    return rank.astype(np.int64) + 1, frag[string], window, string
+    small = np.int32  # a bucket has far fewer symbols; these arrays are what a task holds
+    return rank.astype(small) + 1, frag[string].astype(small), window.astype(small), string.astype(small)
 
 
 def transform(symbol: np.ndarray, string: np.ndarray, n_strings: int) -> tuple[np.ndarray, np.ndarray]:
@@ -198,7 +199,7 @@ def transform(symbol: np.ndarray, string: np.ndarray, n_strings: int) -> tuple[n
     """
     n = len(symbol)
     last = np.append(string[1:] != string[:-1], True) if n else np.zeros(0, bool)
-    keys, ahead = [string], np.arange(n)
+    ahead = np.arange(n, dtype=np.int32)
     alive = np.ones(n, bool)
     longest = int(np.bincount(string).max()) if n else 0
     columns = []
@@ -206,10 +207,10 @@ def transform(symbol: np.ndarray, string: np.ndarray, n_strings: int) -> tuple[n
         columns.append(np.where(alive, symbol[np.minimum(ahead, n - 1)], 0))
         alive = alive & ~last[np.minimum(ahead, n - 1)]
         ahead = ahead + 1
-    order = np.lexsort((*keys, *columns[::-1])) if n else np.zeros(0, np.int64)
+    order = np.lexsort((string, *columns[::-1])) if n else np.zeros(0, np.int64)
     first = np.append(True, string[1:] != string[:-1]) if n else np.zeros(0, bool)
-    before = np.where(first, 0, np.append(0, symbol[:-1])) if n else np.zeros(0, np.int64)
-    return np.concatenate((symbol[last], before[order])), np.concatenate((np.full(n_strings, -1), order))
+    before = np.where(first, 0, np.roll(symbol, 1)) if n else symbol
+    return np.concatenate((symbol[last], before[order])), np.concatenate((np.full(n_strings, -1, np.int32), order.astype(np.int32)))
 
 
 def merged_blocks(transforms: list[np.ndarray], n_strings: list[int], rounds: int) -> tuple[np.ndarray, np.ndarray]:
@@ -218,11 +219,11 @@ def merged_blocks(transforms: list[np.ndarray], n_strings: list[int], rounds: in
     Refinement: rows in the interleave so far, stably sorted by the symbol before them, are their
     predecessors in the order of one more symbol.  Rows of ends stay in front.
     """
-    shard = np.repeat(np.arange(len(transforms)), [len(t) for t in transforms])
-    ends = np.repeat(np.arange(len(transforms)), n_strings)
-    block = np.zeros(len(shard), np.int64)
+    names = np.arange(len(transforms), dtype=np.int16)
+    shard, ends = np.repeat(names, [len(t) for t in transforms]), np.repeat(names, n_strings)
+    block = np.zeros(len(shard), np.int32)
     for _ in range(rounds):
-        symbol = np.empty(len(shard), np.int64)
+        symbol = np.empty(len(shard), np.int32)
         for s, t in enumerate(transforms):
             symbol[shard == s] = t
         live = np.flatnonzero(symbol)
@@ -230,7 +231,7 @@ def merged_blocks(transforms: list[np.ndarray], n_strings: list[int], rounds: in
         # a new block where the symbol changes, or where the rows after it already differed
         new = np.concatenate(([True], (symbol[order][1:] != symbol[order][:-1]) | (block[order][1:] != block[order][:-1])))[:len(order)]
         shard = np.concatenate((ends, shard[order]))
-        block = np.concatenate((np.zeros(len(ends), np.int64), np.cumsum(new)))
+        block = np.concatenate((np.zeros(len(ends), np.int32), np.cumsum(new, dtype=np.int32)))
     return shard, block
 
 
@@ -247,9 +248,9 @@ def later_windows(data: np.ndarray, begin: np.ndarray, windows: np.ndarray, leng
         n_strings.append(int(own[-1]) + 1 if b > a else 0)
         t, at = transform(symbol[a:b], own, n_strings[-1])
         built.append(t)
-        rows.append(np.where(at >= 0, at + a, -1))
+        rows.append(np.where(at >= 0, at + np.int32(a), np.int32(-1)))
     shard, block = merged_blocks(built, n_strings, rounds=2)
-    at = np.empty(len(shard), np.int64)
+    at = np.empty(len(shard), np.int32)
     for s, own in enumerate(rows):
         at[shard == s] = own
     whole = at >= 0
@@ -258,7 +259,7 @@ def later_windows(data: np.ndarray, begin: np.ndarray, windows: np.ndarray, leng
     if not len(at):
         return at, at
     head = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-    key = frag[at] * (1 << 12) + window[at]
+    key = frag[at].astype(np.int64) * (1 << 12) + window[at]
     later = key != np.repeat(np.minimum.reduceat(key, head), np.diff(np.append(head, len(at))))
     return frag[at[later]], window[at[later]]
 
