@@ -24,14 +24,16 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .buffers import chunks
 from .catalog import query, table
 
+CHUNK = 1 << 18  # bytes of text encoded at once
+ROWS = 256  # conversations assembled at once
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 CONTROL = (START, SEP, END, "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -68,23 +70,35 @@ class ChatTemplate:
         return "".join(f"{START}{self.escape(r)}{SEP}{self.escape(t)}{END}\n" for r, t in turns)
 
 
+def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    """Arrays as one Arrow list array."""
+    bounds = np.concatenate(([0], np.cumsum([len(v) for v in values], dtype=np.int64))).astype(np.int32)
+    flat = np.concatenate(values) if values else np.zeros(0, kind.value_type.to_pandas_dtype())
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat, kind.value_type))
+
+
 def encode_turns(rows: DataFrame, template: ChatTemplate) -> DataFrame:
     """Add ``role_ids`` and ``text_ids`` to rows of conv_id, turn, role, text, in place, without a shuffle."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    ints = pa.list_(pa.int32())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = template.tokenizer()
-        for pdf in batches:
-            parts = [[template.escape(x) for x in pdf[c]] for c in ("role", "text")]
-            ids = [e.ids for e in tok.encode_batch([*parts[0], *parts[1]], add_special_tokens=False)]
-            n = len(pdf)
-            yield pdf.assign(role_ids=ids[:n], text_ids=ids[n:])
+        for part in chunks(batches, "text", CHUNK):  # encodings are held for one chunk at a time
+            ids = [[np.array(e.ids, np.int32) for e in tok.encode_batch_fast([template.escape(x) for x in part.column(c).to_pylist()], add_special_tokens=False)]
+                   for c in ("role", "text")]
+            yield pa.RecordBatch.from_arrays([*part.columns, *[_lists(x, ints) for x in ids]], names=[*part.schema.names, "role_ids", "text_ids"])
 
     clean = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
                         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    # a null id would reach pandas as a float, so ids are carried as text across Python
-    clean = clean.withColumns({c: F.col(c).cast("string") for c in ("conv_id", "turn")})
-    out = clean.mapInPandas(run, "conv_id string, turn string, role string, text string, "
-                                 "role_ids array<int>, text_ids array<int>")
-    return out.withColumns({c: F.col(c).cast("long") for c in ("conv_id", "turn")})
+    return clean.mapInArrow(run, "conv_id long, turn long, role string, text string, role_ids array<int>, text_ids array<int>")
+
+
+def _inner(column: pa.Array, i: int) -> list[np.ndarray]:
+    """Row ``i`` of a list<list<int>> column."""
+    part = column.values.slice(column.offsets[i].as_py(), column.offsets[i + 1].as_py() - column.offsets[i].as_py())
+    flat = np.array(part.flatten(), np.int32)
+    bounds = np.array(part.offsets, np.int64)
+    return [flat[a:b] for a, b in zip((bounds[:-1] - bounds[0]).tolist(), (bounds[1:] - bounds[0]).tolist(), strict=True)]
 
 
 def format_chats(rows: DataFrame, template: ChatTemplate | None = None) -> DataFrame:
@@ -93,31 +107,30 @@ def format_chats(rows: DataFrame, template: ChatTemplate | None = None) -> DataF
     turns = (encode_turns(rows, template).groupBy("conv_id")
              .agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "role_ids", "text_ids"))).alias("turns")))
     flat = turns.select("conv_id", *[F.col(f"turns.{c}").alias(c) for c in ("role", "text", "role_ids", "text_ids")])
-    schema = pa.schema([("conv_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("loss_mask", pa.list_(pa.int8())),
-                        ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, sep, end = template.reserved(template.tokenizer())
+        start, sep, end = ([np.array([m], np.int32)] for m in template.reserved(template.tokenizer()))
         for batch in batches:
-            all_ids, masks, texts = [], [], []
-            for row in batch.select(["role", "text", "role_ids", "text_ids"]).to_pylist():
-                parts, edges, at = [], [], 0
-                for role, role_ids, text_ids in zip(row["role"], row["role_ids"], row["text_ids"], strict=True):
-                    parts += [[start], role_ids, [sep], text_ids, [end]]
-                    begin = at + len(role_ids) + 2
-                    if role == template.learned_role:
-                        edges.append((begin, begin + len(text_ids)))
-                    at = begin + len(text_ids) + 1
-                ids = np.concatenate([np.asarray(p, np.int32) for p in parts])
-                steps = np.zeros(len(ids) + 1, np.int8)
-                for a, b in edges:
-                    steps[a] += 1
-                    steps[b] -= 1
-                all_ids.append(ids)
-                masks.append(np.cumsum(steps[:-1], dtype=np.int8))
-                texts.append(template.render(list(zip(row["role"], row["text"], strict=True))))
-            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), pa.array(all_ids, schema.field("ids").type),
-                                              pa.array(masks, schema.field("loss_mask").type), pa.array(texts, pa.string())], schema=schema)
+            for k in range(0, batch.num_rows, ROWS):
+                part = batch.slice(k, ROWS)
+                all_ids, masks, texts = [], [], []
+                for i, (roles, said) in enumerate(zip(part.column("role").to_pylist(), part.column("text").to_pylist(), strict=True)):
+                    parts, edges, at = [], [], 0
+                    for role, role_ids, text_ids in zip(roles, _inner(part.column("role_ids"), i), _inner(part.column("text_ids"), i), strict=True):
+                        parts += [*start, role_ids, *sep, text_ids, *end]
+                        begin = at + len(role_ids) + 2
+                        if role == template.learned_role:
+                            edges.append((begin, begin + len(text_ids)))
+                        at = begin + len(text_ids) + 1
+                    steps = np.zeros(at + 1, np.int8)
+                    for a, b in edges:
+                        steps[a] += 1
+                        steps[b] -= 1
+                    all_ids.append(np.concatenate(parts))
+                    masks.append(np.cumsum(steps[:-1], dtype=np.int8))
+                    texts.append(template.render(list(zip(roles, said, strict=True))))
+                yield pa.RecordBatch.from_arrays([part.column("conv_id"), _lists(all_ids, pa.list_(pa.int32())), _lists(masks, pa.list_(pa.int8())),
+                                                  pa.array(texts, pa.string())], names=["conv_id", "ids", "loss_mask", "text"])
 
     return flat.mapInArrow(run, "conv_id long, ids array<int>, loss_mask array<byte>, text string")
 
