@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .buffers import chunks, prefix_sums, span_hashes, text_bytes
+from .buffers import chunks, prefix_sums, slices, span_hashes, text_bytes
 from .catalog import query, table
 from .folds import in_fold
 
@@ -121,13 +121,12 @@ def pooled(column: pa.Array, vectors: np.ndarray, shape: Indexing) -> np.ndarray
     out = np.zeros((len(counts), 2 * shape.dims), np.float32)
     held = np.flatnonzero(counts)
     starts = np.cumsum(counts[held]) - counts[held]
-    for k in range(0, len(held), 256):  # a few documents at a time
-        docs = held[k:k + 256]
-        a, b = starts[k], starts[k] + counts[docs].sum()
-        got = vectors[shape.rows(h[a:b])]
+    for i, j in slices(counts[held], 1 << 14) if len(held) else ():  # some ten thousand words at a time
+        docs, a = held[i:j], starts[i]
+        got = vectors[shape.rows(h[a:a + counts[docs].sum()])]
         n = counts[docs][:, None]
-        mean = np.add.reduceat(got, starts[k:k + 256] - a, axis=0) / n
-        square = np.add.reduceat(got * got, starts[k:k + 256] - a, axis=0) / n
+        mean = np.add.reduceat(got, starts[i:j] - a, axis=0) / n
+        square = np.add.reduceat(got * got, starts[i:j] - a, axis=0) / n
         out[docs] = np.concatenate([mean, np.sqrt(np.maximum(square - mean * mean, 0))], axis=1)
     return out
 

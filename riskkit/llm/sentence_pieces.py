@@ -21,6 +21,7 @@ no rows; other columns pass through, one named like a result is replaced.
 
 from __future__ import annotations
 
+import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -39,7 +40,8 @@ from .catalog import query, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
-CHUNK = 4 << 20
+BATCH = 4096  # distinct words encoded at once
+THREADS = "2"  # of the library, in each task, unless the environment says otherwise
 
 
 def proto_fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -119,6 +121,7 @@ class PieceModel:
         """Encodes text that is already normalised and carries its prefix; blanks become markers."""
         if self._built:
             return self._built[0]
+        os.environ.setdefault("RAYON_NUM_THREADS", THREADS)
         unk = next(i for i, p in enumerate(self.pieces) if p[2] == UNKNOWN)
         if self.unigram:
             # pieces that text must not match keep their id under a name that no text has
@@ -158,10 +161,14 @@ class PieceModel:
         start, end = start[held := end > start], end[held]
         _, first, word = np.unique(span_hashes(prefix_sums(data), start, end), return_index=True, return_inverse=True)
         raw = data.tobytes()
-        distinct = [raw[a:b].decode() for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-        got = [e.ids for e in self.tokenizer().encode_batch_fast(distinct, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        ids = np.fromiter((i for g in got for i in g), np.int32, int(sizes.sum()))
+        parts, sizes = [], []
+        for k in range(0, len(first), BATCH):  # an encoding takes far more memory than its ids
+            some = first[k:k + BATCH]
+            distinct = [raw[a:b].decode() for a, b in zip(start[some].tolist(), end[some].tolist(), strict=True)]
+            got = [e.ids for e in self.tokenizer().encode_batch_fast(distinct, add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
+            parts.append(np.fromiter((i for g in got for i in g), np.int32, int(sizes[-1].sum())))
+        ids, sizes = np.concatenate(parts), np.concatenate(sizes)
         total = np.concatenate(([0], np.cumsum(sizes[word])))
         return _gather(ids, np.cumsum(sizes) - sizes, sizes, word), total[np.searchsorted(start, bounds)]
 
@@ -190,7 +197,7 @@ class PieceModel:
         model, schema = self, StructType([rows.schema["row"], StructField("ids", ArrayType(IntegerType()))])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in chunks(batches, "text", CHUNK):
+            for part in chunks(batches, "text"):
                 ids, bounds = model.encode(part.column("text"))
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([part.column("row"), lists], names=["row", "ids"])
