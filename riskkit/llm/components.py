@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_root
 
+EDGES_PER_FILE = 250_000
+
 
 def _towards_least(edges: DataFrame, larger_only: bool) -> DataFrame:
     """One star step over directed rows (u, v); see ``components``."""
@@ -28,12 +30,14 @@ def components(edges: DataFrame) -> DataFrame:
     """``edges``: long columns u, v.  Returns (node, root) for every node that has an edge; root is the least node."""
     checkpoint_root(edges.sparkSession)
     mark = [F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
-    now = edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
+    # a round has hardly more edges than the one before: about as many files as they fill
+    kept = lambda df, n: df.distinct().coalesce(max(1, -(-n // EDGES_PER_FILE))).checkpoint()
+    now = kept(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), edges.count())
     seen = None
     while (state := tuple(now.agg(*mark).first())) != seen:
         seen = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _towards_least(both, True).distinct()
-        now = _towards_least(large, False).distinct().checkpoint()
+        now = kept(_towards_least(large, False), state[0])
     return (now.select(F.col("u").alias("node"), F.col("v").alias("root"))
             .unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct())
