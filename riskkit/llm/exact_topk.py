@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .catalog import query, table
 
-PAGE = 64
+PAGE = 128
 
 
 @dataclass
@@ -52,6 +52,12 @@ class Page:
     radius: np.ndarray  # of the children; zeros in a leaf
     children: list | None  # None: a leaf
     rows: np.ndarray | None
+    square: np.ndarray  # |point|^2
+
+    def distances(self, live: np.ndarray, point: np.ndarray, square: float) -> np.ndarray:
+        """From ``point`` to the entries ``live``: one product of the page with the point."""
+        points, own = (self.points, self.square) if len(live) == len(self.points) else (self.points[live], self.square[live])
+        return np.sqrt(np.maximum(own + square - 2 * (points @ point), 0))
 
 
 def distances(points: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -63,7 +69,7 @@ def bulk_load(points: np.ndarray, rows: np.ndarray, at: np.ndarray, rng: np.rand
     """The page over ``points`` whose routing object is ``at``."""
     gap = distances(points, at)
     if len(points) <= PAGE:
-        return Page(points, gap, np.zeros(len(points)), None, rows)
+        return Page(points, gap, np.zeros(len(points)), None, rows, (points * points).sum(1))
     seeds = points[rng.choice(len(points), min(PAGE, -(-len(points) // (PAGE // 2))), replace=False)]
     near = np.argmin((seeds * seeds).sum(1) - 2 * points @ seeds.T, axis=1)
     groups = [np.flatnonzero(near == k) for k in range(len(seeds))]
@@ -74,7 +80,7 @@ def bulk_load(points: np.ndarray, rows: np.ndarray, at: np.ndarray, rng: np.rand
     pages = [bulk_load(points[groups[k]], rows[groups[k]], seeds[k], rng) for k in held]
     radius = np.array([distances(points[groups[k]], seeds[k]).max() for k in held])
     routing = seeds[held]
-    return Page(routing, distances(routing, at), radius, pages, None)
+    return Page(routing, distances(routing, at), radius, pages, None, (routing * routing).sum(1))
 
 
 @dataclass
@@ -100,17 +106,18 @@ class MTree:
         real = vector.astype(np.float64)
         total = float(real @ real) + self.reach
         point = np.append(real, 0.0)
-        margin = 1e-6 * (1 + np.sqrt(total))  # distances are exact to about 1e-8 of that
+        margin = 1e-6 * (1 + np.sqrt(total))  # distances are exact to about 1e-7 of that
+        square = float(point @ point)
         best: list[tuple[int, int]] = []  # heap: the worst on top
         bound, count, computed = np.inf, 0, 1
         queue = [(0.0, 0, self.root, float(distances(self.routing[None], point)[0]))]
-        while queue and queue[0][0] <= bound:
+        while queue and queue[0][0] <= bound + margin:
             _, _, page, gap = heapq.heappop(queue)
             # |d(query, parent) - d(entry, parent)| - radius is a lower bound that needs no distance
-            live = np.flatnonzero(np.abs(gap - page.to_parent) - page.radius <= bound)
-            dist = distances(page.points[live], point)
+            live = np.flatnonzero(np.abs(gap - page.to_parent) - page.radius <= bound + margin)
+            dist = page.distances(live, point, square)
             computed += len(live)
-            near = np.flatnonzero(dist - page.radius[live] <= bound)
+            near = np.flatnonzero(dist - page.radius[live] <= bound + margin)
             if page.children is not None:
                 for i in near:
                     count += 1
