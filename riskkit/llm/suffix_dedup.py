@@ -35,7 +35,8 @@ hot key (and marks the same windows).
 Defined results: null and empty texts have nothing to remove; texts shorter than
 ``length`` stay whole; a null id comes after all others; rows that repeat an id
 and its text are one document and all return its result; rows that share an id
-but not the text count as parts of one document, in the order of their starts;
+but not the text count as parts of one document, in the order of their starts
+(at equal starts, of the 64-bit hashes that tell the texts apart);
 an empty table gives no rows; other columns pass through.
 """
 
@@ -46,7 +47,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
@@ -55,12 +56,12 @@ from .catalog import query, table
 from .storage import written
 
 GRAM = 16
-_AT, _LEN, _TIE = 32, 20, (1 << 20) - 1  # place: start << 32 | (windows - 1) << 20 | hash of the text
+_AT, _LAST = 12, (1 << 12) - 1  # place: start << 12 | windows - 1
 
 
-def place(start: np.ndarray, last: np.ndarray, tie: np.ndarray) -> np.ndarray:
+def place(start: np.ndarray, last: np.ndarray) -> np.ndarray:
     """One integer for the run of windows that start at ``start`` .. ``last``."""
-    return (start << _AT) | ((last - start) << _LEN) | tie
+    return (start << _AT) | (last - start)
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -96,7 +97,7 @@ def fragments(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.nda
 
 
 def anchored(docs: DataFrame, length: int) -> DataFrame:
-    """Rows (h, f, ord, place): fragments that are the first of their kind in their task; other ones have place < 0."""
+    """Rows (h, f, ord, tie, place): fragments that are the first of their kind in their task; other ones have place < 0."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "text"):
             data, bounds = text_bytes(part.column("text"))
@@ -104,9 +105,9 @@ def anchored(docs: DataFrame, length: int) -> DataFrame:
             if not len(h):
                 continue
             order, tie = (np.array(part.column(c), np.int64) for c in ("ord", "tie"))
-            at = place(begin - bounds[doc], end - bounds[doc], tie[doc])
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(f.view(np.int64)), pa.array(order[doc]), pa.array(at)],
-                                             names=["h", "f", "ord", "place"])
+            at = place(begin - bounds[doc], end - bounds[doc])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), f.view(np.int64), order[doc], tie[doc], at)],
+                                             names=["h", "f", "ord", "tie", "place"])
 
     def first_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Within every stretch of the task's rows, all but the first of equal fragments are marked."""
@@ -121,36 +122,36 @@ def anchored(docs: DataFrame, length: int) -> DataFrame:
         if held:
             yield _first_marked(np.concatenate(held, axis=1))
 
-    return docs.mapInArrow(first_only, "h long, f long, ord long, place long")
+    return docs.mapInArrow(first_only, "h long, f long, ord long, tie long, place long")
 
 
 def _first_marked(rows: np.ndarray) -> pa.RecordBatch:
-    h, f, order, at = rows[:, np.lexsort((rows[3], rows[2], rows[1], rows[0]))]
+    h, f, order, tie, at = rows[:, np.lexsort((rows[3], rows[4], rows[2], rows[1], rows[0]))]
     later = np.concatenate(([False], (h[1:] == h[:-1]) & (f[1:] == f[:-1])))
     # a repeated row of one document is not later than itself
-    later &= ~np.concatenate(([False], (order[1:] == order[:-1]) & (at[1:] == at[:-1])))
-    h = np.where(later, h ^ (at * np.int64(0x5851F42D4C957F2D)) ^ order, h)  # marked rows need no partner: spread them
-    return pa.RecordBatch.from_arrays([pa.array(h), pa.array(f), pa.array(order), pa.array(np.where(later, ~at, at))], names=["h", "f", "ord", "place"])
+    later &= ~np.concatenate(([False], (order[1:] == order[:-1]) & (tie[1:] == tie[:-1]) & (at[1:] == at[:-1])))
+    h = np.where(later, h ^ (at * np.int64(0x5851F42D4C957F2D)) ^ order ^ tie, h)  # marked rows need no partner: spread them
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (h, f, order, tie, np.where(later, ~at, at))], names=["h", "f", "ord", "tie", "place"])
 
 
 def collated(rows: DataFrame, variants: int) -> DataFrame:
-    """Rows (kind, h, ord, place): kind 0 is marked, 1 goes to a bucket, 2 has a crowded anchor."""
-    def emit(h: np.ndarray, f: np.ndarray, order: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """Rows (kind, h, ord, tie, place): kind 0 is marked, 1 goes to a bucket, 2 has a crowded anchor."""
+    def emit(h: np.ndarray, f: np.ndarray, order: np.ndarray, tie: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
         done = at < 0
-        sure_order, sure_at = order[done], ~at[done]
-        h, f, order, at = (x[~done] for x in (h, f, order, at))
-        s = np.lexsort((at, order, f, h))
-        h, f, order, at = h[s], f[s], order[s], at[s]
+        sure = order[done], tie[done], ~at[done]
+        h, f, order, tie, at = (x[~done] for x in (h, f, order, tie, at))
+        s = np.lexsort((tie, at, order, f, h))
+        h, f, order, tie, at = h[s], f[s], order[s], tie[s], at[s]
         new_h = np.concatenate(([True], h[1:] != h[:-1]))[:len(h)]
         new_f = new_h | np.concatenate(([True], f[1:] != f[:-1]))[:len(h)]
         head = np.maximum.accumulate(np.where(new_f, np.arange(len(h)), 0)) if len(h) else np.zeros(0, np.int64)
-        later = (order != order[head]) | (at != at[head])
+        later = (order != order[head]) | (tie != tie[head]) | (at != at[head])
         group = np.cumsum(new_h) - 1
         kinds = np.bincount(group, new_f)[group] if len(h) else np.zeros(0)
         open_ = new_f & (kinds > 1)
-        kind = np.concatenate((np.zeros(len(sure_at) + int(later.sum()), np.int8), np.where(kinds[open_] > variants, 2, 1).astype(np.int8)))
-        cols = [np.concatenate(x) for x in ((np.zeros(len(sure_at), np.int64), h[later], h[open_]), (sure_order, order[later], order[open_]), (sure_at, at[later], at[open_]))]
-        return pa.RecordBatch.from_arrays([pa.array(kind), *map(pa.array, cols)], names=["kind", "h", "ord", "place"])
+        kind = np.concatenate((np.zeros(len(sure[0]) + int(later.sum()), np.int8), np.where(kinds[open_] > variants, 2, 1).astype(np.int8)))
+        cols = [np.concatenate((x, y[later], y[open_])) for x, y in zip((np.zeros(len(sure[0]), np.int64), *sure), (h, order, tie, at), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(kind), *map(pa.array, cols)], names=["kind", "h", "ord", "tie", "place"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -171,7 +172,7 @@ def collated(rows: DataFrame, variants: int) -> DataFrame:
         if held:
             yield emit(*np.concatenate(held, axis=1))
 
-    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(run, "kind byte, h long, ord long, place long")
+    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(run, "kind byte, h long, ord long, tie long, place long")
 
 
 # --- transforms of a bucket ---------------------------------------------------
@@ -235,10 +236,12 @@ def merged_blocks(transforms: list[np.ndarray], n_strings: list[int], rounds: in
     return shard, block
 
 
-def later_windows(data: np.ndarray, begin: np.ndarray, windows: np.ndarray, length: int, shards: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def later_windows(data: np.ndarray, begin: np.ndarray, windows: np.ndarray, length: int, shards: int = 4,
+                  starts: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(fragment, window) of every window whose bytes occur in an earlier one.
 
     ``begin`` and ``windows`` are the fragments' places in ``data`` and their numbers of windows, earliest first.
+    ``starts``: order, text hash and start of every fragment, where the windows of one id's texts may interleave.
     """
     symbol, frag, window, string = strings(data, begin, windows, length)
     cut = np.searchsorted(frag, np.arange(shards + 1) * len(begin) // shards)
@@ -259,42 +262,44 @@ def later_windows(data: np.ndarray, begin: np.ndarray, windows: np.ndarray, leng
     if not len(at):
         return at, at
     head = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-    key = frag[at].astype(np.int64) * (1 << 12) + window[at]
+    if starts is None:
+        key = frag[at].astype(np.int64) * (1 << 12) + window[at]
+    else:
+        order, tie, start = (x[frag[at]] for x in starts)
+        key = np.empty(len(at), np.int64)
+        key[np.lexsort((tie, start + window[at], order))] = np.arange(len(at))
     later = key != np.repeat(np.minimum.reduceat(key, head), np.diff(np.append(head, len(at))))
     return frag[at[later]], window[at[later]]
 
 
 def bucket_marks(part: pa.Table, length: int) -> pa.Table:
-    """Marked runs (ord, place) of one bucket of fragments (ord, place, bytes)."""
-    order, at = (np.array(part.column(c), np.int64) for c in ("ord", "place"))
-    s = np.lexsort((at, order))
-    s = s[np.concatenate(([True], (order[s][1:] != order[s][:-1]) | (at[s][1:] != at[s][:-1])))[:len(s)]]
-    order, at = order[s], at[s]
+    """Marked runs (ord, tie, place) of one bucket of fragments (ord, tie, place, bytes)."""
+    order, tie, at = (np.array(part.column(c), np.int64) for c in ("ord", "tie", "place"))
+    s = np.lexsort((tie, at, order))
+    new = (order[s][1:] != order[s][:-1]) | (tie[s][1:] != tie[s][:-1]) | (at[s][1:] != at[s][:-1])
+    s = s[np.concatenate(([True], new))[:len(s)]]
+    order, tie, at = order[s], tie[s], at[s]
     data, bounds = text_bytes(part.column("bytes").combine_chunks().take(pa.array(s)))
-    frag, window = later_windows(data, bounds[:-1], (at >> _LEN & 0xFFF) + 1, length)
+    shared = bool(((order[1:] == order[:-1]) & (tie[1:] != tie[:-1])).any())  # an id with different texts
+    frag, window = later_windows(data, bounds[:-1], (at & _LAST) + 1, length, starts=(order, tie, at >> _AT) if shared else None)
     s = np.lexsort((window, frag))
     frag, window = frag[s], window[s]
     new = np.flatnonzero(np.concatenate(([True], (frag[1:] != frag[:-1]) | (window[1:] != window[:-1] + 1)))[:len(frag)])
     last = np.append(new[1:], len(frag))[:len(new)] - 1
     base = at[frag[new]] >> _AT
-    return pa.table({"ord": order[frag[new]], "place": place(base + window[new], base + window[last], at[frag[new]] & _TIE)})
+    return pa.table({"ord": order[frag[new]], "tie": tie[frag[new]], "place": place(base + window[new], base + window[last])})
 
 
 # --- the operator ---------------------------------------------------------------
 
-def _tie(text: Column) -> Column:
-    return F.xxhash64(text).bitwiseAND(F.lit(_TIE))
-
-
 def removed_runs(texts: DataFrame, length: int, variants: int, bucket_rows: int) -> DataFrame:
     """(ord, tie, places): the window starts to remove from every text that has any; ``texts``: ord, tie, text, rest."""
     marks = written(collated(anchored(texts.select("ord", "tie", "text"), length), variants), "suffix-marks")
-    tie = F.col("place").bitwiseAND(F.lit(_TIE)).alias("tie")
     n_open = marks.filter("kind = 1").count()
 
     def cut(kind: int) -> DataFrame:
-        """Bytes of the fragments of one kind: (h, ord, place, bytes)."""
-        wanted = marks.filter(F.col("kind") == kind).groupBy("ord", tie).agg(F.collect_list(F.struct("h", "place")).alias("runs"))
+        """Bytes of the fragments of one kind: (h, ord, tie, place, bytes)."""
+        wanted = marks.filter(F.col("kind") == kind).groupBy("ord", "tie").agg(F.collect_set(F.struct("h", "place")).alias("runs"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in chunks(batches, "text"):
@@ -304,17 +309,17 @@ def removed_runs(texts: DataFrame, length: int, variants: int, bucket_rows: int)
                 flat = runs.flatten()
                 h, at = (np.array(flat.field(c), np.int64) for c in ("h", "place"))
                 begin = np.repeat(bounds[:-1], size) + (at >> _AT)
-                end = begin + (at >> _LEN & 0xFFF) + length
+                end = begin + (at & _LAST) + length
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h), pa.array(np.repeat(np.array(part.column("ord"), np.int64), size)), pa.array(at),
-                     pa.array([raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)], pa.binary())], names=["h", "ord", "place", "bytes"])
+                    [pa.array(h), *[pa.array(np.repeat(np.array(part.column(c), np.int64), size)) for c in ("ord", "tie")], pa.array(at),
+                     pa.array([raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)], pa.binary())], names=["h", "ord", "tie", "place", "bytes"])
 
         # "rest" is not used here, but with it the shuffled texts are the same table as in the last step
-        return texts.join(wanted, ["ord", "tie"]).select("ord", "text", "rest", "runs").mapInArrow(run, "h long, ord long, place long, bytes binary")
+        return texts.join(wanted, ["ord", "tie"]).select("ord", "tie", "text", "rest", "runs").mapInArrow(run, "h long, ord long, tie long, place long, bytes binary")
 
     buckets = max(1, -(-n_open // bucket_rows))
     bucketed = (cut(1).withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))
-                .groupBy("bucket").applyInArrow(lambda part: bucket_marks(part, length), "ord long, place long"))
+                .groupBy("bucket").applyInArrow(lambda part: bucket_marks(part, length), "ord long, tie long, place long"))
 
     def each_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "bytes"):
@@ -322,18 +327,17 @@ def removed_runs(texts: DataFrame, length: int, variants: int, bucket_rows: int)
             n = np.diff(bounds) - length + 1
             own = np.repeat(np.arange(part.num_rows), n)
             nth = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
-            h, order, at = (np.array(part.column(c), np.int64)[own] for c in ("h", "ord", "place"))
+            h, order, tie, at = (np.array(part.column(c), np.int64)[own] for c in ("h", "ord", "tie", "place"))
             start = (at >> _AT) + nth
             w = gram_hashes(data, length)[bounds[:-1][own] + nth] if len(own) else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(w.view(np.int64)), pa.array(order), pa.array(place(start, start, at & _TIE))],
-                                             names=["h", "w", "ord", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, w.view(np.int64), order, tie, place(start, start))],
+                                             names=["h", "w", "ord", "tie", "place"])
 
-    crowded = cut(2).mapInArrow(each_window, "h long, w long, ord long, place long")
-    earliest = crowded.groupBy("h", "w").agg(F.min(F.struct("ord", "place")).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    repeated = (crowded.join(earliest.drop("_n"), ["h", "w"]).filter((F.col("ord") != F.col("_first.ord")) | (F.col("place") != F.col("_first.place")))
-                .select("ord", "place"))
-    every = marks.filter("kind = 0").select("ord", "place").unionByName(bucketed).unionByName(repeated)
-    return every.groupBy("ord", tie).agg(F.collect_list("place").alias("places"))
+    crowded = cut(2).mapInArrow(each_window, "h long, w long, ord long, tie long, place long")
+    earliest = crowded.groupBy("h", "w").agg(F.min(F.struct("ord", "place", "tie")).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    repeated = crowded.join(earliest.drop("_n"), ["h", "w"]).filter(F.struct("ord", "place", "tie") != F.col("_first")).select("ord", "tie", "place")
+    every = marks.filter("kind = 0").select("ord", "tie", "place").unionByName(bucketed).unionByName(repeated)
+    return every.groupBy("ord", "tie").agg(F.collect_set("place").alias("places"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, variants: int = 4096, bucket_rows: int = 4096, as_text: bool = False) -> DataFrame:
@@ -347,7 +351,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, variants: int = 4096, buc
     made = ["n_bytes", "n_removed", "n_spans", "kept"]
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("ord"), F.coalesce("text", F.lit("")).alias("text"),
                         F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("text", *made)]).alias("rest"))
-    texts = texts.withColumn("tie", _tie(F.col("text"))).select("ord", "tie", "text", "rest")
+    texts = texts.withColumn("tie", F.xxhash64("text")).select("ord", "tie", "text", "rest")
     marked = removed_runs(texts, length, variants, bucket_rows)
     kind = pa.string() if as_text else pa.binary()
 
@@ -358,7 +362,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, variants: int = 4096, buc
             size = np.array(pc.fill_null(pc.list_value_length(runs), 0), np.int64)
             at = np.array(runs.flatten(), np.int64)
             begin = np.repeat(bounds[:-1], size) + (at >> _AT)
-            step = np.bincount(begin, minlength=len(data) + 1) - np.bincount(begin + (at >> _LEN & 0xFFF) + length, minlength=len(data) + 1)
+            step = np.bincount(begin, minlength=len(data) + 1) - np.bincount(begin + (at & _LAST) + length, minlength=len(data) + 1)
             gone = np.cumsum(step[:-1]) > 0
             total = np.concatenate(([0], np.cumsum(gone)))[bounds]
             before = np.concatenate(([False], gone[:-1]))[:len(gone)]

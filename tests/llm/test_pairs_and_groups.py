@@ -210,6 +210,21 @@ def test_repeats_match_brute_force(spark, edge_rows, variants, bucket_rows):
     assert got == sorted((d if d is not None else 2**63, *want[d if d is not None else 2**63, t or ""]) for d, t in rows)
 
 
+@pytest.mark.parametrize("variants", [4096, 1])
+def test_many_texts_of_one_id_are_told_apart(spark, variants):
+    from pyspark.sql import functions as F
+    r = random.Random(8)
+    rows = []
+    for i in range(5000):  # 20 bits tell some 1,200 texts apart; every text has a repeat of its own, every other one shares one
+        own, shared = r.randbytes(70).hex(), random.Random(i // 2).randbytes(60).hex()
+        rows.append((None if i % 4 < 2 else 7, r.randbytes(3 + i % 41).hex() + own + "-" * (1 + i % 7) + own + shared[:100 + i % 20]))
+    want = without_repeats(rows, 100)
+    out = suf.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4).withColumn("t", F.col("text")), 100, variants).collect()
+    assert len(out) == len(rows) and all(x.n_removed >= 140 for x in out)
+    got = {(x.doc_id, x.t): (x.n_bytes, x.n_removed, x.n_spans, hashlib.sha256(x.kept).hexdigest()) for x in out}
+    assert got == {(d, t): want[d or 2**63, t] for d, t in rows}
+
+
 @pytest.mark.parametrize("length", [32, 64, 200])
 def test_other_lengths(spark, length):
     r = random.Random(length)
