@@ -31,3 +31,13 @@ def test_oracles_have_builders_and_rows_only_are_models():
                          "gbt_early_stop", "fit_forest", "fit_mlp", "random_search", "compare_models",
                          "oof_scores", "stacked", "calibrated", "gbt_importance", "shapley_sampled",
                          "score_batch", "score_stream", "model_roundtrip"}
+
+
+def test_search_and_stack_have_the_size_of_the_reference(spark):
+    from riskkit.operators import models as L
+    from riskkit.plans import models_q as M
+    est = L.gbt()
+    axes = {p.name: v for p, v in M.search_space(est).items()}
+    assert M.SEARCH_CANDIDATES == 50 and axes["maxIter"] == [100, 250, 500, 750] and axes["maxDepth"] == [3, 5, 7, 10]
+    assert len(axes) == 6 and all(len(v) == 4 for v in axes.values())
+    assert M._bases()["gbt"].getMaxIter() == 300
