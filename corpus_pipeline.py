@@ -5,8 +5,8 @@ written as Parquet and read again as the next stage's documents.  All but the
 last return the columns of ``documents`` (and any others that came along).
 
 Rows of a null id or text are documents like others; an empty table gives an
-empty table.  Rows that repeat an id count as one document from the second
-stage on.
+empty table.  Rows that repeat an id are documents of their own in the second
+stage, which keeps one row of each group; later stages see what it kept.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from riskkit.llm.folds import in_fold
 from riskkit.llm.quality import HELD_OUT, fit_quality
 from riskkit.llm.sentence_pieces import PieceModel, coded
-from riskkit.llm.simhash_groups import fingerprint, near_duplicate_groups
+from riskkit.llm.simhash_groups import near_duplicate_groups
 from riskkit.llm.source_mix import mix
 from riskkit.llm.storage import written
 from riskkit.llm.suffix_dedup import remove_repeats
@@ -35,14 +35,15 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every SimHash group (3-word shingles, 2 bits) the document with the smallest id, or one of those without ids."""
-    groups = written(near_duplicate_groups(docs.select("doc_id", "text"), shingle=3, max_bits=2), "pipeline-groups")
-    first = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    unnamed = groups.filter(F.col("component_id").isNull()).select(F.col("fp").alias("_fp"), F.col("root").alias("_root")).distinct()
-    rest = (docs.filter(F.col("doc_id").isNull()).withColumn("_fp", fingerprint(F.col("text"), 3)).join(unnamed, "_fp")
-            .dropDuplicates(["_root"]).select(*docs.columns))
-    return kept.unionByName(rest)
+    """Of every SimHash group (3-word shingles, 2 bits) one row: of the smallest id, null last, the one with the least hash of its columns."""
+    hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
+    rows = docs.withColumns({"_unnamed": F.col("doc_id").isNull(), "_row": F.xxhash64(*hashed)})
+    groups = near_duplicate_groups(rows.select("doc_id", "text", "_unnamed", "_row"), shingle=3, max_bits=2, also=("_unnamed", "_row"))
+    first = groups.groupBy("root").agg(F.min(F.struct("_unnamed", "doc_id", "_row")).alias("_first"))
+    # rows of one hash have one text, so one group; its id is compared too
+    kept = written(first.select("_first._row", F.coalesce("_first.doc_id", F.lit(0).cast("long")).alias("_id"), "_first._unnamed"), "pipeline-groups")
+    return (rows.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")))
+            .join(kept, ["_row", "_id", "_unnamed"], "left_semi").dropDuplicates(["_row", "_id", "_unnamed"]).select(*[f"`{c}`" for c in docs.columns]))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

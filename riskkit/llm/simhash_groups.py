@@ -25,7 +25,7 @@ other; a point has at most 65 of them for r = 1.
 Defined results: null or empty text has fingerprint zero and links like any
 other; rows with a null id take part (their component is the smallest id
 reachable, null if there is none); repeated rows each return a row; an empty
-table gives no rows; other columns are not carried.
+table gives no rows; other columns are carried where ``also`` names them.
 """
 
 from __future__ import annotations
@@ -217,9 +217,9 @@ def midpoint_links(fps: DataFrame, max_bits: int) -> DataFrame:
     return wide.withColumnRenamed("fp", "u").join(narrow, "mid").filter("u != v").select("u", "v").distinct()
 
 
-def near_duplicate_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2, bucket_rows: int = 64) -> DataFrame:
-    """doc_id, ``fp``, ``root`` (its group's key) and ``component_id`` (the smallest id reachable through links) of every row."""
-    marked = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint(F.col("text"), shingle).alias("fp")), "simhash")
+def near_duplicate_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2, bucket_rows: int = 64, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ``fp``, ``root`` (its group's key), ``component_id`` (the smallest id reachable through links) and ``also`` of every row."""
+    marked = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint(F.col("text"), shingle).alias("fp"), *also), "simhash")
     reps = marked.groupBy("fp").agg(F.min("doc_id").alias("_rep"))
     distinct = written(reps, "simhash-distinct")
     edges = written(links(distinct.select("fp"), max_bits, bucket_rows), "simhash-links")
@@ -229,7 +229,7 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2,
               .withColumn("_root", F.coalesce("_root", "fp")))
     least = rooted.groupBy("_root").agg(F.min("_rep").alias("component_id"))
     named = rooted.join(least, "_root").select("fp", F.col("_root").alias("root"), "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "root", "component_id")
+    return marked.join(named, "fp").select("doc_id", "fp", "root", "component_id", *also)
 
 
 def fingerprint_text(fp: Column) -> Column:

@@ -35,6 +35,15 @@ def test_near_duplicates_keep_one_of_each_group(spark, edge_docs):
     assert {r.doc_id for r in rows if r.doc_id is not None} == {g.component_id for g in groups if g.component_id is not None}
 
 
+def test_unrelated_texts_of_one_id_all_stay(spark):
+    texts = [f"{w} " * 3 + " ".join(f"{w}{i}{k}" for k in range(40)) for i, w in enumerate(["river", "stone", "winter", "garden", "letter"])]
+    a, b, c, d, e = texts
+    rows = [(1, a), (1, b), (1, b), (2, a), (2, c), (3, b), (None, a), (None, d), (None, d), (None, e)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.text) for r in cp.keep_one_of_each_group(spark, docs, SF).collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (1, b), (2, c), (None, d), (None, e)], key=str)
+
+
 def test_repeats_are_cut_from_the_texts(spark, edge_docs):
     docs = edge_docs.withColumn("n_chars", F.lit(-1).cast("long")).dropDuplicates()
     rows = cp.cut_repeats(spark, docs, SF).collect()
