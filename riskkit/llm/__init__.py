@@ -5,8 +5,8 @@ the registered query that applies it to the driver's tables.  Nothing outside
 this subpackage imports it.
 """
 
-from . import (chat_format, exact_topk, language_crf, quality, sentence_pieces, simhash_groups, source_mix,  # noqa: F401
-               spot_signatures, suffix_dedup, url_filter)
+from . import (chat_format, exact_topk, filter_audit, language_crf, merkle, quality, sentence_pieces,  # noqa: F401
+               simhash_groups, source_mix, spot_signatures, suffix_dedup, toxicity, url_filter)
 from .catalog import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
