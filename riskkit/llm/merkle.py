@@ -12,11 +12,11 @@ node the steps of its proof from there to the root (its proof suffix), and the
 node hands each child that suffix with the sibling's digest before it.
 
 Across tasks the queue is Spark's sorted shuffle, which lives on disk: leaves
-are placed by a range-partitioned numbering, blocks of ``BLOCK`` consecutive
-nodes are a task's unit of work, a block's top digest is the message to its
-parent block, and block suffixes come back the same way.  A tree over n leaves
-takes log(n) / log(BLOCK) rounds, and a language that holds all rows is as
-many blocks as any other rows would be.
+are placed by a range-partitioned numbering, blocks of ``2 ** LEVELS``
+consecutive nodes are a task's unit of work, a block's top digest is the
+message to its parent block, and block suffixes come back the same way.  A tree
+over n leaves takes log2(n) / LEVELS rounds, and a language that holds all rows
+is as many blocks as any other rows would be.
 
 Defined results: null fields are ``-``; a null key is a tree of its own, before
 the others; rows of one key and id are ordered by their digests, a null id
@@ -40,7 +40,6 @@ from .catalog import query, table
 from .storage import dropped, written
 
 LEVELS = 12
-BLOCK = 1 << LEVELS
 
 
 def digest_of(texts: Iterable[str]) -> str:
@@ -121,31 +120,31 @@ def folded(digest: str, suffix: str) -> str:
 
 # --- whole trees ------------------------------------------------------------------
 
-def _height(n: int) -> int:
-    return min(LEVELS, (n - 1).bit_length())
+def _height(n: int, levels: int) -> int:
+    return min(levels, (n - 1).bit_length())
 
 
 def _by_place(block: pa.Table) -> pa.Table:
     return block.sort_by("pos")
 
 
-def climb(leaves: DataFrame, name: str) -> list[DataFrame]:
-    """Nodes (tree, pos, n, digest) at every ``LEVELS``-th level, from the leaves to one node a tree.
+def climb(leaves: DataFrame, name: str, height: int) -> list[DataFrame]:
+    """Nodes (tree, pos, n, digest) at every ``height``-th level, from the leaves to one node a tree.
 
     ``pos`` counts from 0 within the tree, ``n`` is the number of the tree's nodes at that level.
     """
     def run(block: pa.Table) -> pa.Table:
         block = _by_place(block)
         n = block.column("n")[0].as_py()
-        top, _ = sweep_up(block.column("digest").to_pylist(), _height(n))
-        return pa.table({"tree": [block.column("tree")[0].as_py()], "pos": [block.column("pos")[0].as_py() >> LEVELS],
-                         "n": [-(-n // BLOCK)], "digest": [top]})
+        top, _ = sweep_up(block.column("digest").to_pylist(), _height(n, height))
+        return pa.table({"tree": [block.column("tree")[0].as_py()], "pos": [block.column("pos")[0].as_py() >> height],
+                         "n": [-(-n >> height)], "digest": [top]})
 
     levels = [leaves]
     while True:
         now = levels[-1].select("tree", "pos", "n", "digest")
         todo = now if len(levels) == 1 else now.filter("n > 1")
-        blocks = todo.groupBy("tree", F.shiftright("pos", LEVELS).alias("block"))
+        blocks = todo.groupBy("tree", F.shiftright("pos", height).alias("block"))
         levels.append(written(blocks.applyInArrow(run, "tree string, pos long, n long, digest string"), name))
         if (levels[-1].agg(F.max("n")).first()[0] or 1) == 1:
             return levels
@@ -154,12 +153,12 @@ def climb(leaves: DataFrame, name: str) -> list[DataFrame]:
 _PROVED = "tree string, pos long, suffix string, subroot string, root string"
 
 
-def descend(levels: list[DataFrame], tops: DataFrame, down_to: int) -> DataFrame:
+def descend(levels: list[DataFrame], tops: DataFrame, down_to: int, height: int) -> DataFrame:
     """Suffixes (with subroot and root) of the nodes of ``levels[down_to]``; ``tops`` has those of the trees' own roots."""
     def run(block: pa.Table, above: pa.Table) -> pa.Table:
         block = _by_place(block)
         top = above.to_pylist()[0]
-        _, nodes = sweep_up(block.column("digest").to_pylist(), _height(block.column("n")[0].as_py()))
+        _, nodes = sweep_up(block.column("digest").to_pylist(), _height(block.column("n")[0].as_py(), height))
         found = sweep_down(nodes, top["suffix"], block.num_rows)
         same = lambda k: [top[k]] * block.num_rows
         return pa.table({"tree": same("tree"), "pos": block.column("pos"), "suffix": found, "subroot": same("subroot"), "root": same("root")})
@@ -168,7 +167,7 @@ def descend(levels: list[DataFrame], tops: DataFrame, down_to: int) -> DataFrame
     for t in range(len(levels) - 1, down_to - 1, -1):
         if t < len(levels) - 1:
             nodes = levels[t].select("tree", "pos", "n", "digest")
-            nodes = (nodes if t == 0 else nodes.filter("n > 1")).withColumn("block", F.shiftright("pos", LEVELS))
+            nodes = (nodes if t == 0 else nodes.filter("n > 1")).withColumn("block", F.shiftright("pos", height))
             have = (nodes.groupBy("tree", "block").cogroup(have.withColumn("block", F.col("pos")).groupBy("tree", "block"))
                     .applyInArrow(run, _PROVED))
         if t > 0:
@@ -182,25 +181,26 @@ def placed(rows: DataFrame, order: Sequence[str]) -> DataFrame:
     return ordered_positions(rows, order, by=["tree"], pos_col="pos", count_col="n").withColumn("pos", F.col("pos") - 1)
 
 
-def manifest(rows: DataFrame) -> DataFrame:
+def manifest(rows: DataFrame, height: int = LEVELS) -> DataFrame:
     """(…, leaf, subroot, root, proof_sha256, folded_root, verified) of ``rows``: tree, doc_id, leaf, presented, …
 
     ``leaf`` is the digest that the trees are built from, ``presented`` the one
-    that the proof is checked with (null: the same).
+    that the proof is checked with (null: the same).  A block holds
+    ``2 ** height`` nodes.
     """
     extra = [c for c in rows.columns if c not in ("tree", "leaf", "presented", "pos", "n", "digest")]
     leaves = placed(rows.withColumn("digest", F.col("leaf")), ["doc_id", "digest"])
-    levels = climb(leaves, "merkle-nodes")
+    levels = climb(leaves, "merkle-nodes", height)
     roots = levels[1].filter("n = 1")
     for more in levels[2:]:
         roots = roots.unionByName(more.filter("n = 1"))
     subroots = placed(roots.select(F.lit("").alias("tree"), F.col("tree").alias("key"), "digest"), ["key"])
-    tops = climb(subroots, "merkle-tops")
+    tops = climb(subroots, "merkle-tops", height)
     crown = tops[-1].select("tree", F.lit("").alias("suffix"), F.lit("").alias("subroot"), F.col("digest").alias("root"))
-    proved = descend(tops, crown, 0)
+    proved = descend(tops, crown, 0, height)
     known = written(subroots.select("pos", "key", "digest").join(proved, "pos")
                     .select(F.col("key").alias("tree"), "suffix", F.col("digest").alias("subroot"), "root"), "merkle-subroots")
-    above = descend(levels, known, 1)
+    above = descend(levels, known, 1, height)
     kept = leaves.select("tree", "pos", "n", "leaf", "presented", *[F.col(f"`{c}`") for c in extra])
     kinds = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in extra)
 
@@ -208,7 +208,7 @@ def manifest(rows: DataFrame) -> DataFrame:
         block = _by_place(block)
         top = top.to_pylist()[0]
         digests = block.column("leaf").to_pylist()
-        _, nodes = sweep_up(digests, _height(block.column("n")[0].as_py()))
+        _, nodes = sweep_up(digests, _height(block.column("n")[0].as_py(), height))
         found = sweep_down(nodes, top["suffix"], block.num_rows)
         shown = [p if p is not None else d for p, d in zip(block.column("presented").to_pylist(), digests, strict=True)]
         bare = str.maketrans("", "", "LR-")
@@ -216,7 +216,7 @@ def manifest(rows: DataFrame) -> DataFrame:
                          "root": [top["root"]] * block.num_rows, "proof_sha256": [digest_of((s.translate(bare),)) for s in found],
                          "folded_root": [folded(d, s) for d, s in zip(shown, found, strict=True)]})
 
-    blocks = kept.withColumn("block", F.shiftright("pos", LEVELS)).groupBy("tree", "block")
+    blocks = kept.withColumn("block", F.shiftright("pos", height)).groupBy("tree", "block")
     tops_of = above.withColumn("block", F.col("pos")).groupBy("tree", "block")
     out = blocks.cogroup(tops_of).applyInArrow(
         run, f"{kinds}, leaf string, subroot string, root string, proof_sha256 string, folded_root string")
