@@ -1,6 +1,7 @@
-"""Models, tuning, stacking and calibration (L1-L10) on Spark ML.
+"""Models, tuning, stacking and calibration.
 
-Every trainer takes a frame with an assembled ``features`` vector and a label;
+Boosted trees, their search and their folds run on the shared-scan learner of
+``boosting``; the other learners are Spark ML's.  Every trainer takes a frame with an assembled ``features`` vector and a label;
 scores come back as a ``p`` column (positive-class probability), next to the
 row's own columns: several models score a frame by one chain of transforms.  Folds come from the exact stratified fold column (M3).
 """
@@ -9,21 +10,25 @@ from __future__ import annotations
 
 import random
 import time
+from collections.abc import Mapping, Sequence
+from dataclasses import replace
+from itertools import product
 
-
-from pyspark.ml import Estimator
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
-                                       MultilayerPerceptronClassifier, RandomForestClassifier)
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark import keyword_only
+from pyspark.ml import Estimator, Model
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from . import boosting as B
 from . import metrics as E
+from .isotonic import applied, isotonic_steps
 
 
 def positive_probability(df: DataFrame, prob_col: str = "probability", out: str = "p") -> DataFrame:
@@ -68,18 +73,66 @@ def logistic(label: str = "label", features: str = "features", C: float = 1.0,
     return est
 
 
-def gbt(label: str = "label", features: str = "features", rounds: int = 100, depth: int = 4,
-        step: float = 0.05, subsample: float = 0.8, feature_subset: str = "all", min_gain: float = 0.0,
-        weight: str | None = None, validation: str | None = None, seed: int = 42) -> Estimator:
+class BoostedTreesModel(Model, DefaultParamsReadable, DefaultParamsWritable):
+    """Fitted boosted trees: adds ``probability`` and ``prediction`` to rows with a features vector."""
+
+    state = Param(Params._dummy(), "state", "the trees (JSON)", typeConverter=TypeConverters.toString)
+    featuresCol = Param(Params._dummy(), "featuresCol", "features vector", typeConverter=TypeConverters.toString)
+
+    @keyword_only
+    def __init__(self, *, state=None, featuresCol="features"):
+        super().__init__()
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+
+    @property
+    def ensemble(self) -> B.Ensemble:
+        return B.Ensemble.from_json(self.getOrDefault(self.state))
+
+    @property
+    def getNumTrees(self) -> int:
+        return len(self.ensemble.trees[0])
+
+    @property
+    def featureImportances(self):
+        return Vectors.dense(self.ensemble.importances())
+
+    def _transform(self, dataset):
+        return B.with_probability(dataset, self.ensemble, self.getOrDefault(self.featuresCol))
+
+
+class BoostedTrees(Estimator):
+    """L2/L3: second-order boosted trees; see ``boosting``.
+
+    ``validation`` names a boolean column of rows that only judge: the rounds
+    stop when their log-loss has not fallen for ``patience`` rounds.
+    ``classes`` > 2 fits a softmax over labels 0 .. classes - 1.
+    """
+
+    def __init__(self, spec: B.Boosting, label: str = "label", features: str = "features", weight: str | None = None, key: str = "SEQN",
+                 validation: str | None = None, patience: int = 50, classes: int = 0):
+        super().__init__()
+        self.spec, self.label, self.features, self.weight, self.key = spec, label, features, weight, key
+        self.validation, self.patience, self.classes = validation, patience, classes if classes > 2 else 0
+
+    def fit_specs(self, train: DataFrame, specs: Sequence[B.Boosting], fold: str | None = None) -> list[BoostedTreesModel]:
+        """One model a spec, all grown in the same passes over ``train``."""
+        models, _ = B.fit_all(train, specs, self.label, self.weight, self.key, fold, self.features, self.classes)
+        return [BoostedTreesModel(state=m.to_json(), featuresCol=self.features) for m in models]
+
+    def _fit(self, dataset):
+        if not self.validation:
+            return self.fit_specs(dataset, [self.spec])[0]
+        judged = dataset.withColumn("_part", F.coalesce(F.col(self.validation), F.lit(False)).cast("int"))
+        models, _ = B.fit_all(judged, [self.spec], self.label, self.weight, self.key, "_part", self.features, 0, self.patience, 1)
+        return BoostedTreesModel(state=models[0].to_json(), featuresCol=self.features)
+
+
+def gbt(label: str = "label", features: str = "features", rounds: int = 100, depth: int = 4, step: float = 0.05, subsample: float = 0.8,
+        columns: float = 1.0, min_gain: float = 0.0, weight: str | None = None, validation: str | None = None, patience: int = 50,
+        seed: int = 42, key: str = "SEQN", classes: int = 0) -> BoostedTrees:
     """L2/L3: gradient-boosted trees; ``validation`` names a boolean column for early stopping."""
-    est = GBTClassifier(featuresCol=features, labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=step,
-                        subsamplingRate=subsample, featureSubsetStrategy=feature_subset,
-                        minInfoGain=min_gain, seed=seed)
-    if weight:
-        est.setWeightCol(weight)
-    if validation:
-        est.setValidationIndicatorCol(validation)
-    return est
+    spec = B.Boosting(rounds, depth, step, subsample, columns, min_gain, seed=seed)
+    return BoostedTrees(spec, label, features, weight, key, validation, patience, classes)
 
 
 def forest(label: str = "label", features: str = "features", trees: int = 100, weight: str | None = None,
@@ -98,19 +151,22 @@ def mlp(n_features: int, label: str = "label", features: str = "features", hidde
                                           layers=[n_features, *hidden, 2], maxIter=max_iter, seed=seed)
 
 
-def random_search(estimator, space: dict, n_candidates: int, train: DataFrame, fold_col: str = "fold",
-                  label: str = "label", seed: int = 42, parallelism: int = 2):
-    """Seeded sample of ``n_candidates`` parameter maps from the grid ``space``,
-    cross-validated on a fold column, scored by positive-class recall."""
-    grid = ParamGridBuilder()
-    for p, vals in space.items():
-        grid = grid.addGrid(p, vals)
-    maps = grid.build()
-    picked = random.Random(seed).sample(maps, min(n_candidates, len(maps)))
-    ev = MulticlassClassificationEvaluator(labelCol=label, metricName="recallByLabel", metricLabel=1.0)
-    cv = CrossValidator(estimator=estimator, estimatorParamMaps=picked, evaluator=ev,
-                        foldCol=fold_col, parallelism=parallelism, seed=seed)
-    return cv.fit(train), picked
+def random_search(est: BoostedTrees, space: Mapping[str, Sequence], n_candidates: int, train: DataFrame, fold_col: str = "fold",
+                  folds: int = 3, seed: int = 42, **options) -> list[tuple[dict, float]]:
+    """(settings, mean positive-class recall over the folds) of a seeded sample of ``n_candidates`` points of the grid ``space``.
+
+    All candidates and folds are grown together (``boosting.fit_all``); each
+    fold's rows are judged by the margins that the model fitted without them
+    gives them, so nothing is scored twice.
+    """
+    names = sorted(space)
+    grid = [dict(zip(names, values, strict=True)) for values in product(*[space[n] for n in names])]
+    picked = random.Random(seed).sample(grid, min(n_candidates, len(grid)))
+    specs = B.held_out_specs([replace(est.spec, **p) for p in picked], folds)
+    _, rows = B.fit_all(train, specs, est.label, est.weight, est.key, fold_col, est.features, scorer=B.recall_by_fold,
+                        scores="lane int, positives long, found long", **options)
+    recall = {r["lane"]: r["found"] / r["positives"] if r["positives"] else 0.0 for r in rows}
+    return [(p, sum(recall.get(i * folds + f, 0.0) for f in range(folds)) / folds) for i, p in enumerate(picked)]
 
 
 def evaluate(scored: DataFrame, label: str = "label", p: str = "p", threshold: float = 0.5) -> dict:
@@ -153,22 +209,29 @@ def scored_by(models: dict, rows: DataFrame) -> DataFrame:
     return rows
 
 
+def _fold_models(est, train: DataFrame, fold_col: str, folds: int) -> list:
+    """Models fitted without each fold, and last the one fitted on all rows; boosted trees in shared passes."""
+    if isinstance(est, BoostedTrees):
+        return est.fit_specs(train, [*B.held_out_specs([est.spec], folds), est.spec], fold_col)
+    return [*[est.fit(train.filter(F.col(fold_col) != i)) for i in range(folds)], est.fit(train)]
+
+
 def out_of_fold(estimators: dict, train: DataFrame, key: str, fold_col: str = "fold",
-                k: int | None = None) -> DataFrame:
-    """(key, fold, p_<name>...) - each row scored by models fit without its fold."""
-    folds = k or train.agg(F.max(fold_col)).first()[0] + 1
+                k: int | None = None) -> tuple[DataFrame, dict]:
+    """(key, fold, p_<name>...) - each row scored by models fit without its fold - and the models fit on all rows."""
+    folds = k or (train.agg(F.max(fold_col)).first()[0] or 0) + 1
+    fitted = {n: _fold_models(est, train, fold_col, folds) for n, est in estimators.items()}
     out = None
     for i in range(folds):
-        fit_on = train.filter(F.col(fold_col) != i)
-        held = scored_by({n: est.fit(fit_on) for n, est in estimators.items()}, train.filter(F.col(fold_col) == i))
+        held = scored_by({n: models[i] for n, models in fitted.items()}, train.filter(F.col(fold_col) == i))
         part = held.select(key, fold_col, *[f"p_{n}" for n in estimators])
         out = part if out is None else out.unionByName(part)
-    return out
+    return out, {n: models[-1] for n, models in fitted.items()}
 
 
-def base_scores(estimators: dict, train: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """(key, p_<name>...) for ``rows`` from bases fit on all of ``train``."""
-    return scored_by({n: est.fit(train) for n, est in estimators.items()}, rows).select(key, *[f"p_{n}" for n in estimators])
+def base_scores(models: dict, rows: DataFrame, key: str) -> DataFrame:
+    """(key, p_<name>...) for ``rows`` from fitted bases."""
+    return scored_by(models, rows).select(key, *[f"p_{n}" for n in models])
 
 
 def meta_fit(oof: DataFrame, names, label: str = "label"):
@@ -177,19 +240,11 @@ def meta_fit(oof: DataFrame, names, label: str = "label"):
     return asm, logistic(label, "meta_x").fit(asm.transform(oof))
 
 
-def stack(estimators: dict, train: DataFrame, test: DataFrame, key: str, label: str = "label",
-          fold_col: str = "fold", oof: DataFrame | None = None,
-          test_bases: DataFrame | None = None) -> tuple[DataFrame, object]:
-    """Meta logistic regression on out-of-fold base probabilities; test rows are
-    scored by bases refit on all training rows.  Returns (test scores, meta model).
-    Precomputed ``oof`` / ``test_bases`` frames may be passed in."""
-    names = list(estimators)
-    if oof is None:
-        oof = out_of_fold(estimators, train, key, fold_col)
-    oof = oof.join(train.select(key, label), key)
-    asm, meta = meta_fit(oof, names, label)
-    if test_bases is None:
-        test_bases = base_scores(estimators, train, test, key)
+def stack(names: Sequence[str], oof: DataFrame, test_bases: DataFrame, train: DataFrame, test: DataFrame, key: str,
+          label: str = "label") -> tuple[DataFrame, object]:
+    """Meta logistic regression on out-of-fold base probabilities (``oof``); test rows are
+    scored by bases fit on all training rows (``test_bases``).  Returns (test scores, meta model)."""
+    asm, meta = meta_fit(oof.join(train.select(key, label), key), names, label)
     scored = test.select(key, label).join(test_bases, key)
     out = positive_probability(meta.transform(asm.transform(scored)))
     return out.drop("probability", "rawPrediction", "prediction"), meta
@@ -199,26 +254,27 @@ def calibrate_isotonic(meta_input: DataFrame, test_input: DataFrame, x_col: str,
                        label: str = "label", fold_col: str = "fold") -> DataFrame:
     """Per fold, refit the meta model without the fold, fit an isotonic map from its
     held-out scores to labels, apply the pair to test rows; average over folds."""
-    folds = meta_input.agg(F.max(fold_col)).first()[0] + 1
-    out = test_input.select(key, x_col)
+    folds = (meta_input.agg(F.max(fold_col)).first()[0] or 0) + 1
+    held, asked = None, None
     for i in range(folds):
         meta = logistic(label, x_col).fit(meta_input.filter(F.col(fold_col) != i))
-        held = positive_probability(meta.transform(meta_input.filter(F.col(fold_col) == i)))
-        iso = IsotonicRegression(featuresCol="p", labelCol="y", predictionCol=f"_c{i}").fit(
-            held.select("p", F.col(label).cast("double").alias("y")))
-        keep = out.columns
-        out = iso.transform(positive_probability(meta.transform(out))).select(*keep, f"_c{i}")
-    cols = [F.col(f"_c{i}") for i in range(folds)]
-    return out.select(key, (sum(cols[1:], cols[0]) / folds).alias("p"))
+        mine = positive_probability(meta.transform(meta_input.filter(F.col(fold_col) == i))).select(
+            F.lit(i).alias("g"), "p", F.col(label).cast("double").alias("y"))
+        test = positive_probability(meta.transform(test_input)).select(F.col(key), F.lit(i).alias("g"), "p")
+        held, asked = (mine, test) if held is None else (held.unionByName(mine), asked.unionByName(test))
+    steps = isotonic_steps(held, "g", "p", "y")
+    return applied(asked, steps, "g", "p", "c").groupBy(key).agg(F.avg("c").alias("p"))
+
+
+def slot_names(assembled: DataFrame, features: str = "features") -> list[str]:
+    """Names of the slots of an assembled vector, from its metadata."""
+    groups = assembled.schema[features].metadata.get("ml_attr", {}).get("attrs", {}).values()
+    return [a["name"] for a in sorted((a for g in groups for a in g), key=lambda a: a["idx"])]
 
 
 def importance_table(model, assembler_out: DataFrame, features: str = "features", top: int = 20) -> DataFrame:
     """(feature, importance) with expanded vector slot names, top ``top`` by importance."""
-    attrs = assembler_out.schema[features].metadata.get("ml_attr", {}).get("attrs", {})
-    names = {}
-    for group in attrs.values():
-        for a in group:
-            names[a["idx"]] = a["name"]
+    names = dict(enumerate(slot_names(assembler_out, features)))
     imp = model.featureImportances.toArray().tolist()
     rows = [(names.get(i, f"f{i}"), float(v)) for i, v in enumerate(imp)]
     spark = assembler_out.sparkSession

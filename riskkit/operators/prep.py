@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint_root, scratch_path
+from ..session import scratch_path
 from .profile import exact_quantiles
 from .rank import ordered_positions
 
@@ -276,49 +276,32 @@ _C = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00,
 _D = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00, 3.754408661907416e+00]
 
 
-def _poly(coefs, x: Column) -> Column:
-    acc = F.lit(coefs[0])
-    for c in coefs[1:]:
-        acc = acc * x + F.lit(c)
-    return acc
-
-
-def inverse_normal(p: Column) -> Column:
-    """Standard normal quantile of p in (0, 1) as column arithmetic."""
-    lo = 0.02425
-    q_low = F.sqrt(-2 * F.log(p))
-    q_high = F.sqrt(-2 * F.log(1 - p))
-    q = p - 0.5
-    r = q * q
-    central = _poly(_A, r) * q / (_poly(_B, r) * r + 1)
-    low = _poly(_C, q_low) / (_poly(_D, q_low) * q_low + 1)
-    high = -_poly(_C, q_high) / (_poly(_D, q_high) * q_high + 1)
-    return F.when(p < lo, low).when(p > 1 - lo, high).otherwise(central)
+def inverse_normal(p):
+    """Standard normal quantiles of an array of numbers in (0, 1)."""
+    import numpy as np
+    tail = np.minimum(p, 1 - p)
+    q = np.sqrt(-2 * np.log(tail))
+    outer = np.polyval(_C, q) / (np.polyval(_D, q) * q + 1)
+    mid = p - 0.5
+    r = mid * mid
+    central = np.polyval(_A, r) * mid / (np.polyval(_B, r) * r + 1)
+    return np.where(tail < 0.02425, np.where(p < 0.5, outer, -outer), central)
 
 
-def interpolate(df: DataFrame, col: str, xs: Sequence[float], ys: Sequence[float], out: str) -> DataFrame:
-    """Add ``out`` = piecewise-linear y(x) through sorted grid ``xs`` -> ``ys``, clamped.
+def interpolated(x, grid, ref):
+    """Piecewise-linear ref(x) through the sorted ``grid``, clamped; NaN stays NaN.
 
-    A value equal to a run of repeated grid points maps to the midpoint of their
-    references.  Grids have about a thousand points, which as literals would make
-    a plan too large to compile: the search runs in numpy, per Arrow batch.
+    A value equal to a run of repeated grid points maps to the midpoint of their references.
     """
-    gx, gy = [float(v) for v in xs], [float(v) for v in ys]
-
-    def run(column: pa.Array) -> pa.Array:
-        import numpy as np
-        grid, ref = np.array(gx), np.array(gy)
-        x = np.array(column.cast(pa.float64()).fill_null(float("nan")))
-        below, upto = np.searchsorted(grid, x, "left"), np.searchsorted(grid, x, "right")
-        k = len(grid)
-        lo, hi = np.clip(below - 1, 0, k - 1), np.clip(below, 0, k - 1)
-        gap = np.where(grid[hi] > grid[lo], grid[hi] - grid[lo], 1.0)
-        y = ref[lo] + (x - grid[lo]) * (ref[hi] - ref[lo]) / gap
-        y = np.where(upto > below, (ref[np.clip(below, 0, k - 1)] + ref[np.clip(upto - 1, 0, k - 1)]) / 2, y)
-        y = np.where((upto <= below) & (below == 0), ref[0], np.where((upto <= below) & (below >= k), ref[-1], y))
-        return pa.array(y, mask=np.isnan(x))
-
-    return df.withColumn(out, F.arrow_udf(run, "double")(F.col(col).cast("double")))
+    import numpy as np
+    below, upto = np.searchsorted(grid, x, "left"), np.searchsorted(grid, x, "right")
+    k = len(grid)
+    lo, hi = np.clip(below - 1, 0, k - 1), np.clip(below, 0, k - 1)
+    gap = np.where(grid[hi] > grid[lo], grid[hi] - grid[lo], 1.0)
+    y = ref[lo] + (x - grid[lo]) * (ref[hi] - ref[lo]) / gap
+    y = np.where(upto > below, (ref[np.clip(below, 0, k - 1)] + ref[np.clip(upto - 1, 0, k - 1)]) / 2, y)
+    y = np.where((upto <= below) & (below == 0), ref[0], np.where((upto <= below) & (below >= k), ref[-1], y))
+    return np.where(np.isnan(x), np.nan, y)
 
 
 class QuantileNormal(Estimator, _Stage):
@@ -350,138 +333,213 @@ class QuantileNormalModel(Model, _Stage, _HasState):
 
     def _transform(self, df: DataFrame) -> DataFrame:
         st = self.get_state()
-        refs, grid = st["refs"], st["grid"]
-        cur = df
-        for c in df.columns:
-            if c in grid:
-                cur = interpolate(cur, c, grid[c], refs, f"_cdf_{c}")
-                cur = cur.withColumn(f"_cdf_{c}", F.least(F.greatest(F.col(f"_cdf_{c}"), F.lit(1e-7)),
-                                                          F.lit(1 - 1e-7)))
-        out = [F.when(F.col(f"_cdf_{c}").isNull(), F.lit(None).cast("double"))
-               .otherwise(inverse_normal(F.col(f"_cdf_{c}"))).alias(c) if c in grid else F.col(c)
-               for c in df.columns]
-        return cur.select(*out)
+        cols = [c for c in df.columns if st["grid"].get(c) and st["grid"][c][0] is not None]
+        blank = [c for c in df.columns if c in st["grid"] and c not in cols]  # nothing but nulls in training
+        if cols:
+            run = _normal_columns([st["grid"][c] for c in cols], st["refs"])
+            made = F.arrow_udf(run, ", ".join(f"q{i} double" for i in range(len(cols))))(*[F.col(f"`{c}`").cast("double") for c in cols])
+            df = df.withColumn("_normal", made)
+        place = {c: i for i, c in enumerate(cols)}
+        return df.select(*[F.col(f"_normal.q{place[c]}").alias(c) if c in place else F.lit(None).cast("double").alias(c) if c in blank
+                           else F.col(f"`{c}`") for c in df.columns if c != "_normal"])
+
+
+def _normal_columns(grids: list, refs: list):
+    """All columns through their grids to a standard normal, in one pass over a batch."""
+    def run(*columns: pa.Array) -> pa.Array:
+        import numpy as np
+        out = []
+        for column, grid in zip(columns, grids, strict=True):
+            x = np.array(column.fill_null(float("nan")), np.float64)
+            y = inverse_normal(np.clip(interpolated(x, np.array(grid), np.array(refs)), 1e-7, 1 - 1e-7))
+            out.append(pa.array(y, mask=np.isnan(x)))
+        return pa.StructArray.from_arrays(out, names=[f"q{i}" for i in range(len(out))])
+
+    return run
 
 
 # --- M8: chained-equation imputation ---------------------------------------------------------
+#
+# Rows that lack the same columns (a pattern) are filled alike: every filled value is one affine
+# function of the row's observed values.  A pattern is therefore known by the sums of products of
+# its observed values, and all rounds run on those small matrices after one scan of the rows.
 
-def _gram(df: DataFrame, target: str, feats: Sequence[str], observed: str) -> tuple[list, list, int]:
-    """Sums for least squares of target on [1, feats] over rows where target was observed."""
-    xs = [F.lit(1.0)] + [F.col(f) for f in feats]
-    aggs = []
-    for i in range(len(xs)):
-        for j in range(i, len(xs)):
-            aggs.append(F.sum(xs[i] * xs[j]).alias(f"g_{i}_{j}"))
-        aggs.append(F.sum(xs[i] * F.col(target)).alias(f"b_{i}"))
-    row = df.filter(F.col(observed)).agg(*aggs).first()
-    p = len(xs)
-    G = [[0.0] * p for _ in range(p)]
-    for i in range(p):
-        for j in range(i, p):
-            G[i][j] = G[j][i] = row[f"g_{i}_{j}"] or 0.0
-    b = [row[f"b_{i}"] or 0.0 for i in range(p)]
-    return G, b, p
-
-
-def _solve(G, b, ridge: float):
-    import numpy as np
-    A = np.array(G, dtype=float)
-    A[1:, 1:] += ridge * np.eye(len(b) - 1)
-    return list(np.linalg.solve(A, np.array(b, dtype=float)))
+#: Patterns of missing values up to which their sums are brought to the driver (p x p numbers each).
+MAX_PATTERNS = 1 << 14
 
 
-def _apply_steps(df: DataFrame, steps: list[dict], cols: Sequence[str]) -> DataFrame:
-    """Apply linear refill steps in order inside each Arrow batch.
+def pattern_sums(df: DataFrame, cols: Sequence[str]):
+    """One scan: {mask of observed columns: (p + 1) x (p + 1) sums of products of (1, x), missing as 0}."""
+    import numpy as np
+    p = len(cols)
+    xs = [F.lit(1.0), *[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in cols]]
+    mask = sum((F.when(F.col(f"`{c}`").isNotNull(), F.lit(1 << i)).otherwise(0).cast("long") for i, c in enumerate(cols)), F.lit(0).cast("long"))
+    pairs = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
+    per = df.select(mask.alias("_mask"), *[x.alias(f"_x{i}") for i, x in enumerate(xs)]).groupBy("_mask").agg(
+        *[F.sum(F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"s{i}_{j}") for i, j in pairs])
+    out = {}
+    for r in per.limit(MAX_PATTERNS + 1).collect():
+        m = np.zeros((p + 1, p + 1))
+        for i, j in pairs:
+            m[i, j] = m[j, i] = r[f"s{i}_{j}"]
+        out[r["_mask"]] = m
+    if len(out) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} patterns of missing values: impute fewer columns at a time")
+    return out
+
+
+def least_squares(n: float, mean_x, mean_y: float, xx, xy, yy: float, ridge: float):
+    """Coefficients from centred sums, with an L2 penalty (the least-norm ones where they are not unique)."""
+    import numpy as np
+    return np.linalg.lstsq(xx + ridge * np.eye(len(xx)), xy, rcond=None)[0]
 
-    Each step refills the originally-missing entries (``_o_<col>`` false) of one
-    column from the current values of the others.  Chained as column
-    expressions, the sequential updates would nest every column inside every
-    other (exponential plan size); per batch in numpy they are a few vector ops.
-    """
-    schema = df.schema
 
-    def run(batches):
-        import numpy as np
-        for pdf in batches:
-            for st in steps:
-                c = st["col"]
-                pred = np.full(len(pdf), st["beta"][0], dtype="float64")
-                for w, f in zip(st["beta"][1:], st["feats"]):
-                    pred += w * pdf[f].to_numpy(dtype="float64")
-                obs = pdf[f"_o_{c}"].to_numpy(dtype=bool)
-                pdf[c] = np.where(obs, pdf[c].to_numpy(dtype="float64"), pred)
-            yield pdf
+def bayesian_ridge(n: float, mean_x, mean_y: float, xx, xy, yy: float, ridge: float, rounds: int = 300, tol: float = 1e-3):
+    """Coefficients of largest evidence: precisions of the noise and of the weights re-estimated in turn (flat gamma priors)."""
+    import numpy as np
+    small = 1e-6
+    value, vector = np.linalg.eigh(xx)
+    value = np.maximum(value, 0.0)
+    along = vector.T @ xy
+    noise, weight, old = 1.0 / (yy / n + np.finfo(float).eps), 1.0, None
+    for _ in range(rounds):
+        coef = vector @ (along / (value + weight / noise))
+        if old is not None and np.abs(coef - old).sum() < tol:
+            break
+        rest = max(yy - 2 * coef @ xy + coef @ xx @ coef, 0.0)
+        known = (noise * value / (weight + noise * value)).sum()
+        weight, noise, old = (known + 2 * small) / (coef @ coef + 2 * small), (n - known + 2 * small) / (rest + 2 * small), coef
+    return coef
+
+
+def _refill(maps, mask_bits, step, p: int) -> None:
+    """Put the affine map of a step's target into every pattern that lacks it; ``maps``: patterns x (p + 1) x (p + 1)."""
+    c = step["col"]
+    lacks = ~mask_bits[:, c]
+    beta = step["beta"]  # intercept, then one a column (0 for the target)
+    maps[lacks, c + 1] = beta[0] * maps[lacks, 0] + (maps[lacks, 1:] * beta[1:, None]).sum(1)
+
+
+def _start_maps(masks, means, p: int):
+    """Observed values as they are, the others at their means."""
+    import numpy as np
+    bits = (np.array(masks, dtype=np.int64)[:, None] >> np.arange(p) & 1).astype(bool)
+    maps = np.zeros((len(masks), p + 1, p + 1))
+    maps[:, 0, 0] = 1.0
+    at = np.arange(p)
+    maps[:, at + 1, at + 1] = bits
+    maps[:, at + 1, 0] = np.where(bits, 0.0, means)
+    return maps, bits
 
-    return df.mapInPandas(run, schema)
 
+def chained_rounds(sums: dict, p: int, max_iter: int, tol: float, ridge: float, method: str):
+    """(means, steps): the regressions of all rounds, from the patterns' sums alone.
 
-def _start(df: DataFrame, cols: Sequence[str], means: dict) -> DataFrame:
-    keep = [c for c in df.columns if c not in cols]
-    return df.select(*keep, *[F.col(c).isNotNull().alias(f"_o_{c}") for c in cols],
-                     *[F.coalesce(F.col(c).cast("double"), F.lit(means[c])).alias(c) for c in cols])
+    Each step regresses a column with gaps (fewest first) on all others as they are filled now, over the rows that have it.
+    """
+    import numpy as np
+    masks = sorted(sums)
+    sums = np.stack([sums[m] for m in masks]) if masks else np.zeros((0, p + 1, p + 1))
+    bits = (np.array(masks, dtype=np.int64)[:, None] >> np.arange(p) & 1).astype(bool)
+    rows, held = sums[:, 0, 0], (sums[:, 0, 0][:, None] * bits).sum(0)
+    means = np.divide(sums[:, 0, 1:].sum(0), held, out=np.zeros(p), where=held > 0)
+    maps, bits = _start_maps(masks, means, p)
+    gaps = rows.sum() - held
+    order = [c for c in sorted(range(p), key=lambda c: (gaps[c], c)) if gaps[c] > 0]
+    solve = bayesian_ridge if method == "bayes" else least_squares
+    steps = []
+    for _ in range(max_iter if order else 0):
+        before = maps.copy()
+        for c in order:
+            beta, has = np.zeros(p + 1), bits[:, c]
+            others = [f for f in range(p) if f != c]
+            n = rows[has].sum()
+            if n:
+                # sums of products of the filled rows: map x sums x map', added over the patterns that have the target
+                gram = np.einsum("kij,kjl,kml->im", maps[has], sums[has], maps[has])
+                mean = gram[0, 1:] / n
+                centred = gram[1:, 1:] - n * np.outer(mean, mean)
+                at = np.array(others, dtype=int)
+                coef = solve(n, mean[at], mean[c], centred[np.ix_(at, at)], centred[at, c], centred[c, c], ridge)
+                beta[at + 1] = coef
+                beta[0] = mean[c] - coef @ mean[at]
+            step = {"col": c, "beta": beta}
+            _refill(maps, bits, step, p)
+            steps.append(step)
+        # root mean square of the changes of the gaps, against that of the observed values
+        moved = maps - before
+        change = max(np.einsum("kij,kjl,kil->", moved[:, 1:], sums, moved[:, 1:]), 0.0) / max(gaps.sum(), 1)
+        size = sums[:, np.arange(p) + 1, np.arange(p) + 1].sum() / max(held.sum(), 1)
+        if change <= (tol ** 2) * size:
+            break
+    return means, steps
 
 
 class ChainedImputer(Estimator, _Stage):
     """Iterative imputation: start from training means, then repeatedly regress each
     column with gaps on the others (fewest gaps first) and refill its gaps, for at
-    most ``maxIter`` rounds or until the largest change is below ``tol`` times the
-    largest value.  Each regression is one aggregate of the Gram matrix (p x p
-    sums) solved on the driver; refills run per Arrow batch, and every step is
-    checkpointed to the shared checkpoint folder, so each is one pass."""
+    most ``maxIter`` rounds or until the root mean square change of the gaps is
+    within ``tol`` times that of the observed values.
+
+    The rows are scanned once, for the sums of every pattern of missing values; all
+    rounds run on those.  ``method`` is ``bayes`` (Bayesian ridge, precisions by
+    evidence) or ``ols`` (least squares with the L2 penalty ``ridge``).  At most
+    62 columns and ``MAX_PATTERNS`` patterns."""
 
     maxIter = Param(Params._dummy(), "maxIter", "rounds", typeConverter=TypeConverters.toInt)
     tol = Param(Params._dummy(), "tol", "relative stop tolerance", typeConverter=TypeConverters.toFloat)
     ridge = Param(Params._dummy(), "ridge", "L2 penalty", typeConverter=TypeConverters.toFloat)
+    method = Param(Params._dummy(), "method", "bayes | ols", typeConverter=TypeConverters.toString)
 
     @keyword_only
-    def __init__(self, *, inputCols=None, maxIter=10, tol=1e-3, ridge=1e-6):
+    def __init__(self, *, inputCols=None, maxIter=10, tol=1e-3, ridge=1e-6, method="bayes"):
         super().__init__()
-        self._setDefault(maxIter=10, tol=1e-3, ridge=1e-6)
+        self._setDefault(maxIter=10, tol=1e-3, ridge=1e-6, method="bayes")
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> "ChainedImputerModel":
         cols = self._cols()
-        checkpoint_root(df.sparkSession)
-        stats = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
-                       *[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)],
-                       F.count(F.lit(1)).alias("rows")).first()
-        means = {c: stats[f"m{i}"] or 0.0 for i, c in enumerate(cols)}
-        gaps = {c: stats["rows"] - stats[f"n{i}"] for i, c in enumerate(cols)}
-        order = sorted([c for c in cols if gaps[c] > 0], key=lambda c: (gaps[c], c))
-        cur = _start(df.select(*cols), cols, means).checkpoint(eager=True)
-        rounds = []
-        for _ in range(self.getOrDefault(self.maxIter)):
-            if not order:
-                break
-            prev = [f"_was_{c}" for c in order]
-            cur = cur.withColumns({f"_was_{c}": F.col(c) for c in order})  # the round's start, carried along
-            steps = []
-            for c in order:
-                feats = [f for f in cols if f != c]
-                G, b, _p = _gram(cur, c, feats, f"_o_{c}")
-                step = {"col": c, "feats": feats, "beta": _solve(G, b, self.getOrDefault(self.ridge))}
-                steps.append(step)
-                cur = _apply_steps(cur, [step], cols).checkpoint(eager=True)  # one Python pass per step
-            rounds.append(steps)
-            ch = cur.agg(F.max(F.greatest(*[F.abs(F.col(c) - F.col(p)) for c, p in zip(order, prev)], F.lit(0.0))).alias("d"),
-                         F.max(F.greatest(*[F.abs(F.col(c)) for c in order], F.lit(0.0))).alias("m")).first()
-            cur = cur.drop(*prev)
-            if not ch["d"] or ch["d"] < self.getOrDefault(self.tol) * (ch["m"] or 1.0):
-                break
-        return ChainedImputerModel(inputCols=cols, state=json.dumps({"means": means, "rounds": rounds}))
+        if len(cols) > 62:
+            raise ValueError("at most 62 columns")
+        means, steps = chained_rounds(pattern_sums(df, cols), len(cols), *[self.getOrDefault(k) for k in ("maxIter", "tol", "ridge", "method")])
+        state = {"means": means.tolist(), "steps": [{"col": s["col"], "beta": s["beta"].tolist()} for s in steps]}
+        return ChainedImputerModel(inputCols=cols, state=json.dumps(state))
 
 
 class ChainedImputerModel(Model, _Stage, _HasState):
+    """Fills rows by one matrix product a pattern; patterns that training did not have go through the same steps."""
+
     @keyword_only
     def __init__(self, *, inputCols=None, state=None):
         super().__init__()
         self._set(**self._input_kwargs)
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        st = self.get_state()
-        cols = self._cols()
-        cur = _start(df, cols, st["means"])
-        steps = [s for rnd in st["rounds"] for s in rnd]
-        if steps:
-            cur = _apply_steps(cur, steps, cols)
-        return cur.select(*df.columns)
+        st, cols = self.get_state(), self._cols()
+        run = _filled_columns(st["means"], st["steps"], len(cols))
+        made = F.arrow_udf(run, ", ".join(f"f{i} double" for i in range(len(cols))))(*[F.col(f"`{c}`").cast("double") for c in cols])
+        place = {c: i for i, c in enumerate(cols)}
+        return df.withColumn("_filled", made).select(*[F.col(f"_filled.f{place[c]}").alias(c) if c in place else F.col(f"`{c}`") for c in df.columns])
+
+
+def _filled_columns(means: list, steps: list, p: int):
+    known: dict = {}
+
+    def run(*columns: pa.Array) -> pa.Array:
+        import numpy as np
+        x = np.stack([np.array(c.fill_null(float("nan")), np.float64) for c in columns], axis=1)
+        has = ~np.isnan(x)
+        mask = (has * (1 << np.arange(p, dtype=np.int64))).sum(1)
+        x = np.where(has, x, 0.0)
+        out = np.empty_like(x)
+        for m in np.unique(mask).tolist():
+            if m not in known:
+                maps, bits = _start_maps([m], np.array(means), p)
+                for s in steps:
+                    _refill(maps, bits, {"col": s["col"], "beta": np.array(s["beta"])}, p)
+                known[m] = maps[0]
+            rows = mask == m
+            out[rows] = x[rows] @ known[m][1:, 1:].T + known[m][1:, 0]
+        return pa.StructArray.from_arrays([pa.array(out[:, i]) for i in range(p)], names=[f"f{i}" for i in range(p)])
+
+    return run

@@ -94,6 +94,26 @@ REPORT_SQL = (
     f"round({_d('r0 * s0 + r1 * s1', 's')}, 6), round({_d('f0 * s0 + f1 * s1', 's')}, 6), CAST(s AS BIGINT) FROM M2")
 
 
+_CLASSES_SQL = """WITH x AS (SELECT label::VARCHAR AS y, (vec_id % 7)::VARCHAR AS p FROM embeddings WHERE label IS NOT NULL),
+c AS (SELECT y AS c FROM x UNION SELECT p FROM x),
+k AS (SELECT c, (SELECT count(*) FROM x WHERE y = c AND p = c) AS hit, (SELECT count(*) FROM x WHERE y = c) AS held,
+  (SELECT count(*) FROM x WHERE p = c) AS said FROM c),
+m AS (SELECT *, coalesce(hit / nullif(said, 0), 0.0) AS pr, coalesce(hit / nullif(held, 0), 0.0) AS re FROM k),
+f AS (SELECT *, coalesce(2 * pr * re / nullif(pr + re, 0), 0.0) AS f1 FROM m),
+r AS (SELECT c AS row_label, pr AS precision, re AS recall, f1, held AS support FROM f
+  UNION ALL SELECT 'accuracy', NULL, NULL, sum(hit) / sum(held), sum(held) FROM f
+  UNION ALL SELECT 'macro avg', avg(pr), avg(re), avg(f1), sum(held) FROM f
+  UNION ALL SELECT 'weighted avg', sum(pr * held) / sum(held), sum(re * held) / sum(held), sum(f1 * held) / sum(held), sum(held) FROM f)
+SELECT row_label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support::BIGINT AS support FROM r"""
+
+
+@register("classes_report", _CLASSES_SQL)
+def classes_report(spark, sf):
+    """The ten labels of ``embeddings`` against a rule's seven predictions."""
+    rows = table(spark, sf, "embeddings").select("label", (F.col("vec_id") % 7).alias("pred"))
+    return E.classes_report(rows)
+
+
 @register("classification_report", REPORT_SQL)
 def classification_report(spark, sf):
     return E.classification_report(scored(spark, sf))

@@ -12,15 +12,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from ..fixtures import survey_view, with_sr
+from ..fixtures import survey_view, table, with_sr
 from ..operators import explain as X
 from ..operators import models as L
 from ..operators.prep import QuantileBinner
-from ..operators.split import stratified_folds
+from ..operators.split import stratified_folds, stratified_split
 from ..operators.survey import features_interaction
 from ..session import scratch_path
 from ..streaming import score as S
@@ -122,7 +123,7 @@ def fit_gbt(spark, sf):
 def gbt_early_stop(spark, sf):
     c = context(spark, sf)
     tv = L.with_balanced_weights(c.data.filter("split IN ('train', 'val')"), "label").withColumn("is_val", F.col("split") == "val")
-    model = L.gbt(weight="weight", validation="is_val").fit(tv)
+    model = L.gbt(rounds=100, depth=3, step=0.01, subsample=0.9, min_gain=0.1, weight="weight", validation="is_val", patience=50).fit(tv)
     return _scores(model, c.test).withColumn("trees", F.lit(model.getNumTrees))
 
 
@@ -138,28 +139,50 @@ def fit_mlp(spark, sf):
     return _scores(L.mlp(c.n_features).fit(c.train), c.test)
 
 
+def _classes(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows of ``embeddings`` (10 labels), an exact stratified fifth held out."""
+    rows = stratified_split(table(spark, sf, "embeddings").select("vec_id", "label", "embedding"), "vec_id", ["label"])
+    rows = rows.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>"))).drop("embedding")
+    return rows.filter("split = 'train'").drop("split"), rows.filter("split = 'test'").drop("split")
+
+
+def _class_scores(model, test: DataFrame) -> DataFrame:
+    out = model.transform(test)
+    return out.select("vec_id", "label", F.col("prediction").cast("int").alias("pred"), F.round(F.array_max(vector_to_array("probability")), 6).alias("p"))
+
+
+@register("fit_gbt_classes")
+def fit_gbt_classes(spark, sf):
+    """Softmax boosting: a tree a class and round."""
+    train, test = _classes(spark, sf)
+    return _class_scores(L.gbt(rounds=30, depth=3, step=0.2, key="vec_id", classes=10).fit(train), test)
+
+
+@register("fit_logistic_classes")
+def fit_logistic_classes(spark, sf):
+    """Multinomial logistic regression."""
+    train, test = _classes(spark, sf)
+    return _class_scores(L.logistic().fit(train), test)
+
+
 #: Candidates of the registered search, drawn from the reference's grid of 4^6 and fitted on three folds each.
 SEARCH_CANDIDATES = 50
 
 
-def search_space(est) -> dict:
-    """The six axes of the search: rounds, depth, step, row and column samples, least gain."""
-    return {est.maxIter: [100, 250, 500, 750], est.maxDepth: [3, 5, 7, 10], est.stepSize: [0.01, 0.05, 0.1, 0.2],
-            est.subsamplingRate: [0.7, 0.8, 0.9, 1.0], est.featureSubsetStrategy: ["0.7", "0.8", "0.9", "all"],
-            est.minInfoGain: [0.0, 0.1, 0.2, 0.5]}
+#: The six axes of the search: rounds, depth, step, row and column samples, least gain.
+SEARCH_SPACE = {"rounds": [100, 250, 500, 750], "depth": [3, 5, 7, 10], "step": [0.01, 0.05, 0.1, 0.2],
+                "subsample": [0.7, 0.8, 0.9, 1.0], "columns": [0.7, 0.8, 0.9, 1.0], "min_gain": [0.0, 0.1, 0.2, 0.5]}
 
 
 @register("random_search")
 def random_search(spark, sf):
     """Seeded draw from the grid of six parameters, three even stratified folds, positive-class recall."""
     c = context(spark, sf)
-    est = L.gbt(weight="weight")
     rows = c.train.drop("fold")
     folds = stratified_folds(rows.select("SEQN", "label"), "SEQN", ["label"], k=3).select("SEQN", "fold")
-    cv, picked = L.random_search(est, search_space(est), SEARCH_CANDIDATES, rows.join(folds, "SEQN"), fold_col="fold")
-    rows = [(", ".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda kv: kv[0].name)), float(s))
-            for m, s in zip(picked, cv.avgMetrics)]
-    return spark.createDataFrame(rows, "params string, recall double").orderBy(F.col("recall").desc())
+    found = L.random_search(L.gbt(weight="weight"), SEARCH_SPACE, SEARCH_CANDIDATES, rows.join(folds, "SEQN"))
+    rows = [(", ".join(f"{k}={v}" for k, v in sorted(p.items())), float(r)) for p, r in found]
+    return spark.createDataFrame(rows, "params string, recall double").orderBy(F.col("recall").desc(), "params")
 
 
 @register("compare_models")
@@ -174,31 +197,27 @@ STACK_ROUNDS = 300
 
 
 def _bases():
-    return {"log": L.logistic(weight="weight"), "gbt": L.gbt(rounds=STACK_ROUNDS, weight="weight")}
+    return {"log": L.logistic(weight="weight"), "gbt": L.gbt(rounds=STACK_ROUNDS, columns=0.8, weight="weight")}
 
 
-def _oof(c) -> DataFrame:
+def _oof(c) -> tuple[DataFrame, DataFrame]:
+    """Out-of-fold scores of the training rows, and scores of the test rows by bases fitted on all of them."""
     if "oof" not in c.memo:
-        c.memo["oof"] = L.out_of_fold(_bases(), c.train, "SEQN").persist(StorageLevel.MEMORY_AND_DISK)
-    return c.memo["oof"]
-
-
-def _test_bases(c) -> DataFrame:
-    if "test_bases" not in c.memo:
-        c.memo["test_bases"] = L.base_scores(_bases(), c.train, c.test, "SEQN") \
-            .persist(StorageLevel.MEMORY_AND_DISK)
-    return c.memo["test_bases"]
+        oof, whole = L.out_of_fold(_bases(), c.train, "SEQN")
+        c.memo["oof"] = oof.persist(StorageLevel.MEMORY_AND_DISK)
+        c.memo["test_bases"] = L.base_scores(whole, c.test, "SEQN").persist(StorageLevel.MEMORY_AND_DISK)
+    return c.memo["oof"], c.memo["test_bases"]
 
 
 @register("oof_scores")
 def oof_scores(spark, sf):
-    return _oof(stack_context(spark, sf))
+    return _oof(stack_context(spark, sf))[0]
 
 
 @register("stacked")
 def stacked(spark, sf):
     c = stack_context(spark, sf)
-    out, _ = L.stack(_bases(), c.train, c.test, "SEQN", oof=_oof(c), test_bases=_test_bases(c))
+    out, _ = L.stack(list(_bases()), *_oof(c), c.train, c.test, "SEQN")
     return out.select("SEQN", "label", F.round("p", 6).alias("p"))
 
 
@@ -207,9 +226,10 @@ def calibrated(spark, sf):
     from pyspark.ml.feature import VectorAssembler
     c = stack_context(spark, sf)
     names = list(_bases())
-    oof = _oof(c).join(c.train.select("SEQN", "label"), "SEQN")
+    oof, bases = _oof(c)
+    oof = oof.join(c.train.select("SEQN", "label"), "SEQN")
     asm = VectorAssembler(inputCols=[f"p_{n}" for n in names], outputCol="meta_x")
-    test = c.test.select("SEQN", "label").join(_test_bases(c), "SEQN")
+    test = c.test.select("SEQN", "label").join(bases, "SEQN")
     out = L.calibrate_isotonic(asm.transform(oof), asm.transform(test), "meta_x", "SEQN")
     return out.join(test.select("SEQN", "label"), "SEQN").select("SEQN", "label", F.round("p", 6).alias("p"))
 
@@ -235,6 +255,15 @@ def shapley_sampled(spark, sf):
     return X.sampled_shapley(model, rows, "SEQN", RAW, background)
 
 
+@register("shapley_trees")
+def shapley_trees(spark, sf):
+    """Exact attributions of the boosted trees against all training rows, in log-odds."""
+    c = context(spark, sf)
+    model = _boosted(c).ensemble
+    out = X.tree_attributions(model, c.test, "SEQN", c.train, names=L.slot_names(c.data))
+    return out.select("SEQN", "feature", F.round("phi", 6).alias("phi"), F.round("base", 6).alias("base"))
+
+
 def _requests(spark, sf) -> DataFrame:
     """Request records with the test respondents' raw values, as a caller would send them."""
     t = context(spark, sf).raw.filter("split = 'test'")

@@ -115,12 +115,61 @@ def impute_chained(spark, sf):
     return model.transform(sr.select("SEQN", *_CHAIN))
 
 
-@register("quantile_normal")
+# one round on two columns, the one with fewer gaps first: LBXTC on BMXBMI, then BMXBMI on the filled LBXTC
+_ROUND = ["LBXTC", "BMXBMI"]
+_ROUND_SQL = f"""M AS (SELECT avg(LBXTC) AS ma, avg(BMXBMI) AS mb, count(LBXTC) >= count(BMXBMI) AS a_first FROM SR WHERE {TRAIN}),
+S AS (SELECT SEQN, {TRAIN} AS tr, CASE WHEN a_first THEN LBXTC ELSE BMXBMI END AS a, CASE WHEN a_first THEN BMXBMI ELSE LBXTC END AS b,
+  CASE WHEN a_first THEN ma ELSE mb END AS ma, CASE WHEN a_first THEN mb ELSE ma END AS mb, a_first FROM SR, M),
+F1 AS (SELECT regr_slope(a, coalesce(b, mb)) AS s1, regr_intercept(a, coalesce(b, mb)) AS i1 FROM S WHERE tr AND a IS NOT NULL),
+S1 AS (SELECT *, coalesce(a, i1 + s1 * coalesce(b, mb)) AS fa FROM S, F1),
+F2 AS (SELECT regr_slope(b, fa) AS s2, regr_intercept(b, fa) AS i2 FROM S1 WHERE tr AND b IS NOT NULL),
+S2 AS (SELECT *, coalesce(b, i2 + s2 * fa) AS fb FROM S1, F2)"""
+
+
+@register("impute_chained_round", with_sr(
+    "SELECT SEQN, round(CASE WHEN a_first THEN fa ELSE fb END, 6) AS LBXTC, round(CASE WHEN a_first THEN fb ELSE fa END, 6) AS BMXBMI FROM S2", _ROUND_SQL))
+def impute_chained_round(spark, sf):
+    """One round of least squares on two columns."""
+    sr = survey_view(spark, sf)
+    model = P.ChainedImputer(inputCols=_ROUND, maxIter=1, method="ols", ridge=0.0).fit(train_rows(sr).select(*_ROUND))
+    return model.transform(sr.select("SEQN", *_ROUND)).select("SEQN", *[F.round(c, 6).alias(c) for c in _ROUND])
+
+
+_NORMAL = ["BMXBMI", "LBXTC", "URXUMA"]
+_POINTS = 1000
+
+
+def _sql_poly(coefs, x: str) -> str:
+    out = repr(coefs[0])
+    for c in coefs[1:]:
+        out = f"({out} * {x} + {c!r})"
+    return out
+
+
+def _normal_sql(c: str) -> str:
+    """The training CDF by linear interpolation between grid points, clipped, through the inverse normal."""
+    k = _POINTS - 1
+    below, upto = f"len(list_filter(g_{c}, lambda e: e < {c}))", f"len(list_filter(g_{c}, lambda e: e <= {c}))"
+    cdf = (f"CASE WHEN up > lo THEN (lo / {k}.0 + (up - 1) / {k}.0) / 2 WHEN lo = 0 THEN 0.0 WHEN lo > {k} THEN 1.0 "
+           f"ELSE (lo - 1) / {k}.0 + (v - g[lo]) * (lo / {k}.0 - (lo - 1) / {k}.0) / (g[lo + 1] - g[lo]) END")
+    outer = f"({_sql_poly(P._C, 'q')} / ({_sql_poly(P._D, 'q')} * q + 1))"
+    inner = f"({_sql_poly(P._A, 'r')} * m / ({_sql_poly(P._B, 'r')} * r + 1))"
+    return f"""N_{c} AS (SELECT SEQN, round(CASE WHEN least(p, 1 - p) < 0.02425 THEN CASE WHEN p < 0.5 THEN {outer} ELSE -{outer} END ELSE {inner} END, 6) AS {c}
+  FROM (SELECT SEQN, p, sqrt(-2 * ln(least(p, 1 - p))) AS q, p - 0.5 AS m, (p - 0.5) * (p - 0.5) AS r
+  FROM (SELECT SEQN, least(greatest({cdf}, 1e-7), 1 - 1e-7) AS p
+  FROM (SELECT SEQN, {c} AS v, g_{c} AS g, {below} AS lo, {upto} AS up FROM SR, G) a WHERE v IS NOT NULL) b) c)"""
+
+
+_GRID = "[" + ", ".join(repr(i / (_POINTS - 1)) for i in range(_POINTS)) + "]"
+
+
+@register("quantile_normal", with_sr(
+    "SELECT SR.SEQN, " + ", ".join(f"N_{c}.{c}" for c in _NORMAL) + " FROM SR " + " ".join(f"LEFT JOIN N_{c} ON N_{c}.SEQN = SR.SEQN" for c in _NORMAL),
+    "G AS (SELECT " + ", ".join(f"quantile_cont({c}, {_GRID}) AS g_{c}" for c in _NORMAL) + f" FROM SR WHERE {TRAIN}),\n" + ",\n".join(_normal_sql(c) for c in _NORMAL)))
 def quantile_normal(spark, sf):
     sr = survey_view(spark, sf)
-    cols = ["BMXBMI", "LBXTC", "URXUMA"]
-    model = P.QuantileNormal(inputCols=cols).fit(train_rows(sr).select(*cols))
-    return model.transform(sr.select("SEQN", *cols))
+    model = P.QuantileNormal(inputCols=_NORMAL, nQuantiles=_POINTS).fit(train_rows(sr).select(*_NORMAL))
+    return model.transform(sr.select("SEQN", *_NORMAL)).select("SEQN", *[F.round(c, 6).alias(c) for c in _NORMAL])
 
 
 NUMERIC_FEATURES = ["AGE", "BMI", "WAIST_HT_RATIO", "SBP_MEAN", "DBP_MEAN", "TCHOL", "HDL", "TRIG",
