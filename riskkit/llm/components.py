@@ -1,8 +1,8 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
-Every step is a minimum per node (combined before the shuffle) joined back to
-the edges, so a hub with very many links is never gathered in one task; each
-round is cut by ``checkpoint()`` into the shared folder.
+Every step is a minimum per node (combined before the shuffle) that is looked
+up for the edges by node and salt, so a hub with very many links is spread over
+many tasks; each round is cut by ``checkpoint()`` into the shared folder.
 """
 
 from __future__ import annotations
@@ -11,14 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_root
+from .salted import look_up
 
 EDGES_PER_FILE = 250_000
 
 
 def _towards_least(edges: DataFrame, larger_only: bool) -> DataFrame:
-    """One star step over directed rows (u, v); see ``components``."""
+    """One star step over directed rows (u, v), which must lie still (checkpointed); see ``components``."""
     least = edges.groupBy("u").agg(F.min("v").alias("_m")).withColumn("_m", F.least("u", "_m"))
-    moved = edges.join(least, "u")
+    moved = look_up(edges, ["u"], least)
     if larger_only:
         return moved.filter("v > u").select(F.col("v").alias("u"), F.col("_m").alias("v"))
     low = moved.filter("v < u")
@@ -37,7 +38,7 @@ def components(edges: DataFrame) -> DataFrame:
     while (state := tuple(now.agg(*mark).first())) != seen:
         seen = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _towards_least(both, True).distinct()
+        large = kept(_towards_least(both, True), state[0])
         now = kept(_towards_least(large, False), state[0])
     return (now.select(F.col("u").alias("node"), F.col("v").alias("root"))
             .unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct())

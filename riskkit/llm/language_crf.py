@@ -8,9 +8,12 @@ Transitions are learned.  Forward-backward gives each word's posterior; a
 document's language is the one with the largest mean posterior.
 
 Lexicon counts cover all learning documents (a table of ``lexicon`` rows by
-hash for each language).  Weights and transitions are fitted on code-switched
-chains joined from spans of ``span`` words of about ``per_language`` documents
-of each language, chosen by the hash of their ids (a bounded sample).
+hash for each language).  Weights and transitions are fitted on a bounded
+sample: about ``per_language`` documents of each language, chosen by the hash of
+id and text and taken once however often they repeat; ``spans`` spans of
+``span`` words of each, evenly spaced over its whole text; and from those
+``chains_per_language`` times the number of languages code-switched chains of
+``parts`` spans drawn at random.  All five are parameters of ``fit_languages``.
 
 Long chains are cut into blocks whose transfer matrices are multiplied up
 first, so the number of steps depends on the block length, not on the longest
@@ -276,10 +279,11 @@ def lexicon_counts(docs: DataFrame, langs: tuple[str, ...], rows: int) -> np.nda
     return out.reshape(rows, len(langs))
 
 
-def sample_spans(docs: DataFrame, per: dict[str, int], per_language: int, span: int, spans: int = 4) -> list[tuple[str, str]]:
+def sample_spans(docs: DataFrame, per: dict[str, int], per_language: int, span: int, spans: int) -> list[tuple[str, str]]:
     """Spans of words, evenly spaced over the text, of about ``per_language`` documents of each language."""
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, per_language / n) * 2**31)) for k, n in per.items()])
-    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2**31)) < share).select("text", "lang")
+    # id and text together: rows of a null or repeated id are drawn one by one, copies of a row count once
+    some = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(2**31)) < share).dropDuplicates(["doc_id", "text", "lang"]).select("text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "text"):
@@ -296,7 +300,8 @@ def sample_spans(docs: DataFrame, per: dict[str, int], per_language: int, span:
     return sorted(zip(rows.column("text").to_pylist(), rows.column("lang").to_pylist(), strict=True))
 
 
-def fit_languages(docs: DataFrame, lexicon: int = 1 << 15, per_language: int = 1000, span: int = 16) -> LanguageModel:
+def fit_languages(docs: DataFrame, lexicon: int = 1 << 15, per_language: int = 1000, span: int = 16, spans: int = 4,
+                  chains_per_language: int = 1000, parts: int = 3) -> LanguageModel:
     """Fit on ``docs`` (doc_id, text, lang)."""
     known = docs.filter(F.col("lang").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang")
     per = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
@@ -307,8 +312,8 @@ def fit_languages(docs: DataFrame, lexicon: int = 1 << 15, per_language: int = 1
     logs = np.log((counts + 0.5) / (counts.sum(0) + 0.5 * lexicon))
     logs -= logs.mean(1, keepdims=True)
     number = {lang: i for i, lang in enumerate(langs)}
-    spans = [(t, number[x]) for t, x in sample_spans(known, per, per_language, span)]
-    return fit_weights(spans, langs, logs)
+    drawn = [(t, number[x]) for t, x in sample_spans(known, per, per_language, span, spans)]
+    return fit_weights(drawn, langs, logs, chains=chains_per_language * len(langs), parts=parts)
 
 
 HELD_OUT = (4, 2)

@@ -13,8 +13,9 @@ network with one hidden layer of ``hidden`` units gives the log-odds of label
 1, divided by a temperature that is fitted on a fifth of the sample kept out
 of training.
 
-The network learns from at most ``max_rows`` labelled rows, those with the
-smallest hashes of their ids (a bounded sample; the bound is a parameter).
+The network learns from at most ``max_rows`` labelled documents, those with the
+smallest hashes of their ids, one row of each id (a bounded sample; the bound is
+a parameter).
 Word vectors are counted over every document.
 
 Defined results: null and empty texts are pooled to zeros and scored like any
@@ -214,9 +215,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, shap
             x = pooled(part.column("text"), vectors, shape)
             yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_y"), pa.array(list(x), pa.list_(pa.float32()))], names=["id", "y", "x"])
 
-    # at most max_rows rows: a proven bound for the broadcast and for the driver
-    rows = (docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(sample), "_id")
-            .select(F.col("_id").cast("long").alias("_id"), F.col("_y").cast("int").alias("_y"), "text").mapInArrow(run, schema).toArrow())
+    # at most max_rows rows: a proven bound for the broadcast; one row of each id (of the least text hash): the same bound for the driver
+    held = docs.select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "_id")
+    one = held.groupBy(F.col("_id").cast("long").alias("_id"), F.col("_y").cast("int").alias("_y")).agg(
+        F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("_t"))
+    rows = one.select("_id", "_y", F.col("_t.text").alias("text")).mapInArrow(run, schema).toArrow()
     x = np.array(rows.column("x").combine_chunks().flatten()).reshape(rows.num_rows, 2 * shape.dims)
     ids, y = np.array(rows.column("id")), np.array(rows.column("y"), np.float64)
     order = np.lexsort((*x.T[:4], ids, ids * np.int64(0x5851F42D4C957F2D)))  # shuffled alike in every run

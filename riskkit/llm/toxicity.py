@@ -277,11 +277,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max
             sentence, row = s.told(known)
             whose = s.text[np.searchsorted(s.sentence, sentence)]
             at = np.searchsorted(whose, np.arange(part.num_rows + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(v)) for v in (sentence, row)]
+            lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(v.astype(np.int32))) for v in (sentence, row)]
             yield pa.RecordBatch.from_arrays([part.column("_id").cast(pa.int64()), part.column("_y"), *lists], names=["id", "y", "sentence", "row"])
 
     # a document gives its telling words only, and there are at most max_rows of them
-    got = sample.mapInArrow(run, "id long, y int, sentence array<long>, row array<long>").toArrow().sort_by("id").combine_chunks()
+    got = sample.mapInArrow(run, "id long, y int, sentence array<int>, row array<int>").toArrow().sort_by("id").combine_chunks()
     dropped(sample)
     lists = [c.combine_chunks() if isinstance(c := got.column(k), pa.ChunkedArray) else c for k in ("sentence", "row")]
     size = np.diff(np.array(lists[0].offsets)) if got.num_rows else np.zeros(0, np.int64)
