@@ -13,12 +13,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskkit.llm.folds import in_fold
 from riskkit.llm.quality import HELD_OUT, fit_quality
-from riskkit.llm.sentence_pieces import PieceModel, coded
+from riskkit.llm.sentence_pieces import PieceModel, checked
 from riskkit.llm.simhash_groups import near_duplicate_groups
 from riskkit.llm.source_mix import mix
 from riskkit.llm.storage import written
@@ -34,23 +34,29 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return docs.filter(model.score(F.col("text")) >= LEAST_SCORE)
 
 
+def _whole(docs: DataFrame) -> Column:
+    """All columns of a row as one struct: whatever they are called, they meet no name used here."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every SimHash group (3-word shingles, 2 bits) one row: of the smallest id, null last, the one with the least hash of its columns."""
-    hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
-    rows = docs.withColumns({"_unnamed": F.col("doc_id").isNull(), "_row": F.xxhash64(*hashed)})
-    groups = near_duplicate_groups(rows.select("doc_id", "text", "_unnamed", "_row"), shingle=3, max_bits=2, also=("_unnamed", "_row"))
-    first = groups.groupBy("root").agg(F.min(F.struct("_unnamed", "doc_id", "_row")).alias("_first"))
+    own = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
+    unnamed, key = F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))
+    groups = near_duplicate_groups(docs.select("doc_id", "text", unnamed.alias("unnamed"), own.alias("own")), shingle=3, max_bits=2, also=("unnamed", "own"))
+    first = groups.groupBy("root").agg(F.min(F.struct("unnamed", "doc_id", "own")).alias("first"))
     # rows of one hash have one text, so one group; its id is compared too
-    kept = written(first.select("_first._row", F.coalesce("_first.doc_id", F.lit(0).cast("long")).alias("_id"), "_first._unnamed"), "pipeline-groups")
-    return (rows.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")))
-            .join(kept, ["_row", "_id", "_unnamed"], "left_semi").dropDuplicates(["_row", "_id", "_unnamed"]).select(*[f"`{c}`" for c in docs.columns]))
+    kept = written(first.select("first.own", F.coalesce("first.doc_id", F.lit(0).cast("long")).alias("key"), "first.unnamed"), "pipeline-groups")
+    rows = docs.select(_whole(docs).alias("row"), own.alias("own"), key.alias("key"), unnamed.alias("unnamed"))
+    return rows.join(kept, ["own", "key", "unnamed"], "left_semi").dropDuplicates(["own", "key", "unnamed"]).select("row.*")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their 100-byte repeats, n_chars to match; a document that was nothing but repeats goes."""
-    kept = remove_repeats(docs, length=100, as_text=True)
+    kept = remove_repeats(docs.select("doc_id", "text", _whole(docs).alias("whole")), length=100, as_text=True)
     left = kept.filter((F.col("n_removed") == 0) | (F.col("kept") != ""))
-    return left.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long")).select(*docs.columns)
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return left.select(*[(new[c] if c in new else F.col(f"whole.`{c}`")).alias(c) for c in docs.columns])
 
 
 def take_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,16 +64,17 @@ def take_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that repeat an id share alike in what is taken; documents without words are not taken.
     """
-    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.sha2(F.coalesce("text", F.lit("")), 256))))
-    took = mix(keyed.select("_key", "text", "source"), id_col="_key").groupBy(F.col("doc_id").alias("_key")).agg(
-        F.sum("size").alias("_size"), F.sum("taken").alias("_taken"))
-    times = took.filter("2 * _taken >= _size AND _size > 0").select("_key", F.expr("(2 * _taken + _size) div (2 * _size)").alias("_n"))
-    return keyed.join(times, "_key").withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*docs.columns)
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.sha2(F.coalesce("text", F.lit("")), 256)))
+    took = mix(docs.select(key.alias("key"), "text", "source"), id_col="key").groupBy(F.col("doc_id").alias("key")).agg(
+        F.sum("size").alias("held"), F.sum("taken").alias("got"))
+    times = took.filter("2 * got >= held AND held > 0").select("key", F.expr("(2 * got + held) div (2 * held)").alias("times"))
+    rows = docs.select(_whole(docs).alias("row"), key.alias("key")).join(times, "key")
+    return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and whether they decode to its text."""
-    return coded(docs, PieceModel.load()).drop("text", "decoded")
+    """Token ids of every document, their number, the digest of what they decode to, and whether that is the document's text."""
+    return checked(docs, PieceModel.load())
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
