@@ -16,7 +16,7 @@ from itertools import product
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -29,6 +29,7 @@ from pyspark.storagelevel import StorageLevel
 from . import boosting as B
 from . import metrics as E
 from .isotonic import applied, isotonic_steps
+from .net import Net
 
 
 def positive_probability(df: DataFrame, prob_col: str = "probability", out: str = "p") -> DataFrame:
@@ -144,11 +145,10 @@ def forest(label: str = "label", features: str = "features", trees: int = 100, w
     return est
 
 
-def mlp(n_features: int, label: str = "label", features: str = "features", hidden=(256, 128),
-        max_iter: int = 100, seed: int = 42) -> Estimator:
-    """Feed-forward net n-256-128-2 (sigmoid hidden units, softmax output)."""
-    return MultilayerPerceptronClassifier(featuresCol=features, labelCol=label,
-                                          layers=[n_features, *hidden, 2], maxIter=max_iter, seed=seed)
+def mlp(label: str = "label", features: str = "features", hidden: Sequence[int] = (256, 128), weight: str | None = None,
+        validation: str | None = None, seed: int = 42, **options) -> Net:
+    """Feed-forward net n-256-128-1 with batch normalisation and dropout; see ``net``."""
+    return Net(label, features, hidden, weight=weight, validation=validation, seed=seed, **options)
 
 
 def random_search(est: BoostedTrees, space: Mapping[str, Sequence], n_candidates: int, train: DataFrame, fold_col: str = "fold",

@@ -8,8 +8,9 @@ quantiles come from rank positions (no single task holds a column).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,6 +61,33 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None,
     return out.withColumn("n_distinct", F.col("n_distinct").cast("long"))
 
 
+def bounded_distinct(df: DataFrame, columns: Sequence[str] | None = None, limit: int = 10) -> DataFrame:
+    """A5, bounded: (column_name, n_distinct) where columns of more than ``limit`` different values (null not counted) give ``limit + 1``.
+
+    One scan for all columns: every task keeps at most ``limit + 1`` values of a
+    column, and only those meet.  What is equal under the column's type is one
+    value; NaN is a value of its own.
+    """
+    cols = list(columns or df.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[set] = [set() for _ in cols]
+        for batch in batches:
+            for j, column in enumerate(batch.columns):
+                if len(held[j]) <= limit:
+                    held[j].update(column.unique().drop_null().slice(0, 2 * limit + 2).to_pylist())
+        rows = [(c, v) for c, values in zip(cols, held, strict=True) for v in sorted(values)[:limit + 1]]
+        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.string()), pa.array([v for _, v in rows], pa.int64())], names=["column_name", "value"])
+
+    # values as hashes, equal where the values are: 0.0 and -0.0 are one
+    hashed = df.select(*[F.when(F.col(f"`{c}`").isNotNull(), F.xxhash64(F.col(f"`{c}`") + 0 if k in ("double", "float") else F.col(f"`{c}`"))).alias(f"h{j}")
+                         for j, (c, k) in enumerate((c, dict(df.dtypes)[c]) for c in cols)])
+    seen = hashed.mapInArrow(run, "column_name string, value long").groupBy("column_name").agg(F.collect_set("value").alias("v"))
+    every = df.sparkSession.createDataFrame([(c,) for c in cols], "column_name string")
+    return every.join(seen, "column_name", "left").select(
+        "column_name", F.least(F.coalesce(F.size("v"), F.lit(0)), F.lit(limit + 1)).cast("long").alias("n_distinct"))
+
+
 def any_value(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column_name, has_value)."""
     cols = list(columns or df.columns)
@@ -90,11 +118,16 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     (one of ``RANK_CELLS`` per column) that they fall into.  The table of wanted
     ranks has at most columns x probs x 2 rows and is broadcast.
     """
-    names = list(names or [f"q{int(p * 100)}" for p in probs])
-    counts = unpivot_values(df, columns).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    return quantiles_of(unpivot_values(df, columns), probs, names or [f"q{int(p * 100)}" for p in probs])
+
+
+def quantiles_of(values: DataFrame, probs: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """``exact_quantiles`` of the long form (column_name, value)."""
+    names = list(names)
+    counts = values.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
     ranks = running_totals(counts, ["value"], ["n"], by=["column_name"])
     sizes = ranks.groupBy("column_name").agg(F.max("n_cum").alias("_size"))
-    sizes = sizes.withColumn("_width", F.ceil(F.col("_size") / RANK_CELLS))  # one row per column
+    sizes = sizes.withColumn("_width", F.ceil(F.col("_size") / RANK_CELLS))  # one row per column (or column and group)
     grid = sizes.select("column_name", "_size", "_width", F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_i", "_p"))
     h = (F.col("_size") - 1) * F.col("_p")
     grid = grid.select("column_name", "_width", "_i", (F.floor(h) + 1).alias("_lo"), (F.ceil(h) + 1).alias("_hi"), (h - F.floor(h)).alias("_fr"))

@@ -87,13 +87,14 @@ def exclude_leaky(df: DataFrame, names: Sequence[str] = LEAK_COLUMNS,
     return df.drop(*[c for c in gone if c not in keep])
 
 
-def feature_routing(df: DataFrame, exclude: Sequence[str] = (), threshold: int = 10) -> DataFrame:
+def feature_routing(df: DataFrame, exclude: Sequence[str] = (), threshold: int = 10, exact: bool = True) -> DataFrame:
     """M5: (column_name, n_distinct, role): numeric if numeric type and > threshold
-    distinct values, categorical otherwise, dropped if constant (<= 1 distinct)."""
-    from .profile import distinct_counts
+    distinct values, categorical otherwise, dropped if constant (<= 1 distinct).
+    Without ``exact`` counting stops at ``threshold + 1``: one scan for all columns, the same roles."""
+    from .profile import bounded_distinct, distinct_counts
     fields = {f.name: f.dataType for f in df.schema.fields}
     cols = [c for c in df.columns if c not in exclude]
-    dc = distinct_counts(df, cols)
+    dc = distinct_counts(df, cols) if exact else bounded_distinct(df, cols, threshold)
     numeric = [c for c in cols if isinstance(fields[c], NUMERIC)]
     is_num = F.col("column_name").isin(numeric) if numeric else F.lit(False)
     role = (F.when(F.col("n_distinct") <= 1, F.lit("dropped"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fixtures import SR_NAMES, survey_view, with_sr
+from ..fixtures import SR_NAMES, survey_view, table, with_sr
 from ..functions import schema as S
 from ..operators.survey import CYCLE_CODES
 from .catalog import register
@@ -120,3 +120,32 @@ _REMAP_SQL = " ".join(f"WHEN {k} THEN '{v}'" for k, v in CYCLE_CODES.items())
 def code_remap(spark, sf):
     df = survey_view(spark, sf).select("SEQN", (F.col("RIDRETH1") + 6).cast("int").alias("SDDSRVYR"))
     return df.withColumn("cycle", S.remap("SDDSRVYR", CYCLE_CODES))
+
+
+# --- P8-P10 on the text of a JSON column ------------------------------------------------------
+
+_K_SQL = "regexp_extract(props, '\"k\": *(-?[0-9]+)', 1)"
+_K_NAMES = {0: "none", 1: "one", 2: "two", 50: "half", 99: "last"}
+
+
+def _props(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").alias("K"))
+
+
+@register("lenient_cast_props", f"SELECT event_id, CAST(nullif({_K_SQL}, '') AS DOUBLE) AS K FROM events")
+def lenient_cast_props(spark, sf):
+    """P8 on ``events.props``: a member of the JSON text as a number, null where it is none."""
+    return _props(spark, sf).select("event_id", S.lenient_double("K").alias("K"))
+
+
+@register("strict_cast_props", f"SELECT event_id, CAST({_K_SQL} AS DOUBLE) AS K FROM events WHERE {_K_SQL} <> ''")
+def strict_cast_props(spark, sf):
+    """P9 on ``events.props``, where it holds the member."""
+    return _props(spark, sf).filter("K IS NOT NULL").select("event_id", S.strict_double("K").alias("K"))
+
+
+@register("code_remap_props", f"SELECT event_id, CASE TRY_CAST(nullif({_K_SQL}, '') AS INTEGER) "
+          + " ".join(f"WHEN {k} THEN '{v}'" for k, v in _K_NAMES.items()) + " END AS K_NAME FROM events")
+def code_remap_props(spark, sf):
+    """P10 on ``events.props``: codes to names, others null."""
+    return _props(spark, sf).select("event_id", S.remap(F.col("K").try_cast("int"), _K_NAMES).alias("K_NAME"))

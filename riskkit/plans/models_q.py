@@ -135,8 +135,12 @@ def fit_forest(spark, sf):
 
 @register("fit_mlp")
 def fit_mlp(spark, sf):
+    """The net at the reference's settings, stopped by the validation rows' AUC."""
     c = context(spark, sf)
-    return _scores(L.mlp(c.n_features).fit(c.train), c.test)
+    rows = c.data.filter("split IN ('train', 'val')").withColumn("is_val", F.col("split") == "val").persist(StorageLevel.MEMORY_AND_DISK)
+    model = L.mlp(validation="is_val").fit(rows)
+    rows.unpersist()
+    return _scores(model, c.test)
 
 
 def _classes(spark, sf) -> tuple[DataFrame, DataFrame]:

@@ -45,6 +45,26 @@ def _mode_sql(c):
             "ORDER BY n DESC, v LIMIT 1)")
 
 
+@register("impute_median_by", with_sr(
+    "SELECT s.SEQN, s.CYCLE, " + ", ".join(f"round(coalesce(s.{c}, m.{c}), 6) AS {c}" for c in _MED)
+    + " FROM SR s LEFT JOIN M m ON s.CYCLE = m.CYCLE",
+    "M AS (SELECT CYCLE, " + ", ".join(f"median({c}) AS {c}" for c in _MED) + " FROM SR GROUP BY CYCLE)"))
+def impute_median_by(spark, sf):
+    """M6 within groups: every cycle's gaps from its own medians."""
+    sr = survey_view(spark, sf).select("SEQN", "CYCLE", *_MED)
+    medians = P.group_medians(sr, _MED, ["CYCLE"]).select(F.col("CYCLE").alias("_by"), *[F.col(c).alias(f"_m_{c}") for c in _MED])
+    out = sr.join(medians, sr["CYCLE"].eqNullSafe(medians["_by"]), "left")
+    return out.select("SEQN", "CYCLE", *[F.round(F.coalesce(c, f"_m_{c}"), 6).alias(c) for c in _MED])
+
+
+@register("impute_median_approx")
+def impute_median_approx(spark, sf):
+    """M6 by rank sketches (their answers vary within the stated rank error)."""
+    sr = survey_view(spark, sf)
+    model = P.ExactImputer(inputCols=_MED, strategy="approx_median").fit(train_rows(sr))
+    return model.transform(sr.select("SEQN", *_MED))
+
+
 @register("impute_mode", with_sr(
     "SELECT SEQN, " + ", ".join(f"coalesce({c}, {_mode_sql(c)}) AS {c}" for c in _MODE) + " FROM SR",
     f"T AS (SELECT * FROM SR WHERE {TRAIN})"))
@@ -77,7 +97,7 @@ def standardise(spark, sf):
     FB_CTE))
 def one_hot(spark, sf):
     fb = features_b_frame(spark, sf).select("SEQN", "cycle", "BMI_CLASS")
-    pipe = Pipeline(stages=P.one_hot_stages(["BMI_CLASS"])).fit(train_rows(fb, "cycle"))
+    pipe = Pipeline(stages=P.one_hot_table_stages(["BMI_CLASS"])).fit(train_rows(fb, "cycle"))
     return pipe.transform(fb).select("SEQN", "BMI_CLASS", P.hot_index("BMI_CLASS_ohe").alias("onehot_index"))
 
 
