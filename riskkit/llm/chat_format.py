@@ -47,8 +47,13 @@ class ChatTemplate:
     control: tuple[str, ...] = CONTROL
     learned_role: str = "assistant"
 
-    def tokenizer(self) -> Tokenizer:
-        tok = Tokenizer.from_file(self.vocabulary)
+    def vocabulary_text(self) -> str:
+        """The vocabulary file as text: read where the job is planned, and sent along with the function."""
+        with open(self.vocabulary, encoding="utf-8") as f:
+            return f.read()
+
+    def tokenizer(self, text: str | None = None) -> Tokenizer:
+        tok = Tokenizer.from_str(text or self.vocabulary_text())
         tok.encode_special_tokens = True
         return tok
 
@@ -79,10 +84,10 @@ def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 
 def encode_turns(rows: DataFrame, template: ChatTemplate) -> DataFrame:
     """Add ``role_ids`` and ``text_ids`` to rows of conv_id, turn, role, text, in place, without a shuffle."""
-    ints = pa.list_(pa.int32())
+    ints, vocabulary = pa.list_(pa.int32()), template.vocabulary_text()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = template.tokenizer()
+        tok = template.tokenizer(vocabulary)
         for part in chunks(batches, "text", CHUNK):  # encodings are held for one chunk at a time
             ids = [[np.array(e.ids, np.int32) for e in tok.encode_batch_fast([template.escape(x) for x in part.column(c).to_pylist()], add_special_tokens=False)]
                    for c in ("role", "text")]
@@ -108,8 +113,10 @@ def format_chats(rows: DataFrame, template: ChatTemplate | None = None) -> DataF
              .agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "role_ids", "text_ids"))).alias("turns")))
     flat = turns.select("conv_id", *[F.col(f"turns.{c}").alias(c) for c in ("role", "text", "role_ids", "text_ids")])
 
+    marks = template.reserved(template.tokenizer())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, sep, end = ([np.array([m], np.int32)] for m in template.reserved(template.tokenizer()))
+        start, sep, end = ([np.array([m], np.int32)] for m in marks)
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
                 part = batch.slice(k, ROWS)

@@ -196,6 +196,44 @@ def test_encoded_column_and_edges(edge_docs, edge_rows, empty_docs, clashing):
     assert sp.coded(empty_docs, model).count() == 0
 
 
+def test_checked_pass_and_a_full_word_table(spark, edge_docs, edge_rows, monkeypatch):
+    model = sp.PieceModel.load()
+    library = sentencepiece.SentencePieceProcessor(model_file=sp.MODEL)
+    rows = sp.checked(edge_docs, model).collect()
+    assert len(rows) == len(edge_rows) and "text" not in rows[0]
+    text = {(i, s): t for i, t, _, s in edge_rows}
+    for r in rows:
+        t = text[r.doc_id, r.source] or ""
+        back = library.decode(library.encode(t))
+        assert r.ids == library.encode(t) and r.decoded_sha256 == hashlib.sha256(back.encode()).hexdigest() and r.lossless == (back == t)
+    # words in tables that hold few of them, and texts in small pieces, give the same ids
+    column = pa.array([t or "" for _, t, _, _ in edge_rows])
+    want = model.encode(column)
+    monkeypatch.setattr(sp, "CHUNK_BYTES", 300)
+    for limit in (1, 50, 10_000):
+        words = sp.WordTable(limit)
+        for got in (model.encode(column, words), model.encode(column, words)):
+            assert np.array_equal(got[0], want[0]) and np.array_equal(got[1], want[1])
+
+
+def test_samples_hold_for_null_and_repeated_ids(spark, real_docs):
+    """A third of the rows under a null id, and a third under one id: no flood into either sample."""
+    docs = real_docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 == 1, F.lit(None)).when(F.col("doc_id") % 3 == 2, F.lit(3)).otherwise(F.col("doc_id")))
+    per = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
+    drawn = crf.sample_spans(docs.select("doc_id", "text", "lang"), per, 10, 16, 1)
+    assert len(drawn) < 3 * 10 * len(per)
+    copies = docs.limit(1).select("doc_id", "text", "lang").crossJoin(spark.range(500)).drop("id")
+    assert len(crf.sample_spans(copies, {r["lang"]: 1 for r in copies.limit(1).collect()}, 10, 16, 1)) <= 1
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 60, 3)], "doc_id long, quality int")
+    seen = []
+    q_train, q.train = q.train, lambda x, y, **k: seen.append(len(y)) or q_train(x, y, **k)
+    try:
+        q.fit_quality(docs, labels, max_rows=15)
+    finally:
+        q.train = q_train
+    assert seen == [15]
+
+
 def test_decoder_of_the_library_agrees():
     model = sp.PieceModel.load()
     tok = model.tokenizer()

@@ -265,3 +265,11 @@ def test_kept_text_drops_split_characters(spark):
     out = suf.remove_repeats(spark.createDataFrame([(1, a), (2, "z" + a[:55] + "日本")], "doc_id long, text string"), 100, as_text=True)
     rows = {r.doc_id: r for r in out.collect()}
     assert rows[2].kept.startswith("z") and rows[2].kept.endswith("日本") and "�" not in rows[2].kept
+
+
+def test_components_of_a_hub_and_of_long_chains(spark):
+    from riskkit.llm.components import components
+    edges = [(0, i) for i in range(1, 400)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5000), (7000, 7001), (7001, 7000)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long").repartition(5)).collect()}
+    want = {**{i: 0 for i in range(400)}, **{1000 + i: 1000 for i in range(61)}, 7000: 7000, 7001: 7000}
+    assert got == want

@@ -68,3 +68,23 @@ def test_whole_run(spark):
     assert want and sorted((r.doc_id, r.ids) for r in rows) == want
     good = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").filter("quality = 0").collect()}
     assert len(good & {r.doc_id for r in rows}) <= 0.2 * len(good) + 1
+
+
+#: Names that the stages and the operators below them use for themselves, or once did.
+OWN_NAMES = ["row", "key", "own", "unnamed", "times", "whole", "kept", "n_removed", "got", "held", "first", "_id", "_row", "_unnamed", "_key", "_n",
+             "_size", "_taken", "_salt", "decoded", "fp", "root", "component_id", "size", "taken", "target", "score", "h", "s", "ord", "place", "a.b"]
+
+
+@pytest.mark.parametrize("stage", [f for _, f in cp.STAGES], ids=[n for n, _ in cp.STAGES])
+def test_other_columns_keep_their_values(spark, edge_docs, stage):
+    docs = edge_docs.withColumn("n_chars", F.length("text").cast("long"))
+    mark = F.xxhash64("doc_id", "text", "lang", "source").cast("string")
+    docs = docs.select("*", *[F.concat(F.lit(f"{n} "), mark).alias(n) for n in OWN_NAMES])
+    home = {r["row"].split(" ")[1]: (r.doc_id, r.lang, r.source) for r in docs.collect()}
+    out = stage(spark, docs, SF)
+    assert set(OWN_NAMES) <= set(out.columns)
+    rows = out.collect()
+    assert rows
+    for r in rows:
+        marks = {r[n].removeprefix(f"{n} ") for n in OWN_NAMES}
+        assert len(marks) == 1 and home[marks.pop()] == (r.doc_id, r.lang, r.source)
