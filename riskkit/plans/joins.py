@@ -58,6 +58,21 @@ def component_merge(spark, sf):
     return J.join_fanout(merged, rx, "SEQN")
 
 
+@register("component_merge_routed", with_sr(
+    f"SELECT coalesce(s.SEQN, l.l_orderkey) AS SEQN, {_MERGED_COLS}, l.l_linenumber AS RX_LINE, "
+    "l.l_quantity AS RX_QTY FROM SR s FULL OUTER JOIN lineitem l ON s.SEQN = l.l_orderkey"))
+def component_merge_routed(spark, sf):
+    """All five components at once: which hold a respondent more than once is found from their keys."""
+    root = component_root(spark, sf)
+    comps = io.load_components(spark, root, list(GROUPS))
+    first = next(iter(comps))
+    comps = {n: f if n == first else f.drop("cycle") for n, f in comps.items()}
+    comps["RX"] = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("SEQN"), F.col("l_linenumber").alias("RX_LINE"),
+                                                      F.col("l_quantity").alias("RX_QTY"))
+    checkpoint_root(spark)
+    return J.merge_components(comps, "SEQN")
+
+
 @register("cycle_tag", with_sr("SELECT CYCLE AS cycle, CAST(count(*) AS BIGINT) AS n FROM SR GROUP BY CYCLE"))
 def cycle_tag(spark, sf):
     root = component_root(spark, sf)

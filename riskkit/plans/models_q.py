@@ -26,6 +26,7 @@ from ..operators.survey import features_interaction
 from ..session import scratch_path
 from ..streaming import score as S
 from .catalog import register
+from .derivations import FA_CTE
 from .prep_q import CATEGORICAL_FEATURES, FLAG_FEATURES, NUMERIC_FEATURES, model_frame, preprocessor
 
 RAW = NUMERIC_FEATURES + FLAG_FEATURES + CATEGORICAL_FEATURES
@@ -305,6 +306,20 @@ def model_roundtrip(spark, sf):
     return a.join(b, "SEQN")
 
 
+@register("model_roundtrip_equal", with_sr("SELECT SEQN, true AS equal FROM FA WHERE DIABETES_BIN IS NOT NULL AND CAST(left(CYCLE, 4) AS INTEGER) >= 2017", FA_CTE))
+def model_roundtrip_equal(spark, sf):
+    """Every test row scores alike before and after the model was saved and loaded."""
+    both = model_roundtrip(spark, sf)
+    return both.select("SEQN", (F.abs(F.col("p_before") - F.col("p_after")) <= 1e-12).alias("equal"))
+
+
+@register("oof_in_range", with_sr("SELECT SEQN, true AS in_range FROM FA WHERE DIABETES_BIN IS NOT NULL AND CAST(left(CYCLE, 4) AS INTEGER) BETWEEN 2011 AND 2014", FA_CTE))
+def oof_in_range(spark, sf):
+    """Every training row has one out-of-fold score of each base, a probability."""
+    rows = oof_scores(spark, sf)
+    return rows.select("SEQN", F.coalesce(F.col("p_log").between(0, 1) & F.col("p_gbt").between(0, 1), F.lit(False)).alias("in_range"))
+
+
 # --- attributions with fixed linear weights (exact, SQL-checkable) -------------------
 
 # Fixed weights of an illustrative linear score over survey columns.

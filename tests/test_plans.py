@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as E
 
-PY_NODES = ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "MapInPandas", "FlatMapGroupsInPandas")
+PY_NODES = ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "MapInPandas", "MapInArrow", "FlatMapGroupsInPandas", "FlatMapGroupsInArrow")
 
 
 def _plan(df):
@@ -50,6 +50,15 @@ def test_component_merge_single_shuffle_for_unique_components(spark, sf):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+def test_running_totals_are_the_one_python_step_of_ranks_and_curves(spark):
+    """``roc_auc``, ``describe_all`` and ``impute_median`` add up ranks in one Arrow pass, which their plans hide behind a checkpoint."""
+    from pyspark.sql import functions as F
+    from riskkit.operators.rank import _local_sums, _ranged
+    df = spark.range(100).select(F.col("id").alias("v"), F.lit(1).alias("n"))
+    plan = _plan(_local_sums(_ranged(df, ["v"], [], 4), ["n"], []))
+    assert plan.count("MapInArrow") == 1 and not any(n in plan for n in PY_NODES if n != "MapInArrow")
+
+
 def test_running_totals_shuffle_once(spark):
     from pyspark.sql import functions as F
     from riskkit.operators.rank import _local_sums, _ranged
