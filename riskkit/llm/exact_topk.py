@@ -4,8 +4,9 @@ Vectors are made metric: with R the largest norm, every candidate x gets one
 more coordinate sqrt(R^2 - |x|^2) and every query 0, so the squared distance is
 |q|^2 + R^2 - 2 q.x and the nearest neighbours are the largest inner products.
 
-Candidates are dealt over partitions by the hash of their ids, so copies of one
-vector do not meet in one task, and each partition bulk-loads an M-tree of
+Candidates are dealt over partitions by a hash of id, vector and place in the
+input, so neither copies of one vector nor rows of one id meet in one task, and
+each partition bulk-loads an M-tree of
 pages (numpy arrays): a leaf page holds vectors with their distances to the
 page's routing object, an inner page its children's routing objects, covering
 radii and distances to its own routing object.  A query walks the pages in the
@@ -24,7 +25,9 @@ Defined results: vectors that are null or hold null or non-finite components
 take no part, as query or candidate; vectors of different length are not
 compared; a query never finds rows of its own id; ties go to the smaller id;
 repeated rows are candidates of their own; rows with a null id are no
-candidates; an empty table gives no rows; other columns are not carried.
+candidates; a component x whose 256-fold leaves 64 bits takes its vector out
+like one that is not finite, and a score beyond 64 bits wraps; an empty table
+gives no rows; other columns are not carried.
 """
 
 from __future__ import annotations
@@ -138,14 +141,14 @@ class MTree:
 
 
 def usable(embedding: Column) -> Column:
-    """Whether a vector takes part: not null, every component present and finite."""
-    real = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))
+    """Whether a vector takes part: not null, every component present, finite and below 2^55 in size."""
+    real = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float(1 << 55))
     return embedding.isNotNull() & F.forall(embedding, real)
 
 
 def search_partitions(candidates: DataFrame, queries: DataFrame, k: int, parts: int) -> DataFrame:
     """query_id, qkey, vec_id, score: the best ``k`` of every query within every partition."""
-    left = candidates.select(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"), F.lit(0).alias("kind"), "id", F.lit(0).cast("long").alias("qkey"), "v")
+    left = candidates.select(F.pmod(F.xxhash64("id", "v", F.monotonically_increasing_id()), F.lit(parts)).alias("part"), F.lit(0).alias("kind"), "id", F.lit(0).cast("long").alias("qkey"), "v")
     right = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), F.lit(1).alias("kind"), "id", "qkey", "v")
     rows = left.unionByName(right).repartition(parts, "part").sortWithinPartitions("part", "kind")
 
