@@ -396,3 +396,20 @@ def test_stored_distances_spare_computations():
         best, computed = tree.search(points[i], i, 5)
         want = sorted(((int(s), -j) for j, s in enumerate(points @ points[i]) if j != i), reverse=True)[:5]
         assert best == want and computed < 1500
+
+
+def test_a_hot_id_is_dealt_over_many_trees(spark):
+    r = np.random.default_rng(2)
+    v = r.integers(-50, 50, (300, 6))
+    rows = [(0 if i % 3 == 0 else i, v[i].tolist()) for i in range(300)] + [(7, v[7].tolist())] * 40
+    vectors = spark.createDataFrame(rows, "vec_id long, v array<long>").repartition(4)
+    got = {}
+    for x in topk.exact_topk(vectors, F.col("vec_id").isin(7, 50), k=4, tree_rows=32).collect():
+        got.setdefault(x.query_id, []).append((x["rank"], x.vec_id, x.score))
+    for q in (7, 50):
+        want = sorted(((-int(v[q] @ np.array(w)), i) for i, w in rows if i != q))[:4]
+        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
+    parts = topk.search_partitions(vectors.selectExpr("vec_id AS id", "v"), vectors.limit(0).selectExpr("vec_id AS id", "v", "0L AS qkey"), 1, 8)
+    assert parts.count() == 0
+    huge = spark.createDataFrame([(1, [1e300, 0.0]), (2, [1.0, None]), (3, [0.5, 2.0])], "vec_id long, e array<double>")
+    assert [x.vec_id for x in huge.filter(topk.usable(F.col("e"))).collect()] == [3]

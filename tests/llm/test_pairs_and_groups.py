@@ -273,3 +273,14 @@ def test_components_of_a_hub_and_of_long_chains(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long").repartition(5)).collect()}
     want = {**{i: 0 for i in range(400)}, **{1000 + i: 1000 for i in range(61)}, 7000: 7000, 7001: 7000}
     assert got == want
+
+
+def test_likeness_columns_equal_plain_jaccard(spark):
+    from riskkit.llm.catalog import QUERIES
+    rows = sorted(QUERIES["op2_spot_signatures"](spark, "/root/testdata/sf0.001").collect(), key=lambda r: -r.doc_id)
+    sets = lambda text: {text[i:i + 8] for i in range(0, len(text), 8)}
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    for at, r in enumerate(rows):
+        own = sets(r.fingerprint)
+        assert own and abs(r.near_edited - jaccard(own, sets(r.edited_fingerprint))) < 1e-12
+        assert abs(r.near_next - jaccard(own, sets(rows[(at + 1) % len(rows)].fingerprint))) < 1e-12
