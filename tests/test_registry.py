@@ -27,17 +27,22 @@ def test_oracles_have_builders_and_rows_only_are_models():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     rows_only = {n for n in set(q) - set(o) if n != "pipeline" and not re.match(r"op\d+_", n)}
-    assert rows_only == {"impute_chained", "quantile_normal", "preprocess_pipeline", "fit_logistic", "fit_gbt",
-                         "gbt_early_stop", "fit_forest", "fit_mlp", "random_search", "compare_models",
-                         "oof_scores", "stacked", "calibrated", "gbt_importance", "shapley_sampled",
-                         "score_batch", "score_stream", "model_roundtrip"}
+    assert rows_only == {"impute_chained", "impute_median_approx", "preprocess_pipeline", "fit_logistic", "fit_gbt",
+                         "fit_gbt_classes", "fit_logistic_classes", "gbt_early_stop", "fit_forest", "fit_mlp", "random_search",
+                         "compare_models", "oof_scores", "stacked", "calibrated", "gbt_importance", "shapley_sampled",
+                         "shapley_trees", "score_batch", "score_stream", "model_roundtrip"}
 
 
-def test_search_and_stack_have_the_size_of_the_reference(spark):
+def test_search_and_stack_have_the_size_of_the_reference(spark, monkeypatch):
+    """All 50 candidates of the grid of 4^6 go into one fit, three folds each; the stack's trees boost 300 rounds."""
     from riskkit.operators import models as L
     from riskkit.plans import models_q as M
-    est = L.gbt()
-    axes = {p.name: v for p, v in M.search_space(est).items()}
-    assert M.SEARCH_CANDIDATES == 50 and axes["maxIter"] == [100, 250, 500, 750] and axes["maxDepth"] == [3, 5, 7, 10]
-    assert len(axes) == 6 and all(len(v) == 4 for v in axes.values())
-    assert M._bases()["gbt"].getMaxIter() == 300
+    seen = []
+    monkeypatch.setattr(L.B, "fit_all", lambda train, specs, *a, **k: seen.append(specs) or ([], []))
+    found = L.random_search(L.gbt(), M.SEARCH_SPACE, M.SEARCH_CANDIDATES, None)
+    specs = seen[0]
+    assert len(found) == 50 and len(specs) == 150 and [s.held_fold for s in specs] == [0, 1, 2] * 50
+    assert len({(s.rounds, s.depth, s.step, s.subsample, s.columns, s.min_gain) for s in specs}) == 50
+    assert M.SEARCH_SPACE["rounds"] == [100, 250, 500, 750] and M.SEARCH_SPACE["depth"] == [3, 5, 7, 10]
+    assert len(M.SEARCH_SPACE) == 6 and all(len(v) == 4 for v in M.SEARCH_SPACE.values())
+    assert M._bases()["gbt"].spec.rounds == 300
