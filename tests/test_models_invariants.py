@@ -90,3 +90,18 @@ def test_importances_are_shares_in_order(spark, q):
 def test_chained_imputer_fills_everything(spark, q):
     df = q["impute_chained"](spark, SF)
     assert df.filter(" OR ".join(f"{c} IS NULL" for c in df.columns if c != "SEQN")).count() == 0
+
+
+def test_wide_features_do_not_run_as_one_interpreted_method(spark, q):
+    from riskkit.plans import models_q as M
+    M.release()
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
+    try:
+        M.context(spark, SF)
+        assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "4000")  # a caller's lower limit stays
+        M.stack_context(spark, SF)
+        assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "4000"
+    finally:
+        spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+        M.release()
