@@ -259,3 +259,64 @@ def test_tree_attributions_equal_subset_enumeration(spark):
         assert np.isclose(sum(phi.values()) + got[0].base, margin(x[i:i + 1])[0])
     with pytest.raises(ValueError):
         tree_attributions(model, df, "SEQN", df.filter("false"))
+
+
+# --- work that many rows and many models have in common ----------------------------------------
+
+def _walked(tree, code, missing):
+    """Leaf of one row, by the rules."""
+    k = 0
+    while tree["feature"][k] >= 0:
+        b = code[tree["feature"][k]]
+        k = tree["left"][k] if (tree["missing_left"][k] if b == missing[tree["feature"][k]] else b <= tree["bin"][k]) else tree["right"][k]
+    return k
+
+
+@pytest.mark.parametrize("depth", [0, 1, 4, 12])
+def test_rows_reach_the_leaf_that_they_are_walked_to(depth):
+    x, y = _rows(3000, seed=11)
+    bins = _bins(x, 60)
+    codes, missing = bins.of(x), bins.sizes - 1
+    assert codes.shape == (5, 3000)
+    tree = B.grown(codes, 0.5 - y, np.full(3000, 25.0), bins, B.Boosting(), np.ones(5, bool), depth)
+    assert (len(tree) > 256) == (depth == 12)  # both ways of routing
+    got = B.routed(tree, codes, missing)
+    assert [int(k) for k in got] == [_walked(tree, c, missing) for c in codes.T]
+    assert len(B.routed(tree, codes[:, :0], missing)) == 0
+
+
+def test_histograms_are_sums_by_node_and_slot():
+    x, y = _rows(500, seed=12)
+    bins = _bins(x)
+    codes, node = bins.of(x), np.arange(500) % 3
+    sums, rows = B.histograms(codes, bins, node, 3, y, None)
+    for k in range(3):
+        for f, (start, size) in enumerate(zip(bins.starts, bins.sizes)):
+            for b in range(size):
+                on = (node == k) & (codes[f] == b)
+                assert (sums[k, start + b], rows[k, start + b]) == (y[on].sum(), on.sum())
+
+
+def test_several_models_of_more_rows_than_a_node_take_no_round_of_jobs(spark, monkeypatch):
+    x, y = _rows(500, seed=13)
+    bins, df = _bins(x), _frame(spark, x, y)
+    specs = [B.Boosting(rounds=3, depth=d, step=0.3, held_fold=f) for d in (2, 4) for f in range(3)]
+    alone = [B.fit_all(df, [s], fold="fold", bins=bins, in_task=100)[0][0] for s in specs[-2:]]
+    monkeypatch.setattr(B._Fit, "round", lambda *a, **k: pytest.fail("a job a level"))
+    got, _ = B.fit_all(df, specs, fold="fold", bins=bins, in_task=100)
+    codes = bins.of(x)
+    for a, b in zip(alone, got[-2:]):
+        assert np.allclose(a.margin_of_bins(codes), b.margin_of_bins(codes), atol=1e-9)
+
+
+def test_masks_tell_which_conditions_of_a_leaf_a_row_meets(spark):
+    from riskkit.operators.explain import LeafPaths
+    x, y = _rows(200, width=4, seed=14)
+    model = L.gbt(rounds=2, depth=3, step=0.4, subsample=1.0).fit(_frame(spark, x, y)).ensemble
+    codes, paths = model.bins.of(x), LeafPaths(model)
+    masks = paths.masks(codes)
+    assert masks.shape == (len(paths.values), 200)
+    # a row meets all conditions of the leaf that it reaches, one a tree
+    full = np.array([(1 << len(f)) - 1 for f in paths.features])
+    reached = np.array(paths.values) @ (masks == full[:, None])
+    assert ((masks == full[:, None]).sum(0) == 2).all() and np.allclose(reached, model.margin_of_bins(codes)[:, 0])
