@@ -320,3 +320,71 @@ def test_masks_tell_which_conditions_of_a_leaf_a_row_meets(spark):
     full = np.array([(1 << len(f)) - 1 for f in paths.features])
     reached = np.array(paths.values) @ (masks == full[:, None])
     assert ((masks == full[:, None]).sum(0) == 2).all() and np.allclose(reached, model.margin_of_bins(codes)[:, 0])
+
+
+def _leaves_of(tree, codes, missing):
+    leaf = np.zeros(codes.shape[1], int)
+    for r in range(codes.shape[1]):
+        while tree["feature"][leaf[r]] >= 0:
+            n = tree[leaf[r]]
+            b = codes[n["feature"], r]
+            leaf[r] = n["left"] if (n["missing_left"] if b == missing[n["feature"]] else b <= n["bin"]) else n["right"]
+    return leaf
+
+
+@pytest.mark.parametrize("nodes", [1, 3, 40])
+def test_packs_sum_up_several_features_in_one_scan(nodes, monkeypatch):
+    x, y = _rows(9000, width=9, seed=15)
+    x[:, 4:] = x[:, 4:] > 0.2
+    bins = _bins(x)
+    codes, r = bins.of(x), np.random.default_rng(15)
+    packs = B.Packs(codes, bins)
+    assert sorted(f for m in packs.members for f in m) == list(range(9)) and len(packs.members) <= 3
+    rows, columns = np.flatnonzero(r.random(9000) < 0.7), np.array([0, 2, 3, 5, 8])
+    node = r.integers(0, nodes, len(rows))
+    sub = B.Bins(tuple(bins.edges[c] for c in columns))
+    scans = []
+    plain = np.bincount
+    monkeypatch.setattr(B.np, "bincount", lambda *a, **k: scans.append(1) or plain(*a, **k))
+    got = packs.sums(rows, node, nodes, columns, y[rows])[0]
+    monkeypatch.undo()
+    assert nodes > 1 or len(scans) < len(columns)
+    assert np.allclose(got, B.histograms(codes[np.ix_(columns, rows)], sub, node, nodes, y[rows])[0])
+
+
+@pytest.mark.parametrize(("depth", "least"), [(3, 0.0), (5, 2.0), (9, 0.0)])
+def test_rows_that_are_not_drawn_only_follow_the_tree(depth, least):
+    x, y = _rows(3000, seed=16)
+    bins = _bins(x)
+    codes, r = bins.of(x), np.random.default_rng(16)
+    drawn = r.random(3000) < 0.8
+    g, h = 0.5 - y, np.full(3000, 25.0)
+    spec = B.Boosting(depth=depth, min_gain=least)
+    nodes, at = B._grow(B.Packs(codes, bins), g * drawn, h * drawn, spec, np.ones(5, bool), depth, drawn)
+    want = B.grown(codes[:, drawn], g[drawn], h[drawn], bins, spec, np.ones(5, bool), depth)
+    tree = B.pruned(nodes, least)
+    assert len(tree) == len(want) and all(np.array_equal(tree[c], want[c]) for c in ("feature", "bin", "missing_left", "left", "right"))
+    assert np.allclose(tree["value"], want["value"], atol=1e-9)
+    assert np.array_equal(B.pruned_values(nodes, least)[at], tree["value"][_leaves_of(tree, codes, bins.sizes - 1)])
+
+
+def test_equal_cuts_of_a_node_go_to_the_first_feature_and_bin():
+    # sums of thirds in another order differ in their last bits; feature 1 repeats feature 0, and bins 3 to 5 are empty in the right half
+    r = np.random.default_rng(17)
+    a = np.where(r.random(900) < 0.5, r.integers(0, 3, 900), r.integers(6, 9, 900)).astype(float)
+    x = np.stack([a, a], axis=1)
+    bins = B.Bins((tuple(np.arange(8.0)),) * 2)
+    g = np.where(a > 4, 2 / 3, -2 / 3) + (a % 3) / 3 + r.normal(size=900) / 30
+    tree = B.grown(bins.of(x), g, np.full(900, 1 / 7), bins, B.Boosting(depth=4), np.ones(2, bool), 4)
+    inner = tree[tree["feature"] >= 0]
+    assert len(inner) > 2 and (inner["feature"] == 0).all() and tree["bin"][0] == 2
+    assert not set(inner["bin"].tolist()) & {3, 4, 5}
+
+
+def test_folds_are_fitted_side_by_side_in_their_order(spark):
+    x, y = _rows(300, seed=18, gaps=0.0)
+    df = _frame(spark, x, y).cache()
+    frames = [df.filter(F.col("fold") != i) for i in range(3)]
+    for mine, frame in zip(L.fit_each(L.logistic(), frames), frames, strict=True):
+        assert np.allclose(mine.coefficients.toArray(), L.logistic().fit(frame).coefficients.toArray(), atol=1e-9)
+    df.unpersist()
